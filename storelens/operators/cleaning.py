@@ -44,8 +44,9 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
 
 
 def clean_store(raw: Store) -> Store:
-    return Store(customers=clean_customers(raw.customers), products=clean_products(raw.products),
-                 orders=clean_orders(raw.orders), reviews=clean_reviews(raw.reviews))
+    return Store(raw.spark,
+                 customers=lambda: clean_customers(raw.customers), products=lambda: clean_products(raw.products),
+                 orders=lambda: clean_orders(raw.orders), reviews=lambda: clean_reviews(raw.reviews))
 
 
 def _is(condition: Column) -> Column:

@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import day
-from storelens.functions.money import kept_amount, net_amount, ratio
+from storelens.functions.money import kept_amount, net_amount, ratio, total
 
 NUMERIC_FEATURES = ["total_orders", "total_spending", "avg_order_value", "days_since_last_order",
                     "return_rate", "avg_delivery_days", "age"]
@@ -25,8 +25,8 @@ def purchase_history(orders: DataFrame, cutoff: str | Column) -> DataFrame:
     until = _as_date(cutoff)
     net = net_amount()
     sums = (orders.where(F.col("order_date") <= until).groupBy("customer_id").agg(
-        F.count("*").alias("_n"), F.sum(kept_amount()).alias("_kept"),
-        F.sum(net).alias("_net"), F.count(net).alias("_net_n"),
+        F.count("*").alias("_n"), total(kept_amount()).alias("_kept"),
+        total(net).alias("_net"), F.count(net).alias("_net_n"),
         F.max("order_date").alias("_last"),
         F.sum("returned").alias("_back"), F.count("returned").alias("_back_n"),
         F.sum("delivery_days").alias("_days"), F.count("delivery_days").alias("_days_n")))
@@ -68,8 +68,8 @@ def churn_dataset(orders: DataFrame, customers: DataFrame, cutoff: str, start: s
     returned, delivery = F.col("returned"), F.col("delivery_days")
     sums = (orders.where(in_history | in_target).groupBy("customer_id").agg(
         F.count(F.when(in_history, 1)).alias("_n"),
-        F.sum(of_history(kept_amount())).alias("_kept"),
-        F.sum(of_history(net)).alias("_net"), F.count(of_history(net)).alias("_net_n"),
+        total(of_history(kept_amount())).alias("_kept"),
+        total(of_history(net)).alias("_net"), F.count(of_history(net)).alias("_net_n"),
         F.max(of_history(date)).alias("_last"),
         F.sum(of_history(returned)).alias("_back"), F.count(of_history(returned)).alias("_back_n"),
         F.sum(of_history(delivery)).alias("_days"), F.count(of_history(delivery)).alias("_days_n"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.dates import month_of, year_earlier
 from storelens.functions.money import (as_double, change_percent, gross_amount, kept_amount, net_amount,
-                                       percent, ratio, returned_amount)
+                                       percent, ratio, returned_amount, total)
 from storelens.sources.store import Store
 
 
@@ -21,15 +21,15 @@ def overall():
 def total_net_revenue(store: Store) -> DataFrame:
     gross = gross_amount()
     return store.lines.agg(
-        as_double(F.sum(gross), 2).alias("gross_revenue"),
-        as_double(F.sum(gross * F.col("discount")), 2).alias("discount_amount"),
-        as_double(F.sum(returned_amount()), 2).alias("returned_amount"),
-        as_double(F.sum(kept_amount()), 2).alias("net_revenue"))
+        as_double(total(gross), 2).alias("gross_revenue"),
+        as_double(total(gross * F.col("discount")), 2).alias("discount_amount"),
+        as_double(total(returned_amount()), 2).alias("returned_amount"),
+        as_double(total(kept_amount()), 2).alias("net_revenue"))
 
 
 def _completed(orders: DataFrame, key: str) -> DataFrame:
     return orders.where(F.col("returned") == 0).groupBy(key).agg(
-        F.sum(net_amount()).alias("_net"), F.count("order_id").alias("_orders"),
+        total(net_amount()).alias("_net"), F.count("order_id").alias("_orders"),
         F.sum("quantity").alias("_units"))
 
 
@@ -57,7 +57,7 @@ def category_revenue(store: Store) -> DataFrame:
 
 def _by_month(orders: DataFrame, amount: Column) -> DataFrame:
     """Daily totals first: a day is a bounded key and cheaper to hash than month text."""
-    daily = orders.groupBy("order_date").agg(F.sum(amount).alias("_net"), F.count("order_id").alias("_orders"))
+    daily = orders.groupBy("order_date").agg(total(amount).alias("_net"), F.count("order_id").alias("_orders"))
     return daily.groupBy(month_of(F.col("order_date")).alias("month")).agg(
         as_double(F.sum("_net"), 2).alias("net_revenue"), F.sum("_orders").alias("order_count"))
 
@@ -102,7 +102,7 @@ def return_rate_by_category(store: Store) -> DataFrame:
     """Over all orders: how many came back, and what they were worth."""
     sold = store.lines.groupBy("product_id").agg(
         F.count("order_id").alias("_orders"), F.sum("returned").alias("_back"),
-        F.sum(returned_amount()).alias("_value"))
+        total(returned_amount()).alias("_value"))
     by_category = sold.join(store.products.select("product_id", "category"), "product_id").groupBy("category").agg(
         F.sum("_orders").alias("total_orders"), F.sum("_back").alias("returned_orders"),
         F.sum("_value").alias("_value"))

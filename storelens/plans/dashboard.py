@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import month_of
-from storelens.functions.money import as_double, change_percent, kept_amount, magnitude, percent, ratio
+from storelens.functions.money import as_double, change_percent, kept_amount, magnitude, percent, ratio, total
 from storelens.plans.business import overall
 from storelens.sources.store import Store
 
@@ -15,7 +15,7 @@ def store_kpis(store: Store) -> DataFrame:
     and no distinct aggregation is needed next to the sums.
     """
     by_customer = store.orders.groupBy("customer_id").agg(
-        F.sum(kept_amount()).alias("_net"), F.count("order_id").alias("_orders"),
+        total(kept_amount()).alias("_net"), F.count("order_id").alias("_orders"),
         F.sum(1 - F.col("returned")).alias("_kept"), F.sum("returned").alias("_back"),
         F.count("returned").alias("_known"), F.max("order_date").alias("_last"))
     totals = by_customer.agg(
@@ -32,7 +32,7 @@ def store_kpis(store: Store) -> DataFrame:
 
 def monthly_dashboard(store: Store) -> DataFrame:
     daily = store.orders.groupBy("order_date").agg(
-        F.sum(kept_amount()).alias("_net"), F.count("order_id").alias("_orders"))
+        total(kept_amount()).alias("_net"), F.count("order_id").alias("_orders"))
     return (daily.groupBy(month_of(F.col("order_date")).alias("month"))
             .agg(as_double(F.sum("_net"), 2).alias("net_revenue"), F.sum("_orders").alias("orders"))
             .orderBy("month"))
@@ -49,7 +49,7 @@ def last_vs_previous_month(months: DataFrame) -> DataFrame:
 
 def category_dashboard(store: Store) -> DataFrame:
     sold = store.lines.groupBy("product_id").agg(
-        F.sum(kept_amount()).alias("_net"), F.count("order_id").alias("_orders"),
+        total(kept_amount()).alias("_net"), F.count("order_id").alias("_orders"),
         F.sum("quantity").alias("_units"), F.sum("returned").alias("_back"))
     by_category = sold.join(store.products.select("product_id", "category"), "product_id").groupBy("category").agg(
         F.sum("_net").alias("_net"), F.sum("_orders").alias("orders"),
@@ -62,8 +62,8 @@ def category_dashboard(store: Store) -> DataFrame:
 
 def top_category_share(categories: DataFrame) -> DataFrame:
     """Share of the strongest category in the sum of all."""
-    total = F.sum(F.col("net_revenue").cast("decimal(28,2)")).over(overall())
-    return (categories.select("category", "net_revenue", F.round(ratio(F.col("net_revenue"), total), 6).alias("share"))
+    everything = F.sum(F.col("net_revenue").cast("decimal(28,2)")).over(overall())
+    return (categories.select("category", "net_revenue", F.round(ratio(F.col("net_revenue"), everything), 6).alias("share"))
             .orderBy(F.desc("net_revenue"), "category").limit(1).select("category", "share"))
 
 
@@ -82,7 +82,7 @@ def store_return_rate(store: Store) -> DataFrame:
 
 def city_dashboard(store: Store) -> DataFrame:
     """Net revenue and customers per city; customers whose orders all came back are included."""
-    spent = store.orders.groupBy("customer_id").agg(F.sum(kept_amount()).alias("_net"))
+    spent = store.orders.groupBy("customer_id").agg(total(kept_amount()).alias("_net"))
     return (spent.join(store.customers.select("customer_id", "city"), "customer_id").groupBy("city")
             .agg(as_double(F.sum("_net"), 2).alias("net_revenue"),
                  F.count_distinct("customer_id").alias("customers"))
@@ -92,7 +92,7 @@ def city_dashboard(store: Store) -> DataFrame:
 def best_selling_products(store: Store, k: int = 5) -> DataFrame:
     sold = store.lines.groupBy("product_id").agg(
         F.sum(F.col("quantity") * (1 - F.col("returned"))).alias("units_sold"),
-        F.sum(kept_amount()).alias("_net"))
+        total(kept_amount()).alias("_net"))
     named = sold.join(store.products.select("product_id", "product_name", "category"), "product_id")
     return (named.select("product_id", "product_name", "category", "units_sold",
                          as_double(F.col("_net"), 2).alias("net_revenue"))
@@ -101,7 +101,7 @@ def best_selling_products(store: Store, k: int = 5) -> DataFrame:
 
 def top_customers_dashboard(store: Store, k: int = 5) -> DataFrame:
     spent = store.orders.groupBy("customer_id").agg(
-        F.sum(1 - F.col("returned")).alias("orders"), F.sum(kept_amount()).alias("_net"))
+        F.sum(1 - F.col("returned")).alias("orders"), total(kept_amount()).alias("_net"))
     named = spent.join(store.customers.select("customer_id", "customer_name", "city"), "customer_id")
     return (named.select("customer_id", "customer_name", "city", "orders",
                          as_double(F.col("_net"), 2).alias("total_spending"))

@@ -64,9 +64,8 @@ def _scored(store: Store) -> DataFrame:
 
 
 def _show(df: DataFrame) -> DataFrame:
-    """Scores as a report shows them."""
-    digits = {"churn_probability": 6, "value_at_risk": 2, "avg_order_value": 6, "return_rate": 6,
-              "avg_delivery_days": 6, "total_spending": 2, "push": 6}
+    """Scores as a report shows them. The other columns are exact and stay as they are."""
+    digits = {"churn_probability": 6, "value_at_risk": 2}
     return df.withColumns({c: F.round(F.col(c), d) for c, d in digits.items() if c in df.columns})
 
 
@@ -168,8 +167,8 @@ _CLEAN_JOBS = {
     "review_mood": dashboard.review_mood,
     "money_labels": lambda s: dashboard.money_labels(dashboard.category_dashboard(s)),
 
-    "churn_dataset": lambda s: _show(churn.churn_rows(s, CUTOFF, START, END)),
-    "customer_features": lambda s: _show(customer_features(s.orders, s.customers, CUTOFF)),
+    "churn_dataset": lambda s: churn.churn_rows(s, CUTOFF, START, END),
+    "customer_features": lambda s: customer_features(s.orders, s.customers, CUTOFF),
     "class_balance": lambda s: churn.class_balance(churn.churn_rows(s, CUTOFF, START, END)),
     "feature_nulls": lambda s: churn.feature_nulls(churn.churn_rows(s, CUTOFF, START, END)),
     "feature_summary": lambda s: rounded(
@@ -186,7 +185,7 @@ _CLEAN_JOBS = {
     "roc_points": lambda s: rounded(roc_points(durable(_labelled_scores(s))), 6, "fpr", "tpr"),
 
     "score_all_customers": lambda s: _show(retention.scored_list(_scored(s))),
-    "explain_customers": lambda s: _show(scoring.explain(customer_features(s.orders, s.customers, CUTOFF), CARD)),
+    "explain_customers": lambda s: scoring.explain(customer_features(s.orders, s.customers, CUTOFF), CARD),
     "batch_predict": lambda s: _show(scoring.predict(
         customer_features(s.orders, s.customers, CUTOFF)
         .withColumn("return_rate_pct", F.round(F.col("return_rate") * 100, 0))

@@ -14,12 +14,25 @@ def _when_multiple(number: Column, of: int, then: Column, other: Column) -> Colu
     return F.when(number % of == 0, then).otherwise(other)
 
 
+# The columns that the store needs, so that opening a table reads no file footer.
+_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 class _Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
 def _line_columns() -> list[Column]:
@@ -91,20 +104,22 @@ def _reviews(t: _Tables) -> DataFrame:
 def open_store(spark: SparkSession, folder: str) -> Store:
     """The store without faults: what cleaning would leave of it."""
     t = _Tables(spark, folder)
+    known = F.lit("Unknown")
     return Store(
-        customers=_customers(t),
-        products=_products(t).withColumn("brand", F.coalesce("brand", F.lit("Unknown"))),
-        orders=_orders(t).withColumn("payment_method", F.coalesce("payment_method", F.lit("Unknown")))
-                         .select(*_ORDER_COLUMNS),
-        reviews=_reviews(t).where(F.col("rating").isNotNull()),
-        lines=t.lineitem.select(*_line_columns()))
+        spark,
+        customers=lambda: _customers(t),
+        products=lambda: _products(t).withColumn("brand", F.coalesce("brand", known)),
+        orders=lambda: _orders(t).withColumn("payment_method", F.coalesce("payment_method", known))
+                                 .select(*_ORDER_COLUMNS),
+        reviews=lambda: _reviews(t).where(F.col("rating").isNotNull()),
+        lines=lambda: t.lineitem.select(*_line_columns()))
 
 
 def open_raw_store(spark: SparkSession, folder: str) -> Store:
     """The store with faults put in by rule, dates as text."""
     t = _Tables(spark, folder)
-    return Store(customers=_raw_customers(t), products=_raw_products(t),
-                 orders=_raw_orders(t), reviews=_raw_reviews(t))
+    return Store(spark, customers=lambda: _raw_customers(t), products=lambda: _raw_products(t),
+                 orders=lambda: _raw_orders(t), reviews=lambda: _raw_reviews(t))
 
 
 def _iso(date: Column) -> Column:

@@ -1,5 +1,5 @@
 """The store: four tables as lazy DataFrames, read from files, a catalog or a database."""
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,29 +7,50 @@ from pyspark.sql import functions as F
 from storelens.sources import schemas
 
 TABLES = ["customers", "products", "orders", "reviews"]
+Table = DataFrame | Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class Store:
     """Customers, products, orders and reviews.
 
-    ``lines`` is the part of ``orders`` that needs no order header (order_id, product_id,
-    quantity, unit_price, discount, returned). A source that keeps headers and lines in two
-    tables can supply it without their join; elsewhere it is ``orders`` itself.
+    Each table is a DataFrame, or a function that opens it on first use, so that a job
+    opens only the tables it reads. ``lines`` is the part of ``orders`` that needs no order
+    header (order_id, product_id, quantity, unit_price, discount, returned). A source that
+    keeps headers and lines in two tables can supply it without their join; elsewhere it is
+    ``orders`` itself.
     """
-    customers: DataFrame
-    products: DataFrame
-    orders: DataFrame
-    reviews: DataFrame
-    lines: DataFrame | None = None
 
-    def __post_init__(self):
-        if self.lines is None:
-            object.__setattr__(self, "lines", self.orders)
+    def __init__(self, spark: SparkSession, customers: Table, products: Table, orders: Table,
+                 reviews: Table, lines: Table | None = None):
+        self.spark = spark
+        self._sources = {"customers": customers, "products": products, "orders": orders,
+                         "reviews": reviews, "lines": lines}
+
+    def _table(self, name: str) -> DataFrame:
+        source = self._sources[name]
+        if callable(source):
+            source = self._sources[name] = source()
+        return source
+
+    @property
+    def customers(self) -> DataFrame:
+        return self._table("customers")
+
+    @property
+    def products(self) -> DataFrame:
+        return self._table("products")
 
     @property
-    def spark(self) -> SparkSession:
-        return self.orders.sparkSession
+    def orders(self) -> DataFrame:
+        return self._table("orders")
+
+    @property
+    def reviews(self) -> DataFrame:
+        return self._table("reviews")
+
+    @property
+    def lines(self) -> DataFrame:
+        return self.orders if self._sources["lines"] is None else self._table("lines")
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}
@@ -39,19 +60,16 @@ class Store:
         for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
 
-    def with_tables(self, **tables: DataFrame) -> "Store":
-        return replace(self, lines=None, **tables) if "orders" in tables else replace(self, **tables)
-
 
 def read_parquet(spark: SparkSession, folder: str, raw: bool = False) -> Store:
     """A store saved as one Parquet folder per table, under its declared schemas."""
     declared = schemas.RAW if raw else schemas.CLEAN
-    return Store(**{name: spark.read.schema(declared[name]).parquet(f"{folder}/{name}") for name in TABLES})
+    return Store(spark, **{name: spark.read.schema(declared[name]).parquet(f"{folder}/{name}") for name in TABLES})
 
 
 def read_tables(spark: SparkSession, database: str) -> Store:
     """A store saved in the catalog."""
-    return Store(**{name: spark.table(f"{database}.{name}") for name in TABLES})
+    return Store(spark, **{name: spark.table(f"{database}.{name}") for name in TABLES})
 
 
 def read_jdbc(spark: SparkSession, url: str, partitions: int = 64,
@@ -69,7 +87,7 @@ def read_jdbc(spark: SparkSession, url: str, partitions: int = 64,
                                     numPartitions=partitions)
         return reader.load()
 
-    return Store(**{name: table(name) for name in TABLES})
+    return Store(spark, **{name: table(name) for name in TABLES})
 
 
 def write_parquet(store: Store, folder: str) -> None:
