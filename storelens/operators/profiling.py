@@ -25,21 +25,19 @@ def as_rows(totals: DataFrame, labels: list[dict[str, object]], keep: list[str],
             .select("_e.*", *keep))
 
 
-def profile(df: DataFrame, name: str, key: str) -> DataFrame:
+def profile(df: DataFrame, name: str, key: str, long_text: list[str] | None = None) -> DataFrame:
     """Rows, columns, nulls per column, repeated rows and repeated keys, a row per column.
 
-    Rows are compared by a 256-bit digest of all their columns, so a wide row is never
-    shuffled. Copies of one row, and rows of one key, are merged before each shuffle.
+    Copies of one row, and rows of one key, are merged before each shuffle. Columns named in
+    ``long_text`` are compared by a 256-bit digest, so that long values are not shuffled.
     """
     columns = df.columns
     nulls = [f"v{i}" for i in range(len(columns))]
-    content = F.sha2(F.to_json(F.struct(*columns)), 256)
-    by_row = df.groupBy(F.col(key).alias("_key"), content.alias("_content")).agg(
-        F.count("*").alias("_n"),
-        *[F.sum(F.col(c).isNull().cast("bigint")).alias(v) for c, v in zip(columns, nulls)])
-    by_key = by_row.groupBy("_key").agg(
+    compared = df.select(*[F.sha2(c, 256).alias(c) if c in (long_text or []) else c for c in columns])
+    by_row = compared.groupBy(*columns).agg(F.count("*").alias("_n"))
+    by_key = by_row.groupBy(key).agg(
         F.sum("_n").alias("_n"), F.count("*").alias("_distinct"),
-        *[F.sum(v).alias(v) for v in nulls])
+        *[F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)).alias(v) for c, v in zip(columns, nulls)])
     zero = F.lit(0)
     totals = by_key.agg(
         F.coalesce(F.sum("_n"), zero).alias("rows"),

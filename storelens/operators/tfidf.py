@@ -7,14 +7,15 @@ weights of one text have length 1.
 Texts repeat. A text is tokenised and counted once however many reviews carry it; the
 number of copies only weights the document frequency.
 """
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.text import words, words_and_pairs
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """16 bytes that stand for a text: half of its SHA-256 digest."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def distinct_texts(reviews: DataFrame, in_train: Column) -> DataFrame:
@@ -57,7 +58,6 @@ def raw_weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def unit_weights(raw: DataFrame) -> DataFrame:
     """Weights divided by the length of their text's vector."""
-    from pyspark.sql import Window
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("text_id")))
     return raw.select("text_id", "term", (F.col("raw") / length).alias("weight"))
 

@@ -2,7 +2,7 @@
 from storelens import registry as r
 from storelens.functions.labels import DRIVER_NAMES, RISK_ADVICE
 from storelens.oracle import tables as t
-from storelens.oracle.tables import big, iso, messy, money, pct, pushes, rnd, scored
+from storelens.oracle.tables import big, iso, messy, money, near, pct, pushes, rnd, scored
 from storelens.plans import quality, retention, sentiment
 
 
@@ -299,7 +299,7 @@ _SPLIT = f""", numbered AS (
 split AS (SELECT *, CASE WHEN position * 5 <= size * 4 THEN 'train' ELSE 'test' END AS split FROM numbered)"""
 
 _SCORES = f""", scores AS (
-  SELECT churn AS label, {rnd(t.probability(r.CARD), 4)} AS score FROM dataset),
+  SELECT churn AS label, {near(t.probability(r.CARD), 4)} AS score FROM dataset),
 counted AS (
   SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
   FROM scores GROUP BY score),
@@ -310,10 +310,10 @@ rocs AS (
 
 
 def _churn() -> dict[str, str]:
-    summary = " UNION ALL ".join(f"""SELECT '{c}' AS feature, count({c}) AS count, {rnd(f'avg({c}::DOUBLE)', 4)} AS mean,
-        {rnd(f'stddev_samp({c}::DOUBLE)', 4)} AS std, {rnd(f'min({c})', 4)} AS min,
-        {rnd(f'quantile_cont({c}::DOUBLE, 0.25)', 4)} AS p25, {rnd(f'quantile_cont({c}::DOUBLE, 0.5)', 4)} AS p50,
-        {rnd(f'quantile_cont({c}::DOUBLE, 0.75)', 4)} AS p75, {rnd(f'max({c})', 4)} AS max FROM dataset"""
+    summary = " UNION ALL ".join(f"""SELECT '{c}' AS feature, count({c}) AS count, {near(f'avg({c}::DOUBLE)', 4)} AS mean,
+        {near(f'stddev_samp({c}::DOUBLE)', 4)} AS std, {near(f'min({c})', 4)} AS min,
+        {near(f'quantile_cont({c}::DOUBLE, 0.25)', 6)} AS p25, {near(f'quantile_cont({c}::DOUBLE, 0.5)', 6)} AS p50,
+        {near(f'quantile_cont({c}::DOUBLE, 0.75)', 6)} AS p75, {near(f'max({c})', 4)} AS max FROM dataset"""
                                  for c in _NUMERIC + ["churn"])
     nulls = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM dataset"
                                for c in ["customer_id", *_NUMERIC, "membership_type", "churn"])
@@ -353,8 +353,8 @@ def _names(values: list[str]) -> str:
     return ", ".join(_text(v) for v in values)
 
 
-_P = rnd("churn_probability", 6) + " AS churn_probability"
-_V = rnd("value_at_risk", 2) + " AS value_at_risk"
+_P = near("churn_probability", 6) + " AS churn_probability"
+_V = near("value_at_risk", 2) + " AS value_at_risk"
 _LIST = f"""customer_id, customer_name, city, membership_type, total_orders, total_spending,
     days_since_last_order, {_P}, {_V}"""
 _RISK_SUM = "sum(CAST(value_at_risk AS DECIMAL(28,6)))"
@@ -416,7 +416,7 @@ def _retention() -> dict[str, str]:
         "explain_customers": _with(t.CHURN, f"""SELECT customer_id, feature, push, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY -abs(push), tie) AS rank FROM ({explained}))
             WHERE rank <= 4"""),
-        "batch_predict": _with(at_rate, f"""SELECT customer_id, {rnd('p', 6)} AS churn_probability, risk,
+        "batch_predict": _with(at_rate, f"""SELECT customer_id, {near('p', 6)} AS churn_probability, risk,
             CASE WHEN p >= 0.5 THEN 'Likely to churn' ELSE 'Likely to stay' END AS prediction,
             CASE risk {advice} END AS action
             FROM (SELECT *, CASE WHEN p >= 0.7 THEN 'High risk' WHEN p >= 0.5 THEN 'Medium risk' ELSE 'Low risk' END AS risk
@@ -517,7 +517,7 @@ def _sentiment() -> dict[str, str]:
         "review_tokens": _with(t.REVIEWS, f"""SELECT review_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens
             FROM (SELECT review_id, {_TOKENS} AS w FROM reviews)"""),
         "review_tfidf": _with(_TERMS, f"""SELECT review_id, term,
-            {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))', 6)} AS weight FROM raw"""),
+            {near('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))', 6)} AS weight FROM raw"""),
         "vocabulary_size": _with(_TERMS, "SELECT count(*) AS vocabulary_size FROM vocabulary"),
         "sentiment_split": _with(_SPLIT_REVIEWS, "SELECT review_id, sentiment, split FROM split"),
         "split_leakage": _with(_SPLIT_REVIEWS, """SELECT count(*) AS overlap FROM split WHERE split = 'test'

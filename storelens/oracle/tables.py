@@ -167,6 +167,11 @@ def rnd(value: str, digits: int) -> str:
     return f"CAST(round(CAST({value} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
+def near(value: str, digits: int) -> str:
+    """Rounding for values that fall on no tie: probabilities, logarithms, deviations."""
+    return f"round(CAST({value} AS DOUBLE), {digits})"
+
+
 def pct(top: str, bottom: str, digits: int = 2) -> str:
     return rnd(f"100.0::DOUBLE * CAST({top} AS DOUBLE) / nullif(CAST({bottom} AS DOUBLE), 0)", digits)
 

@@ -38,7 +38,7 @@ def _bad_date(store_table: DataFrame, column: str) -> Column:
 
 
 def quality_profile(store: Store) -> DataFrame:
-    return stack_all([profile(df, name, KEYS[name]) for name, df in store.tables().items()])
+    return stack_all([profile(df, name, KEYS[name], ["review_text"]) for name, df in store.tables().items()])
 
 
 def _simple_checks(store: Store) -> dict[str, dict[str, Column]]:

@@ -171,9 +171,9 @@ _CLEAN_JOBS = {
     "customer_features": lambda s: customer_features(s.orders, s.customers, CUTOFF),
     "class_balance": lambda s: churn.class_balance(churn.churn_rows(s, CUTOFF, START, END)),
     "feature_nulls": lambda s: churn.feature_nulls(churn.churn_rows(s, CUTOFF, START, END)),
-    "feature_summary": lambda s: rounded(
+    "feature_summary": lambda s: rounded(rounded(
         churn.feature_summary(churn.churn_rows(s, CUTOFF, START, END)),
-        4, "mean", "std", "min", "p25", "p50", "p75", "max"),
+        4, "mean", "std", "min", "max"), 6, "p25", "p50", "p75"),
     "churn_split": lambda s: churn.churn_split(
         churn.churn_rows(s, CUTOFF, START, END)).select("customer_id", "churn", "split"),
     "churn_split_summary": lambda s: churn.split_summary(churn.churn_split(
