@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.money import ratio
+from storelens.operators.durable import durable
 from storelens.operators.ranking import probability_slot, running_totals
 
 
@@ -15,10 +16,13 @@ def _or_zero(value: Column) -> Column:
 
 
 def by_score(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Positives and negatives per distinct score: ties become one row before any sort."""
-    return scored.groupBy(F.col(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score: ties become one row before any sort.
+
+    The counts are written, because the running totals read them twice.
+    """
+    return durable(scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
 
 
 def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score",

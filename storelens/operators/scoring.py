@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from storelens.functions.labels import DRIVER_NAMES, decision, relabel, risk_band, RISK_ADVICE
 from storelens.operators.features import NUMERIC_FEATURES
-from storelens.operators.ranking import first_per_group
 
 
 @dataclass(frozen=True)
@@ -87,7 +86,3 @@ def explain(rows: DataFrame, card: Scorecard, k: int = 4) -> DataFrame:
     return (rows.select("customer_id", F.posexplode(strongest).alias("_at", "_e"))
             .select("customer_id", F.col("_e.feature").alias("feature"),
                     F.col("_e.push").alias("push"), (F.col("_at") + 1).alias("rank")))
-
-
-def recent_per_customer(orders: DataFrame, order: list[Column], k: int) -> DataFrame:
-    return first_per_group(orders, ["customer_id"], order, k)

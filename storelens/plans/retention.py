@@ -6,7 +6,8 @@ from storelens.functions.dates import day
 from storelens.functions.labels import HIGH, RISK_BANDS
 from storelens.functions.money import net_amount, ratio
 from storelens.functions.text import fill_template, first_word, initials
-from storelens.operators.features import customer_features, orders_in_window
+from storelens.operators.durable import durable
+from storelens.operators.features import Window, customer_features, latest_features
 from storelens.operators.ranking import exact_quantiles, first_per_group
 from storelens.operators.scoring import Scorecard, score
 from storelens.sources.store import Store
@@ -32,33 +33,32 @@ def data_freshness(store: Store) -> DataFrame:
     return store.orders.agg(F.max("order_date").alias("latest"))
 
 
-def latest_order_date(store: Store) -> Column:
-    """The newest order date as a one-value subquery."""
-    return data_freshness(store).scalar()
-
-
 def by_value_at_risk() -> list[Column]:
     return [F.desc("value_at_risk"), F.col("customer_id")]
 
 
-def score_all_customers(store: Store, card: Scorecard, cutoff: str | Column | None = None) -> DataFrame:
-    """Every customer with probability, risk band and value at risk, as of the newest order."""
-    until = latest_order_date(store) if cutoff is None else cutoff
-    return score(customer_features(store.orders, store.customers, until), card)
+def score_all_customers(store: Store, card: Scorecard, cutoff: str | None = None) -> DataFrame:
+    """Every customer with probability, risk band and value at risk, as of the newest order or a day."""
+    if cutoff is None:
+        return score(latest_features(store.orders, store.customers), card)
+    return score(customer_features(store.orders, store.customers, cutoff), card)
 
 
 def scored_list(scored: DataFrame) -> DataFrame:
     return scored.orderBy(*by_value_at_risk())
 
 
-def prediction_hindsight(scored: DataFrame, window_orders: DataFrame) -> DataFrame:
-    """What customers did in the target window, and whether the score had said so."""
-    actual = window_orders.select("customer_id", F.col("orders").alias("_orders"))
+def score_with_outcome(store: Store, card: Scorecard, cutoff: str, start: str, end: str) -> DataFrame:
+    """Scores as of the cutoff beside what happened from ``start`` to ``end``, in one pass over orders."""
     churned = F.col("actual_orders") == 0
-    return (scored.join(actual, "customer_id", "left")
-            .withColumn("actual_orders", F.coalesce("_orders", F.lit(0)).cast("bigint"))
-            .select("customer_id", "actual_orders", churned.alias("churned"),
-                    (churned == (F.col("churn_probability") >= 0.5)).alias("correct")))
+    return (score(customer_features(store.orders, store.customers, cutoff, Window(start, end)), card)
+            .withColumn("churned", churned)
+            .withColumn("correct", churned == (F.col("churn_probability") >= 0.5)))
+
+
+def prediction_hindsight(scored: DataFrame) -> DataFrame:
+    """What customers did in the target window, and whether the score had said so."""
+    return scored.select("customer_id", "actual_orders", "churned", "correct")
 
 
 def customer_profile(customers: DataFrame) -> DataFrame:
@@ -89,15 +89,9 @@ def recent_orders(store: Store, cutoff: str, k: int = 5) -> DataFrame:
 
 def customer_360(store: Store, card: Scorecard, cutoff: str, start: str, end: str) -> DataFrame:
     """Profile, history, score and outcome of every customer, one row each."""
-    scored = score(customer_features(store.orders, store.customers, cutoff), card)
-    seen = orders_in_window(store.orders, start, end).withColumnRenamed("orders", "_orders")
     profile = customer_profile(store.customers).select(
         "customer_id", "gender", "signup_date", "initials", "age_text")
-    churned = F.col("actual_orders") == 0
-    return (scored.join(profile, "customer_id").join(seen, "customer_id", "left")
-            .withColumn("actual_orders", F.coalesce("_orders", F.lit(0)).cast("bigint")).drop("_orders")
-            .withColumn("churned", churned)
-            .withColumn("correct", churned == (F.col("churn_probability") >= 0.5)))
+    return score_with_outcome(store, card, cutoff, start, end).join(profile, "customer_id")
 
 
 def at_risk_summary(scored: DataFrame) -> DataFrame:
@@ -178,11 +172,13 @@ def campaign_targets(scored: DataFrame, people: DataFrame, risks: list[str] | No
                      n: int, channel: str, discount: int) -> DataFrame:
     """The ``n`` most valuable matching customers with their code and address.
 
-    The top-n is taken before contacts are joined, so the join meets ``n`` rows.
+    The top-n is taken first and has at most ``n`` rows. Its keys are broadcast to pick the
+    contacts out of the customer table, which is therefore scanned but not shuffled.
     """
-    top = chosen(scored, risks, min_spend=min_spend).orderBy(*by_value_at_risk()).limit(n)
+    top = durable(chosen(scored, risks, min_spend=min_spend).orderBy(*by_value_at_risk()).limit(n))
     address = F.col("email") if channel == "Email" else F.col("phone")
-    return (top.join(contacts(people), "customer_id", "left")
+    known = contacts(people).join(F.broadcast(top.select("customer_id")), "customer_id", "left_semi")
+    return (top.join(known, "customer_id", "left")
             .withColumn("code", F.concat(F.lit(f"{CODE_PREFIX}{discount}-"), F.col("customer_id")))
             .withColumn("send_to", address))
 

@@ -20,6 +20,9 @@ from storelens.sources.store import Store
 # Roman Urdu words that mark a mixed-language review.
 MARKERS = ["hai", "thi", "bohat", "theek", "kharab", "mili", "nikla"]
 
+# Join keys over which the reviews of one very frequent text are spread, and what counts as frequent.
+HOT_PARTS, HOT_COPIES = 64, 1000
+
 
 def sentiment_labels(store: Store) -> DataFrame:
     return store.reviews.select("review_id", "rating", "review_text",
@@ -73,11 +76,15 @@ def sentiment_split(labelled: DataFrame) -> DataFrame:
 
 
 def split_leakage(split: DataFrame) -> DataFrame:
-    """Test reviews whose text occurs in training: must be none. Compared by digest."""
+    """Test reviews whose text occurs in training: must be none.
+
+    Both sides are reduced to one row per text (by digest) before they meet, so a text with
+    very many copies is a single row in the join.
+    """
     keyed = split.select("split", tfidf.text_key(F.col("review_text")).alias("_text"))
-    test = keyed.where(F.col("split") == "test")
-    train = keyed.where(F.col("split") == "train").select("_text")
-    return test.join(train, "_text", "left_semi").agg(F.count("*").alias("overlap"))
+    test = keyed.where(F.col("split") == "test").groupBy("_text").agg(F.count("*").alias("_n"))
+    train = keyed.where(F.col("split") == "train").select("_text").distinct()
+    return test.join(train, "_text", "left_semi").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("overlap"))
 
 
 def split_label_mix(split: DataFrame) -> DataFrame:
@@ -94,11 +101,24 @@ def split_label_mix(split: DataFrame) -> DataFrame:
 
 
 def review_tfidf(labelled: DataFrame, min_df: int = 2) -> DataFrame:
-    """Weights per review and term. Vocabulary and frequencies come from training reviews only."""
-    texts = tfidf.distinct_texts(labelled, in_train(F.col("review_text")))
-    weights = tfidf.term_weights(texts, min_df)
+    """Weights per review and term. Vocabulary and frequencies come from training reviews only.
+
+    Texts are weighed once each and then handed to their reviews. A text with a thousandth
+    of all reviews or more, and with ``HOT_COPIES`` at least, is hot; there are at most a
+    thousand. Their keys are broadcast to spread the reviews of a hot text over ``HOT_PARTS``
+    join keys, and its weights are repeated for each.
+    """
+    texts = durable(tfidf.distinct_texts(labelled, in_train(F.col("review_text"))))
+    reviews = texts.agg(F.sum("copies")).scalar()
+    is_hot = (F.col("copies") * 1000 >= reviews) & (F.col("copies") >= HOT_COPIES)
+    hot = F.broadcast(texts.where(is_hot).select("text_id", F.lit(True).alias("_hot")))
     keyed = labelled.select("review_id", tfidf.text_key(F.col("review_text")).alias("text_id"))
-    return keyed.join(weights, "text_id").select("review_id", "term", "weight")
+    keyed = keyed.join(hot, "text_id", "left").withColumn(
+        "_part", F.when(F.col("_hot"), F.pmod(F.xxhash64("review_id"), F.lit(HOT_PARTS))).otherwise(0))
+    weights = tfidf.term_weights(texts, min_df).join(hot, "text_id", "left").withColumn(
+        "_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_PARTS - 1).cast("bigint")))
+                           .otherwise(F.array(F.lit(0).cast("bigint")))))
+    return keyed.join(weights, ["text_id", "_part"]).select("review_id", "term", "weight")
 
 
 def vocabulary_size(labelled: DataFrame, min_df: int = 2) -> DataFrame:

@@ -178,11 +178,11 @@ _CLEAN_JOBS = {
         churn.churn_rows(s, CUTOFF, START, END)).select("customer_id", "churn", "split"),
     "churn_split_summary": lambda s: churn.split_summary(churn.churn_split(
         churn.churn_rows(s, CUTOFF, START, END))),
-    "binary_metrics": lambda s: rounded(binary_metrics(durable(_labelled_scores(s))), 6,
+    "binary_metrics": lambda s: rounded(binary_metrics(_labelled_scores(s)), 6,
                                         "accuracy", "precision", "recall", "f1", "roc_auc"),
     "confusion_matrix": lambda s: confusion_matrix(
         _labelled_scores(s).withColumn("pred", F.when(F.col("score") >= 0.5, 1).otherwise(0))),
-    "roc_points": lambda s: rounded(roc_points(durable(_labelled_scores(s))), 6, "fpr", "tpr"),
+    "roc_points": lambda s: rounded(roc_points(_labelled_scores(s)), 6, "fpr", "tpr"),
 
     "score_all_customers": lambda s: _show(retention.scored_list(_scored(s))),
     "explain_customers": lambda s: scoring.explain(customer_features(s.orders, s.customers, CUTOFF), CARD),
@@ -194,7 +194,7 @@ _CLEAN_JOBS = {
     "orders_in_window": lambda s: orders_in_window(s.orders, START, END),
     "orders_in_window_sql": _orders_in_window_sql,
     "prediction_hindsight": lambda s: retention.prediction_hindsight(
-        retention.score_all_customers(s, CARD, CUTOFF), orders_in_window(s.orders, START, END)),
+        retention.score_with_outcome(s, CARD, CUTOFF, START, END)),
     "customer_profile": lambda s: retention.customer_profile(s.customers),
     "customer_profile_lookup": _profile_of_one,
     "recent_orders": lambda s: retention.recent_orders(s, CUTOFF),

@@ -1,4 +1,3 @@
-import datetime as dt
 import random
 
 import numpy as np
@@ -217,6 +216,8 @@ def test_class_report(spark):
     assert sorted(rows(confusion_matrix(df))) == [("a", "a", 1), ("a", "b", 1), ("b", "b", 1), ("c", "a", 1)]
 
 
-def test_cutoff_may_be_a_column(shop):
-    latest = F.lit(dt.date(2026, 5, 31))
-    assert customer_features(shop.orders, shop.customers, latest).count() == 5
+def test_newest_order_as_cutoff(shop):
+    from storelens.operators.features import latest_features
+    found = by_key(latest_features(shop.orders, shop.customers), "customer_id")
+    same = by_key(customer_features(shop.orders, shop.customers, "2026-09-01"), "customer_id")
+    assert found == same and found[4]["days_since_last_order"] == 0 and found[6]["days_since_last_order"] == 78

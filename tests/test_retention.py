@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import by_key, rows
 from fixtures import customer, order, product, store
 from storelens.operators import scoring
-from storelens.operators.features import NUMERIC_FEATURES, orders_in_window
+from storelens.operators.features import NUMERIC_FEATURES
 from storelens.plans import retention
 from storelens.sources import files
 
@@ -155,9 +155,8 @@ def test_explanation_ranks_by_size_of_push(shop):
 
 def test_hindsight_and_360(shop):
     c = card(age=0.01)
-    scored = retention.score_all_customers(shop, c, "2026-05-31")
-    seen = orders_in_window(shop.orders, "2026-06-01", "2026-08-31")
-    found = by_key(retention.prediction_hindsight(scored, seen), "customer_id")
+    scored = retention.score_with_outcome(shop, c, "2026-05-31", "2026-06-01", "2026-08-31")
+    found = by_key(retention.prediction_hindsight(scored), "customer_id")
     assert found[1] == {"customer_id": 1, "actual_orders": 1, "churned": False, "correct": False}
     assert found[2] == {"customer_id": 2, "actual_orders": 0, "churned": True, "correct": True}
     whole = by_key(retention.customer_360(shop, c, "2026-05-31", "2026-06-01", "2026-08-31"), "customer_id")

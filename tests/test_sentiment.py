@@ -86,6 +86,16 @@ def test_tfidf(labelled):
     assert rows(sentiment.vocabulary_size(labelled)) == [(len(idf),)]
 
 
+def test_weights_of_a_text_with_most_of_the_reviews(spark):
+    texts = ["good good value"] * 3000 + [f"good value item {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    labelled = sentiment.sentiment_labels(store(spark, reviews=[(i, 1, 5, t, None) for i, t in enumerate(texts)]))
+    weights = sentiment.review_tfidf(labelled)
+    per_review = weights.groupBy("review_id").agg(F.count("*").alias("n"), F.sum(F.col("weight") ** 2).alias("l"))
+    hot = per_review.where("review_id < 3000")
+    assert hot.count() == 3000 and rows(hot.select("n").distinct()) == [(4,)]
+    assert per_review.agg(F.min("l"), F.max("l")).first() == pytest.approx((1.0, 1.0))
+
+
 def softmax_fit(x, y, k, weight):
     """Penalised multinomial regression by plain gradient descent with line search."""
     from itertools import count
