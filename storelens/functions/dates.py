@@ -4,8 +4,12 @@ from pyspark.sql import functions as F
 
 
 def parse_date(text: Column) -> Column:
-    """Year-month-day text to a date; anything else, and impossible days, to null."""
-    return F.try_to_date(text, "yyyy-M-d")
+    """Year-month-day text to a date; anything else, and impossible days, to null.
+
+    A cast alone would also take a bare year or a trailing time; the pattern keeps those out
+    and the pair is several times faster than a date format.
+    """
+    return F.when(text.rlike(r"\A\d{4}-\d{1,2}-\d{1,2}\z"), text.try_cast("date"))
 
 
 def month_of(date: Column) -> Column:

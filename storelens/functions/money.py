@@ -10,22 +10,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_GROSS = "cast(quantity AS decimal(10,0)) * unit_price"
+_NET = f"{_GROSS} * (1 - discount)"
+
+
 def gross_amount() -> Column:
-    return F.col("quantity").cast("decimal(10,0)") * F.col("unit_price")
+    return F.expr(_GROSS)
 
 
 def net_amount() -> Column:
     """Line amount after discount, whether or not the line came back."""
-    return gross_amount() * (F.lit(1) - F.col("discount"))
+    return F.expr(_NET)
 
 
 def kept_amount() -> Column:
     """Line amount that counts as net revenue: zero once the line is returned."""
-    return F.when(F.col("returned") == 0, net_amount()).otherwise(F.lit(0))
+    return F.expr(f"CASE WHEN returned = 0 THEN {_NET} ELSE 0 END")
 
 
 def returned_amount() -> Column:
-    return F.when(F.col("returned") == 1, net_amount()).otherwise(F.lit(0))
+    return F.expr(f"CASE WHEN returned = 1 THEN {_NET} ELSE 0 END")
 
 
 def total(amount: Column) -> Column:

@@ -15,12 +15,15 @@ def build_session(name: str = "storelens", master: str | None = None, **settings
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false"))
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
             builder = (builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
-                       .config("spark.sql.shuffle.partitions", "8"))
+                       .config("spark.sql.shuffle.partitions", "8")
+                       # A small local file is one task. Joining it by shuffle gives every core work.
+                       .config("spark.sql.autoBroadcastJoinThreshold", "1MB"))
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -4,16 +4,12 @@ Those tables lack several of the store's columns. The stand-ins below are fixed
 on keys: they have no business meaning, they make every job computable and repeatable.
 The raw store adds faults by rule as well, so that checks and cleaning have work to do.
 """
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.sources.store import Store
 
 
-def _when_multiple(number: Column, of: int, then: Column, other: Column) -> Column:
-    return F.when(number % of == 0, then).otherwise(other)
-
-
 # The columns that the store needs, so that opening a table reads no file footer.
 _SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
@@ -35,84 +31,78 @@ class _Tables:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
-def _line_columns() -> list[Column]:
-    return [
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("unit_price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"),
-    ]
+_LINE_COLUMNS = [
+    "l_orderkey AS order_id",
+    "l_partkey AS product_id",
+    "CAST(l_quantity AS int) AS quantity",
+    "CAST(l_extendedprice AS decimal(12,2)) AS unit_price",
+    "CAST(l_discount AS decimal(4,2)) AS discount",
+    "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned",
+]
+_ORDER_COLUMNS = ["order_id", "customer_id", "product_id", "order_date", "quantity", "unit_price",
+                  "discount", "returned", "payment_method", "delivery_days"]
 
 
 def _orders(t: _Tables) -> DataFrame:
     """One row per order line. Every line has its header and every header is unique by key."""
-    placed, shipped = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        *_line_columns(),
-        F.col("o_custkey").alias("customer_id"),
-        placed.alias("order_date"),
-        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("payment_method"),
-        F.when(F.col("l_linenumber") != 7,
-               F.abs(F.datediff(shipped, placed)) % 10 + 1).cast("int").alias("delivery_days"),
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        *_LINE_COLUMNS,
+        "o_custkey AS customer_id",
+        "CAST(o_orderdate AS date) AS order_date",
+        "nullif(o_orderpriority, '4-NOT SPECIFIED') AS payment_method",
+        """CASE WHEN l_linenumber <> 7 THEN
+             abs(datediff(CAST(l_shipdate AS date), CAST(o_orderdate AS date))) % 10 + 1 END AS delivery_days""",
         "l_linenumber")
 
 
-_ORDER_COLUMNS = ["order_id", "customer_id", "product_id", "order_date", "quantity", "unit_price",
-                  "discount", "returned", "payment_method", "delivery_days"]
-
-
 def _customers(t: _Tables) -> DataFrame:
-    key = F.col("c_custkey")
-    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        key.alias("customer_id"),
-        F.col("c_name").alias("customer_name"),
-        _when_multiple(key, 2, F.lit("Female"), F.lit("Male")).alias("gender"),
-        F.when(key % 20 != 0, F.lit(18) + key % 63).cast("int").alias("age"),
-        F.concat(F.substring("n_name", 1, 1), F.lower(F.substr("n_name", F.lit(2)))).alias("city"),
-        F.concat(F.lit("c"), key % 1400, F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("+000"), key).alias("phone"),
-        F.col("c_mktsegment").alias("membership_type"),
-        F.date_add(F.lit("1994-01-01").cast("date"), (key % 365).cast("int")).alias("signup_date"))
+    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "c_custkey AS customer_id",
+        "c_name AS customer_name",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender",
+        "CASE WHEN c_custkey % 20 <> 0 THEN CAST(18 + c_custkey % 63 AS int) END AS age",
+        "concat(left(n_name, 1), lower(substr(n_name, 2))) AS city",
+        "concat('c', c_custkey % 1400, '@example.com') AS email",
+        "concat('+000', c_custkey) AS phone",
+        "c_mktsegment AS membership_type",
+        "date_add(DATE '1994-01-01', CAST(c_custkey % 365 AS int)) AS signup_date")
 
 
 def _products(t: _Tables) -> DataFrame:
-    key = F.col("p_partkey")
-    return t.part.select(
-        key.alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.concat(F.substring("p_type", 1, 1), F.lower(F.substr("p_type", F.lit(2)))).alias("category"),
-        F.when(key % 50 != 0, F.col("p_brand")).alias("brand"),
-        F.col("p_retailprice").cast("decimal(12,2)").alias("unit_price"))
+    return t.part.selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS product_name",
+        "concat(left(p_type, 1), lower(substr(p_type, 2))) AS category",
+        "CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS brand",
+        "CAST(p_retailprice AS decimal(12,2)) AS unit_price")
 
 
 def _reviews(t: _Tables) -> DataFrame:
     """Every document is a review; one without a label has no rating."""
-    key = F.col("doc_id")
     products = t.part.agg(F.count("*")).scalar()
-    rating = (F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 5)
-              .when(F.col("quality").isNotNull(), 3))
     return t.documents.join(t.labels, "doc_id", "left").select(
-        key.alias("review_id"),
-        (key % products).alias("product_id"),
-        rating.cast("int").alias("rating"),
+        F.col("doc_id").alias("review_id"),
+        (F.col("doc_id") % products).alias("product_id"),
+        F.expr("""CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 5
+                       WHEN quality IS NOT NULL THEN 3 END""").alias("rating"),
         F.col("text").alias("review_text"),
-        F.date_add(F.lit("2001-01-01").cast("date"), (key % 200).cast("int")).alias("review_date"))
+        F.expr("date_add(DATE '2001-01-01', CAST(doc_id % 200 AS int))").alias("review_date"))
 
 
 def open_store(spark: SparkSession, folder: str) -> Store:
     """The store without faults: what cleaning would leave of it."""
     t = _Tables(spark, folder)
-    known = F.lit("Unknown")
+
+    def filled(df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn(column, F.coalesce(column, F.lit("Unknown")))
+
     return Store(
         spark,
         customers=lambda: _customers(t),
-        products=lambda: _products(t).withColumn("brand", F.coalesce("brand", known)),
-        orders=lambda: _orders(t).withColumn("payment_method", F.coalesce("payment_method", known))
-                                 .select(*_ORDER_COLUMNS),
+        products=lambda: filled(_products(t), "brand"),
+        orders=lambda: filled(_orders(t), "payment_method").select(*_ORDER_COLUMNS),
         reviews=lambda: _reviews(t).where(F.col("rating").isNotNull()),
-        lines=lambda: t.lineitem.select(*_line_columns()))
+        lines=lambda: t.lineitem.selectExpr(*_LINE_COLUMNS))
 
 
 def open_raw_store(spark: SparkSession, folder: str) -> Store:
@@ -122,50 +112,48 @@ def open_raw_store(spark: SparkSession, folder: str) -> Store:
                  orders=lambda: _raw_orders(t), reviews=lambda: _raw_reviews(t))
 
 
-def _iso(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM-dd")
+def _replaced(df: DataFrame, **columns: str) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def _raw_customers(t: _Tables) -> DataFrame:
-    key, city = F.col("customer_id"), F.col("city")
-    return _customers(t).withColumns({
-        "city": (F.when(key % 101 == 0, F.lit(None))
-                 .when(key % 11 == 0, F.upper(city))
-                 .when(key % 13 == 0, F.concat(F.lit("  "), city, F.lit(" ")))
-                 .when(key % 17 == 0, F.concat(F.lit("\t"), city))
-                 .when(key % 19 == 0, F.lower(city))
-                 .otherwise(city)),
-        "email": (F.when(key % 37 == 0, F.lit(None))
-                  .when(key % 3 == 0, F.upper("email")).otherwise(F.col("email"))),
-        "signup_date": _when_multiple(key, 41, F.lit("2001-13-45"), _iso(F.col("signup_date"))),
-    })
+    return _replaced(
+        _customers(t),
+        city="""CASE WHEN customer_id % 101 = 0 THEN NULL
+                     WHEN customer_id % 11 = 0 THEN upper(city)
+                     WHEN customer_id % 13 = 0 THEN concat('  ', city, ' ')
+                     WHEN customer_id % 17 = 0 THEN concat(chr(9), city)
+                     WHEN customer_id % 19 = 0 THEN lower(city) ELSE city END""",
+        email="""CASE WHEN customer_id % 37 = 0 THEN NULL
+                      WHEN customer_id % 3 = 0 THEN upper(email) ELSE email END""",
+        signup_date="""CASE WHEN customer_id % 41 = 0 THEN '2001-13-45'
+                            ELSE CAST(signup_date AS string) END""")
 
 
 def _raw_products(t: _Tables) -> DataFrame:
-    key, category = F.col("product_id"), F.col("category")
-    return _products(t).withColumn(
-        "category", F.when(key % 7 == 0, F.upper(category))
-                     .when(key % 9 == 0, F.concat(F.lit(" "), category))
-                     .otherwise(category))
+    return _replaced(
+        _products(t),
+        category="""CASE WHEN product_id % 7 = 0 THEN upper(category)
+                         WHEN product_id % 9 = 0 THEN concat(' ', category) ELSE category END""")
 
 
 def _raw_orders(t: _Tables) -> DataFrame:
-    key = F.col("order_id") * 7 + F.col("l_linenumber")
-    quantity, price = F.col("quantity"), F.col("unit_price")
-    return _orders(t).withColumns({
-        "quantity": (F.when(key % 97 == 0, F.lit(0)).when(key % 103 == 0, -quantity)
-                     .when(key % 211 == 0, F.lit(None)).otherwise(quantity)),
-        "unit_price": _when_multiple(key, 53, (-price).cast("decimal(12,2)"), price),
-        "order_date": (F.when(key % 83 == 0, F.lit("2001-13-45")).when(key % 131 == 0, F.lit("2001-02-30"))
-                       .when(key % 137 == 0, F.lit("unknown")).otherwise(_iso(F.col("order_date")))),
-    }).select(*_ORDER_COLUMNS)
+    return _replaced(
+        _orders(t).withColumn("k", F.expr("order_id * 7 + l_linenumber")),
+        quantity="""CASE WHEN k % 97 = 0 THEN 0 WHEN k % 103 = 0 THEN -quantity
+                         WHEN k % 211 = 0 THEN NULL ELSE quantity END""",
+        unit_price="CASE WHEN k % 53 = 0 THEN CAST(-unit_price AS decimal(12,2)) ELSE unit_price END",
+        order_date="""CASE WHEN k % 83 = 0 THEN '2001-13-45' WHEN k % 131 = 0 THEN '2001-02-30'
+                           WHEN k % 137 = 0 THEN 'unknown' ELSE CAST(order_date AS string) END""",
+    ).select(*_ORDER_COLUMNS)
 
 
 def _raw_reviews(t: _Tables) -> DataFrame:
-    key, text = F.col("review_id"), F.col("review_text")
-    return _reviews(t).withColumns({
-        "rating": F.when(key % 43 == 0, F.lit(9)).when(key % 47 == 0, F.lit(0)).otherwise(F.col("rating")),
-        "review_text": (F.when(key % 29 == 0, F.lit("   ")).when(key % 31 == 0, F.lit(None))
-                        .when(key % 23 == 0, F.concat(F.lit(" \t"), text, F.lit("\n "))).otherwise(text)),
-        "review_date": _when_multiple(key, 37, F.lit("2001-13-45"), _iso(F.col("review_date"))),
-    })
+    return _replaced(
+        _reviews(t),
+        rating="CASE WHEN review_id % 43 = 0 THEN 9 WHEN review_id % 47 = 0 THEN 0 ELSE rating END",
+        review_text="""CASE WHEN review_id % 29 = 0 THEN '   ' WHEN review_id % 31 = 0 THEN NULL
+                            WHEN review_id % 23 = 0 THEN concat(' ', chr(9), review_text, chr(10), ' ')
+                            ELSE review_text END""",
+        review_date="""CASE WHEN review_id % 37 = 0 THEN '2001-13-45'
+                            ELSE CAST(review_date AS string) END""")
