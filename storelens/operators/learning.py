@@ -106,7 +106,8 @@ def logistic_pipeline() -> Pipeline:
 
 def forest_pipeline(trees: int = 300) -> Pipeline:
     return Pipeline(stages=_preparation(scale=False) + [
-        RandomForestClassifier(labelCol="churn", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=SEED)])
+        RandomForestClassifier(labelCol="churn", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=SEED,
+                               maxMemoryInMB=1024)])
 
 
 class SizedPerceptron(Estimator):
@@ -157,7 +158,7 @@ def cross_validated_auc(name: str, pipeline: Pipeline, train: DataFrame, folds:
     ``train`` carries a ``fold`` column. Preparation is fitted anew inside every fold.
     """
     search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=[{}], numFolds=folds, foldCol="fold",
+        estimator=pipeline, estimatorParamMaps=[{}], numFolds=folds, foldCol="fold", parallelism=folds,
         evaluator=BinaryClassificationEvaluator(labelCol="churn", numBins=0))
     fitted = search.fit(train)
     return train.sparkSession.createDataFrame(

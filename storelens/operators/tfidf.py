@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.text import words, words_and_pairs
+from storelens.operators.durable import durable
 
 
 def text_key(text: Column) -> Column:
@@ -28,11 +29,12 @@ def distinct_texts(reviews: DataFrame, in_train: Column) -> DataFrame:
 def term_counts(texts: DataFrame) -> DataFrame:
     """Occurrences of each term in each text.
 
-    ``texts`` arrives grouped by text_id, which also groups (text_id, term): the counts
-    need no further shuffle.
+    Texts are spread by text_id before they are cut into terms. That also groups
+    (text_id, term), so the texts are shuffled and their many terms are not.
     """
     terms = words_and_pairs(words(F.col("review_text")))
-    return (texts.select("text_id", "train_copies", F.explode(terms).alias("term"))
+    return (texts.repartition("text_id")
+            .select("text_id", "train_copies", F.explode(terms).alias("term"))
             .groupBy("text_id", "term").agg(F.first("train_copies").alias("train_copies"),
                                             F.count("*").alias("n")))
 
@@ -63,5 +65,6 @@ def unit_weights(raw: DataFrame) -> DataFrame:
 
 
 def term_weights(texts: DataFrame, min_df: int = 2) -> DataFrame:
-    counts = term_counts(texts)
+    """Weights of every text. The counts are written: vocabulary and weights both read them."""
+    counts = durable(term_counts(texts))
     return unit_weights(raw_weights(counts, document_frequencies(counts, texts, min_df)))

@@ -426,7 +426,6 @@ def _retention() -> dict[str, str]:
         "prediction_hindsight": _with(_SCORED_AT, f"""SELECT customer_id, {_OUTCOME}
             FROM scored LEFT JOIN ({_WINDOW}) w USING (customer_id)"""),
         "customer_profile": _with(t.CUSTOMERS, f"SELECT {_PROFILE} FROM people"),
-        "customer_profile_lookup": _with(t.CUSTOMERS, f"SELECT {_PROFILE} FROM people WHERE customer_id = {r.LOOKUP_ID}"),
         "recent_orders": _with(_SALES, f"""
             SELECT customer_id, rank, {iso('order_date')} AS order_date, product_name, category, quantity, amount, status
             FROM (SELECT *, row_number() OVER (PARTITION BY customer_id

@@ -13,12 +13,11 @@ from storelens.operators.features import MODEL_FEATURES, customer_features, orde
 from storelens.operators.metrics import binary_metrics, class_report, confusion_matrix, roc_points
 from storelens.plans import business, churn, dashboard, quality, retention, sentiment
 from storelens.sources.star_schema import open_raw_store, open_store
-from storelens.sources.store import Store, lookup, run_sql
+from storelens.sources.store import Store, run_sql
 
 # Parameters of the registered runs, chosen for the test data's dates and amounts.
 CUTOFF, START, END = "2001-04-30", "2001-05-01", "2001-07-31"
 CATEGORY = "Economy"
-LOOKUP_ID = 7
 MIN_SPEND = 30_000_000
 CITIES = ["Nation_1", "Nation_2", "Nation_3", "Nation_5", "Nation_8"]
 TIERS = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
@@ -94,10 +93,6 @@ def _orders_in_window_sql(store: Store) -> DataFrame:
                    start=START, end=END)
 
 
-def _profile_of_one(store: Store) -> DataFrame:
-    return lookup(retention.customer_profile(store.customers), customer_id=LOOKUP_ID)
-
-
 def _on_raw(job: Callable[[Store], DataFrame]) -> Job:
     return lambda spark, folder: plain(job(open_raw_store(spark, folder)))
 
@@ -196,7 +191,6 @@ _CLEAN_JOBS = {
     "prediction_hindsight": lambda s: retention.prediction_hindsight(
         retention.score_with_outcome(s, CARD, CUTOFF, START, END)),
     "customer_profile": lambda s: retention.customer_profile(s.customers),
-    "customer_profile_lookup": _profile_of_one,
     "recent_orders": lambda s: retention.recent_orders(s, CUTOFF),
     "customer_360": lambda s: _show(retention.customer_360(s, CARD, CUTOFF, START, END)),
     "at_risk_summary": lambda s: retention.at_risk_summary(durable(_scored(s))),
@@ -256,7 +250,7 @@ def _study(spark: SparkSession, folder: str) -> churn.ChurnStudy:
 
 def _sentiment_model(spark: SparkSession, folder: str) -> sentiment.SentimentModel:
     return _once("sentiment", spark, folder, lambda s: sentiment.sentiment_model(
-        _split_labels(s).where(F.col("split") == "train"), iterations=200))
+        _split_labels(s).where(F.col("split") == "train")))
 
 
 def _test_predictions(spark: SparkSession, folder: str) -> DataFrame:
