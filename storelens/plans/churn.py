@@ -66,6 +66,7 @@ class ChurnStudy:
         self.train = self.rows.where(F.col("split") == "train")
         self.test = self.rows.where(F.col("split") == "test")
         self._models: dict[str, PipelineModel] = {}
+        self._validations: dict[tuple[str, int], DataFrame] = {}
 
     def model(self, name: str) -> PipelineModel:
         if name not in self._models:
@@ -76,11 +77,21 @@ class ChurnStudy:
         return learning.evaluate(name, self.model(name), self.test)
 
     def cross_validation(self, name: str, folds: int = 5) -> DataFrame:
-        train = durable(learning.stratified_folds(self.train, "customer_id", "churn", folds))
-        return learning.cross_validated_auc(name, self.pipelines[name](), train, folds)
-
-    def comparison(self, names: list[str], cross_validated: bool = True) -> DataFrame:
-        """One row per model: test metrics, training area and gap, size."""
+        """Mean and deviation of the area under the curve over folds of the training rows."""
+        if (name, folds) not in self._validations:
+            train = durable(learning.stratified_folds(self.train, "customer_id", "churn", folds))
+            self._validations[name, folds] = learning.cross_validated_auc(
+                name, self.pipelines[name](), train, folds)
+        return self._validations[name, folds]
+
+    def comparison(self, names: list[str], cross_validated: list[str] | None = None) -> DataFrame:
+        """One row per model: test metrics, training area and gap, size.
+
+        Models in ``cross_validated`` also carry their fold results: all but the network,
+        unless said otherwise.
+        """
+        if cross_validated is None:
+            cross_validated = [LOGISTIC, FOREST]
         rows = []
         for name in names:
             model = self.model(name)
@@ -89,7 +100,7 @@ class ChurnStudy:
                    .join(fitted_on.select("model", F.col("roc_auc").alias("train_auc")), "model")
                    .withColumn("gap", F.col("train_auc") - F.col("roc_auc"))
                    .withColumn("model_size", F.lit(learning.model_size(model)).cast("bigint")))
-            if cross_validated and name != NETWORK:
+            if name in cross_validated:
                 row = row.join(self.cross_validation(name), "model")
             else:
                 row = row.withColumns({c: F.lit(None).cast("double") for c in ("mean_auc", "std_auc")})

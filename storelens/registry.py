@@ -271,7 +271,7 @@ _MODEL_JOBS: dict[str, Job] = {
     "churn_model_mlp": lambda sp, f: _study(sp, f).metrics(churn.NETWORK),
     "churn_cv": lambda sp, f: _study(sp, f).cross_validation(churn.LOGISTIC),
     "model_comparison": lambda sp, f: _study(sp, f).comparison(
-        [churn.LOGISTIC, churn.FOREST, churn.NETWORK], cross_validated=False),
+        [churn.LOGISTIC, churn.FOREST, churn.NETWORK], cross_validated=[churn.LOGISTIC]),
     "coefficient_table": lambda sp, f: _study(sp, f).coefficients(),
     "churn_metadata": lambda sp, f: _study(sp, f).metadata(CUTOFF, START, END),
     "score_with_fitted_model": _score_with_fitted,
