@@ -135,14 +135,17 @@ def empty_review_rows(store: Store, n: int = 5) -> DataFrame:
 
 
 def city_spelling_variants(customers: DataFrame, n: int = 5) -> DataFrame:
-    """Cities written in more than one way. Spellings are made distinct before they are listed."""
+    """Cities written in more than one way, the first ``n`` by name.
+
+    Spellings are made distinct first; only those of the cities shown are listed.
+    """
     spellings = (customers.where(F.col("city").isNotNull())
                  .groupBy(F.lower(F.trim("city")).alias("real_city"), "city").agg(F.count("*").alias("_n")))
-    return (spellings.groupBy("real_city")
-            .agg(F.array_join(F.sort_array(F.collect_set(bracketed(F.col("city")))), ",").alias("spellings_found"),
-                 F.count("*").alias("_spellings"))
-            .where(F.col("_spellings") > 1)
-            .select("real_city", "spellings_found").orderBy("real_city").limit(n))
+    shown = (spellings.groupBy("real_city").agg(F.count("*").alias("_spellings"))
+             .where(F.col("_spellings") > 1).select("real_city").orderBy("real_city").limit(n))
+    return (spellings.join(shown, "real_city", "left_semi").groupBy("real_city")
+            .agg(F.array_join(F.sort_array(F.collect_set(bracketed(F.col("city")))), ",").alias("spellings_found"))
+            .orderBy("real_city"))
 
 
 def negative_price_vs_list(store: Store, n: int = 5) -> DataFrame:
