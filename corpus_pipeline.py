@@ -1,17 +1,54 @@
-"""A corpus pipeline: each stage takes what the one before kept. (spark, docs, sf_dir) -> DataFrame."""
+"""A corpus pipeline in five stages: each takes (spark, docs, sf_dir) and works on all that the one before kept."""
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelens.llm import minhash
+from storelens.llm import bpe, language, leaks, minhash, suffixes
+from storelens.llm.entries import held_out, importable, vocabulary
 from storelens.operators.durable import durable
 
+#: A document stays if its language is this likely.
+LEAST_SCORE = 0.5
 
-def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies."""
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts whose language can be told. Learns from the labelled documents of the learning folds."""
+    model = language.learn(docs.where(~held_out()))
+    found = language.predict(docs, model, language_column="__lang", score_column="__score")
+    return found.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).drop(
+        "__lang", "__score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings of 400 or more that occur twice. Parts of characters that a cut leaves go, and so do texts
+    of which nothing is left."""
+    found = suffixes.repeated_spans(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    whole = F.col("kept_text").isNull()
+    left = (found.withColumn("text", F.coalesce("kept_text", "text")).where(whole | (F.trim("text") != ""))
+            .withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))))
+    return left.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a passage of the benchmark."""
+    found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (packed, little-endian) and whether they decode to its text."""
+    found = bpe.encode_decode(docs, vocabulary(), carry=["text"])
+    return found.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
-STAGES = [("near_duplicates", near_duplicate)]
+STAGES = [("language", importable(identify_language)), ("near_duplicates", importable(drop_near_duplicates)),
+          ("repeats", importable(cut_repeats)), ("decontamination", importable(decontaminate)),
+          ("tokens", importable(tokenize))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Suffix arrays, near-duplicate components and merges go beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None

@@ -1,11 +1,15 @@
 """The queries of this subpackage with their production parameters, and their DuckDB statements."""
 import os
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelens.llm import minhash
+from storelens.llm import bpe, chat, itq, language, leaks, licences, minhash, quality, shards, suffixes
+from storelens.operators.durable import shared_folder
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +31,81 @@ def importable(job: Job) -> Job:
     return run
 
 
+def held_out() -> Column:
+    """The fold that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").select("doc_id", "quality")
+    model = quality.learn(docs.where(~held_out()).join(labels, "doc_id"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), minhash.NearDuplicates(width=2))
 
 
-_JOBS: list[Job] = [op2_minhash]
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = language.learn(docs.where(~held_out()))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licences(_table(spark, folder, "documents"))
+
+
+def op5_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes the shards to the shared folder and reads its columns from there."""
+    plan = shards.Sharding()
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    written = shards.write_shards(docs, f"{shared_folder(spark)}/{uuid.uuid4().hex}", plan)
+    return written.select("doc_id", shards.row_size(plan).alias("size"),
+                          F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
+                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.repeated_spans(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_itq(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = bpe.encode_decode(_table(spark, folder, "documents"), vocabulary())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    injected = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", injected), (-1, 1, "assistant", injected)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    log = chat.events_of_turns(turns.unionByName(extra.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])))
+    return chat.read_back(chat.rendered(chat.final_messages(log)), turns.schema["conv_id"].dataType.simpleString())
+
+
+_JOBS: list[Job] = [op1_quality, op2_minhash, op3_language, op4_licences, op5_leaks, op6_shards, op7_suffixes,
+                    op8_itq, op9_bpe, op10_chat]
 
 QUERIES: dict[str, Job] = {job.__name__: importable(job) for job in _JOBS}
 
