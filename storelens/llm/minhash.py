@@ -29,9 +29,10 @@ from storelens.operators.durable import durable
 
 #: Nodes of a band that are compared in one block.
 BLOCK = 1024
-#: Partners that a node passes on in the first round over blocks; each later round takes four times as many.
-PARTNERS = 4
+#: Partners that a node passes on in the first round over blocks; each later round takes eight times as many.
+PARTNERS = 64
 _CHUNK = 1 << 17
+_PAIRS = 50_000
 
 
 @dataclass(frozen=True)
@@ -217,33 +218,64 @@ def _open_pairs(members: DataFrame, marks: DataFrame, p: NearDuplicates, partner
                       F.greatest("mine", "other").alias("y"))
               .join(marks, "node"))
 
-    def per_group(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        component = table.column("component").to_numpy()
-        mine = table.column("mine").to_numpy()
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        sign = _matrix(table.column("signature").combine_chunks())
-        left = np.flatnonzero(mine == x)
-        right = np.flatnonzero(mine == y)
-        out_a, out_b, more = [], [], set()
-        for i in left:
-            js = right[component[right] != component[i]]
-            if x == y:
-                js = js[node[js] > node[i]]
-            if not len(js):
-                continue
-            alive, matches = survivors(np.broadcast_to(sign[i], (len(js), sign.shape[1])), sign[js], p)
-            best = alive[np.argsort(-matches, kind="stable")]
-            if len(best) > partners:
-                more.add(int(node[i]))
-            for j in best[:partners]:
-                out_a.append(int(node[i]))
-                out_b.append(int(node[js[j]]))
-        a = pa.array(out_a + sorted(more), pa.int64())
-        b = pa.array(out_b + [None] * len(more), pa.int64())
-        return pa.table({"a": a, "b": b})
-
-    return spread.groupBy("band", "x", "y").applyInArrow(per_group, "a bigint, b bigint")
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+            for rows in filter(len, table):
+                new = _changes(rows)
+                # The last group may go on in the next batch.
+                yield from _likely_in_groups(rows.slice(0, int(new[-1])), new[:-1], p, partners)
+                rest = rows.slice(int(new[-1]))
+        if rest is not None and rest.num_rows:
+            yield from _likely_in_groups(rest, _changes(rest), p, partners)
+
+    ordered = spread.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return ordered.select("band", "x", "y", "node", "component", "mine", "signature").mapInArrow(
+        per_task, "a bigint, b bigint")
+
+
+def _changes(rows: pa.RecordBatch) -> np.ndarray:
+    """Where groups begin in sorted rows."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for name in ("band", "x", "y"):
+        value = rows.column(name).to_numpy()
+        new[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(new)
+
+
+def _likely_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicates,
+                      partners: int) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of whole groups: a row meets the rows after it in its group."""
+    n = rows.num_rows
+    if not n:
+        return
+    node, component, mine, x, y = (rows.column(c).to_numpy() for c in ("node", "component", "mine", "x", "y"))
+    sign = _matrix(rows.column("signature"))
+    ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+    many = ends - np.arange(n) - 1
+    total = np.append(0, np.cumsum(many))
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + _PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(first, last), many[first:last])
+        j = np.arange(total[first], total[last]) - np.repeat(total[first:last], many[first:last]) + i + 1
+        first = last
+        meets = (component[i] != component[j]) & ((x[i] == y[i]) | (mine[i] != mine[j]))
+        i, j = i[meets], j[meets]
+        alive, matches = survivors(sign[i], sign[j], p)
+        order = alive[np.lexsort((-matches, i[alive]))]
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
+        place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        more = np.unique(node[i[place == partners]])
+        taken = place < partners
+        a, b = node[i[taken]], node[j[taken]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.minimum(a, b), more])),
+             pa.array(np.concatenate([np.maximum(a, b), more]),
+                      mask=np.concatenate([np.zeros(len(a), bool), np.ones(len(more), bool)]))], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_column: str = "doc_id",
@@ -272,17 +304,18 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     wanted = members.select("node").distinct().join(chosen.select("node", "set_id"), "node")
     sets = durable(_sets(docs, wanted, p, id_column, text))
     links = durable(_confirmed(_likely(pairs, marks, p), sets, p))
-    partners = PARTNERS
+    found, partners = durable(components(links)), PARTNERS
     while True:
-        found = durable(components(links))
         labelled = members.join(found, "node", "left").select(
             "band", "node", F.coalesce("component", "node").alias("component"))
         pairs = durable(_open_pairs(labelled, marks, p, partners).distinct())
-        links = durable(links.unionByName(_confirmed(pairs.where("b IS NOT NULL"), sets, p)))
+        fresh = durable(_confirmed(pairs.where("b IS NOT NULL"), sets, p))
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            found = durable(components(links))
         if pairs.where("b IS NULL").isEmpty():
             break
-        partners *= 4
-    found = components(links)
+        partners *= 8
     owner = owner.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     return (sign.select("doc_id", "n_shingles").join(owner, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
