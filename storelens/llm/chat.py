@@ -52,7 +52,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     own = F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "role")))
     return (live.groupBy("conv_id", "message").agg(own.alias("events"))
             .select("conv_id", "message",
-                    F.element_at(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r.isNotNull()), 1)
+                    F.get(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r.isNotNull()), 0)
                     .alias("role"),
                     F.aggregate("events", F.lit(""), lambda text, e: F.when(
                         e["kind"] == "delta", F.concat(text, e["text"])).otherwise(e["text"])).alias("text")))

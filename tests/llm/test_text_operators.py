@@ -98,9 +98,10 @@ def test_near_duplicates_of_nothing(spark):
 def test_bayesian_bounds():
     """A pair at the threshold fails the whole sequence of tests less often than the stated chance per test."""
     p = minhash.NearDuplicates()
-    bounds = minhash.least_matches(p)
-    assert [n for n, _ in bounds] == [*range(p.batch, p.hashes + 1, p.batch)]
-    assert all(0 <= m < 0.8 * n for n, m in bounds) and bounds[-1][1] > 0.6 * p.hashes
+    for hashes, share in ((p.hashes, 0.6), (p.hashes + p.longer, 0.7)):
+        bounds = minhash.least_matches(p, hashes)
+        assert [n for n, _ in bounds] == [*range(p.batch, hashes + 1, p.batch)]
+        assert all(0 <= m < 0.8 * n for n, m in bounds) and bounds[-1][1] > share * hashes
 
 
 # -- repeated byte strings -----------------------------------------------------------------------------------
