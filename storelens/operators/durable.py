@@ -2,6 +2,7 @@
 
 An iterative fit or a multi-pass job must not recompute its input on every pass and must
 not lose it with an executor, so the input is written to the shared folder of the cluster.
+The files go when the application ends.
 """
 import os
 import tempfile
@@ -10,13 +11,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+# Set to "true" if a folder of the local file system is mounted on every machine of the cluster.
+SHARED_FILES = "spark.storelens.sharedFileSystem"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Executors on other machines do not see a local folder, so one is refused on a cluster
+    unless it is said to be shared. Where the driver runs the tasks itself and nothing is set,
+    a temporary folder serves.
+    """
+    alone = spark.sparkContext.master.startswith("local")
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
+        if not alone and spark.conf.get(SHARED_FILES, "false") != "true" \
+                and _file_system(spark, folder)[1].getScheme() == "file":
+            raise RuntimeError(f"{folder} is a local folder; name one that every executor can reach, or set {SHARED_FILES}")
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not alone:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = os.path.join(tempfile.gettempdir(), f"storelens-{spark.sparkContext.applicationId}")
     spark.sparkContext.setCheckpointDir(folder)
@@ -26,9 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once and return a reader of the written rows.
 
-    ``schema`` may name user-defined types that share the written physical layout.
+    ``schema`` may name user-defined types that share the written physical layout. The files
+    are deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path, files = _file_system(spark, folder)
+    df.write.parquet(folder)
+    files.deleteOnExit(path)
+    return spark.read.schema(schema or df.schema).parquet(folder)

@@ -12,7 +12,7 @@ TESTDATA = os.environ.get("STORELENS_TESTDATA", "/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("storelens-tests", "local[4]", spark__sql__shuffle__partitions="4",
+    session = build_session("storelens-tests", "local[4]", partitions=4,
                             spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("ERROR")
     if not session.sparkContext.getCheckpointDir():

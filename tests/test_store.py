@@ -45,3 +45,20 @@ def test_unopened_tables_stay_unopened(spark):
     shop = revenue_store(spark)
     partial = sources.Store(spark, customers=fail, products=shop.products, orders=shop.orders, reviews=fail)
     assert business.category_revenue(partial).count() == 2
+
+
+def test_a_local_folder_is_refused_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from storelens.operators import durable
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: "/tmp/x"), conf=spark.conf,
+                          _jvm=spark._jvm, _jsc=spark._jsc)
+    with pytest.raises(RuntimeError, match="local folder"):
+        durable.shared_folder(far)
+    spark.conf.set(durable.SHARED_FILES, "true")
+    try:
+        assert durable.shared_folder(far) == (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/x")
+    finally:
+        spark.conf.unset(durable.SHARED_FILES)
