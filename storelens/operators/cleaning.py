@@ -10,37 +10,46 @@ from storelens.functions.text import standard_text, strip
 from storelens.sources.store import Store
 
 
+def cleaned_columns() -> dict[str, dict[str, Column]]:
+    """What cleaning makes of the columns of each raw table."""
+    return {
+        "customers": {"city": standard_text(F.col("city")), "signup_date": parse_date(F.col("signup_date"))},
+        "products": {"category": standard_text(F.col("category")), "brand": F.coalesce("brand", F.lit("Unknown"))},
+        "orders": {"order_date": parse_date(F.col("order_date")), "unit_price": F.abs("unit_price"),
+                   "payment_method": F.coalesce("payment_method", F.lit("Unknown"))},
+        "reviews": {"review_text": strip(F.col("review_text")), "review_date": parse_date(F.col("review_date"))},
+    }
+
+
+def kept_rows() -> dict[str, Column]:
+    """Which raw rows cleaning keeps: orders with a positive quantity and a real date, reviews with some text and a
+    rating from 1 to 5. A null quantity or rating is outside.
+    """
+    return {
+        "customers": F.lit(True), "products": F.lit(True),
+        "orders": (F.col("quantity") > 0) & parse_date(F.col("order_date")).isNotNull(),
+        "reviews": (strip(F.col("review_text")) != "") & F.col("rating").between(1, 5),
+    }
+
+
+def _clean(raw: DataFrame, table: str) -> DataFrame:
+    return raw.where(kept_rows()[table]).withColumns(cleaned_columns()[table])
+
+
 def clean_customers(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({
-        "city": standard_text(F.col("city")),
-        "signup_date": parse_date(F.col("signup_date")),
-    })
+    return _clean(raw, "customers")
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({
-        "category": standard_text(F.col("category")),
-        "brand": F.coalesce("brand", F.lit("Unknown")),
-    })
+    return _clean(raw, "products")
 
 
 def clean_orders(raw: DataFrame) -> DataFrame:
-    """Orders with a positive quantity and a real date; a null quantity is not positive."""
-    return (raw.where((F.col("quantity") > 0) & parse_date(F.col("order_date")).isNotNull())
-            .withColumns({
-                "order_date": parse_date(F.col("order_date")),
-                "unit_price": F.abs("unit_price"),
-                "payment_method": F.coalesce("payment_method", F.lit("Unknown")),
-            }))
+    return _clean(raw, "orders")
 
 
 def clean_reviews(raw: DataFrame) -> DataFrame:
-    """Reviews with some text and a rating from 1 to 5; a null rating is outside."""
-    return (raw.withColumns({
-                "review_text": strip(F.col("review_text")),
-                "review_date": parse_date(F.col("review_date")),
-            })
-            .where((F.col("review_text") != "") & F.col("rating").between(1, 5)))
+    return _clean(raw, "reviews")
 
 
 def clean_store(raw: Store) -> Store:
@@ -59,7 +68,7 @@ def _changed(column: str) -> Column:
     return F.coalesce(F.col(column) != standard_text(F.col(column)), F.lit(True))
 
 
-# (action, rows it affects). A row that an earlier removal took is not counted by a later one.
+# The names of the actions. (action, rows it affects). A row that an earlier removal took is not counted by a later one.
 def cleaning_actions() -> dict[str, list[tuple[str, Column]]]:
     kept_quantity = _is(F.col("quantity") > 0)
     no_text = _is(strip(F.col("review_text")) == "") | F.col("review_text").isNull()

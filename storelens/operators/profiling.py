@@ -25,19 +25,24 @@ def as_rows(totals: DataFrame, labels: list[dict[str, object]], keep: list[str],
             .select("_e.*", *keep))
 
 
-def profile(df: DataFrame, name: str, key: str, long_text: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, name: str, key: str) -> DataFrame:
     """Rows, columns, nulls per column, repeated rows and repeated keys, a row per column.
 
-    Copies of one row, and rows of one key, are merged before each shuffle. Columns named in
-    ``long_text`` are compared by a 256-bit digest, so that long values are not shuffled.
+    What is shuffled of a row is its key, 128 bits of digest and a bit for each null. Copies of one row,
+    and rows of one key, are merged before each shuffle.
     """
     columns = df.columns
     nulls = [f"v{i}" for i in range(len(columns))]
-    compared = df.select(*[F.sha2(c, 256).alias(c) if c in (long_text or []) else c for c in columns])
-    by_row = compared.groupBy(*columns).agg(F.count("*").alias("_n"))
-    by_key = by_row.groupBy(key).agg(
+    bits = F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        bits = bits + F.when(F.col(c).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    compared = df.select(F.col(key).alias("_key"), bits.alias("_nulls"), F.xxhash64(*columns).alias("_a"),
+                         F.xxhash64(F.lit(1), *reversed(columns)).alias("_b"))
+    by_row = compared.groupBy("_key", "_nulls", "_a", "_b").agg(F.count("*").alias("_n"))
+    by_key = by_row.groupBy("_key").agg(
         F.sum("_n").alias("_n"), F.count("*").alias("_distinct"),
-        *[F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)).alias(v) for c, v in zip(columns, nulls)])
+        *[F.sum(F.when(F.getbit("_nulls", F.lit(i)) == 1, F.col("_n")).otherwise(0)).alias(v)
+          for i, v in enumerate(nulls)])
     zero = F.lit(0)
     totals = by_key.agg(
         F.coalesce(F.sum("_n"), zero).alias("rows"),

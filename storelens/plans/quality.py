@@ -1,11 +1,13 @@
 """Data quality: profile, checks, cleaning log and before/after comparison."""
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import parse_date
 from storelens.functions.money import percent
 from storelens.functions.text import bracketed, is_blank, looks_messy
-from storelens.operators.cleaning import cleaning_actions
+from storelens.operators.cleaning import cleaned_columns, cleaning_actions, kept_rows
 from storelens.operators.profiling import as_rows, count_where, profile, stack_all
 from storelens.sources.store import TABLES, Store
 
@@ -30,69 +32,66 @@ CHECKS = [
 ACTIONS = {(table, issue): action for table, issue, action in CHECKS}
 
 
-def _bad_date(store_table: DataFrame, column: str) -> Column:
+def _bad_date(table: DataFrame, column: str) -> Column:
     """Raw dates are text and may not parse; in a cleaned table only null is left as invalid."""
-    if dict(store_table.dtypes)[column] == "string":
+    if dict(table.dtypes)[column] == "string":
         return parse_date(F.col(column)).isNull()
     return F.col(column).isNull()
 
 
+Columns = Callable[[str], Column]
+
+
 def quality_profile(store: Store) -> DataFrame:
-    return stack_all([profile(df, name, KEYS[name], ["review_text"]) for name, df in store.tables().items()])
+    return stack_all([profile(df, name, KEYS[name]) for name, df in store.tables().items()])
 
 
-def _simple_checks(store: Store) -> dict[str, dict[str, Column]]:
+def _simple_checks(table: str, column: Columns, bad_date: Columns) -> list[Column]:
+    """The checks of a table in their order, over the columns that ``column`` gives."""
     return {
-        "products": {
-            "Missing brand": F.col("brand").isNull(),
-            "Inconsistent category text": looks_messy(F.col("category"))},
-        "orders": {
-            "Negative unit_price": F.col("unit_price") < 0,
-            "Quantity <= 0": F.col("quantity") <= 0,
-            "Invalid order_date": _bad_date(store.orders, "order_date"),
-            "Missing payment_method": F.col("payment_method").isNull(),
-            "Missing delivery_days": F.col("delivery_days").isNull()},
-        "reviews": {
-            "Empty review_text": is_blank(F.col("review_text")),
-            "Rating outside 1-5": ~F.col("rating").between(1, 5),
-            "Invalid review_date": _bad_date(store.reviews, "review_date")},
-    }
-
-
-def _customer_checks(customers: DataFrame) -> DataFrame:
+        "products": lambda: [column("brand").isNull(), looks_messy(column("category"))],
+        "orders": lambda: [column("unit_price") < 0, column("quantity") <= 0, bad_date("order_date"),
+                           column("payment_method").isNull(), column("delivery_days").isNull()],
+        "reviews": lambda: [is_blank(column("review_text")), ~column("rating").between(1, 5), bad_date("review_date")],
+    }[table]()
+
+
+def _customer_checks(customers: DataFrame, cities: dict[str, Column]) -> DataFrame:
     """All customer checks in one pass: rows are first merged by e-mail, case ignored.
 
     Everyone behind an e-mail that occurs more than once is a bad row; customers without
-    one never are.
+    one never are. Each entry of ``cities`` gives the checks under its name, for that column as the city.
     """
     by_email = customers.groupBy(F.lower("email").alias("_email")).agg(
         F.count("*").alias("_n"),
         F.sum(F.when(F.col("age").isNull(), 1).otherwise(0)).alias("_no_age"),
-        F.sum(F.when(looks_messy(F.col("city")), 1).otherwise(0)).alias("_messy"))
+        *[F.sum(F.when(looks_messy(city), 1).otherwise(0)).alias(f"_messy_{v}") for v, city in cities.items()])
     shared = F.col("_email").isNotNull() & (F.col("_n") > 1)
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
-    return by_email.agg(total(F.col("_n")).alias("_total"), total(F.col("_no_age")).alias("v0"),
-                        total(F.col("_messy")).alias("v1"),
-                        total(F.when(shared, F.col("_n"))).alias("v2"))
+    return by_email.agg(total(F.col("_n")).alias("_total"), *[c for v in cities for c in (
+        total(F.col("_no_age")).alias(f"{v}0"), total(F.col(f"_messy_{v}")).alias(f"{v}1"),
+        total(F.when(shared, F.col("_n"))).alias(f"{v}2"))])
+
+
+def _issues(table: str) -> list[dict[str, str]]:
+    return [{"table": table, "issue": issue, "action": action} for name, issue, action in CHECKS if name == table]
 
 
 def quality_checks(store: Store) -> DataFrame:
     """Bad rows per check and their share of the table. Each table is read once."""
     frames = []
-    simple = _simple_checks(store)
     for table in TABLES:
-        issues = [issue for name, issue, _ in CHECKS if name == table]
-        labels = [{"table": table, "issue": i, "action": ACTIONS[table, i]} for i in issues]
+        df = getattr(store, table)
         if table == "customers":
-            totals = _customer_checks(store.customers)
+            totals = _customer_checks(df, {"v": F.col("city")})
         else:
-            totals = getattr(store, table).agg(
-                F.count("*").alias("_total"),
-                *[count_where(simple[table][i]).alias(f"v{n}") for n, i in enumerate(issues)])
-        frames.append(as_rows(totals, labels, ["_total"], "bad_rows"))
+            checks = _simple_checks(table, F.col, lambda c, df=df: _bad_date(df, c))
+            totals = df.agg(F.count("*").alias("_total"),
+                            *[count_where(check).alias(f"v{n}") for n, check in enumerate(checks)])
+        frames.append(as_rows(totals, _issues(table), ["_total"], "bad_rows"))
     return stack_all(frames).select(
         "table", "issue", "bad_rows",
         percent(F.col("bad_rows"), F.col("_total")).alias("pct_of_table"), "action")
@@ -174,23 +173,34 @@ def cleaning_log(store: Store) -> DataFrame:
     return stack_all(frames)
 
 
-def row_summary(before: Store, after: Store) -> DataFrame:
-    sides = ("rows_before", before), ("rows_after", after)
+def row_summary(raw: Store) -> DataFrame:
+    """Rows before and after cleaning. Each raw table is read once."""
+    kept = kept_rows()
     counts = stack_all([
-        frame.agg(F.count("*").alias("_n")).select(F.lit(name).alias("table"), F.lit(side).alias("_side"), "_n")
-        for side, store in sides for name, frame in store.tables().items()])
-    merged = counts.groupBy("table").agg(
-        *[F.max(F.when(F.col("_side") == side, F.col("_n"))).alias(side) for side, _ in sides])
+        df.agg(F.count("*").alias("rows_before"), count_where(kept[name]).alias("rows_after"))
+        .select(F.lit(name).alias("table"), "rows_before", "rows_after") for name, df in raw.tables().items()])
     removed = F.col("rows_before") - F.col("rows_after")
-    return merged.select("table", "rows_before", "rows_after", removed.alias("removed"),
+    return counts.select("table", "rows_before", "rows_after", removed.alias("removed"),
                          percent(removed, F.col("rows_before")).alias("removed_pct"))
 
 
-def quality_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Checks of the raw store beside the checks of the cleaned one."""
-    joined = (before.select("table", "issue", "action", F.col("bad_rows").alias("before"))
-              .join(after.select("table", "issue", F.col("bad_rows").alias("after")), ["table", "issue"]))
+def quality_comparison(raw: Store) -> DataFrame:
+    """Checks of the raw store beside the checks of what cleaning makes of it. Each raw table is read once."""
+    frames = []
+    for table in TABLES:
+        df, kept, cleaned = getattr(raw, table), kept_rows()[table], cleaned_columns()[table]
+        if table == "customers":
+            totals = _customer_checks(df, {"v": F.col("city"), "w": cleaned["city"]})
+        else:
+            before = _simple_checks(table, F.col, lambda c, df=df: _bad_date(df, c))
+            after = _simple_checks(table, lambda c, own=cleaned: own.get(c, F.col(c)),
+                                   lambda c, own=cleaned: own[c].isNull())
+            totals = df.agg(*[count_where(check).alias(f"v{n}") for n, check in enumerate(before)],
+                            *[count_where(kept & check).alias(f"w{n}") for n, check in enumerate(after)])
+        entries = [F.struct(*[F.lit(v).alias(k) for k, v in label.items()], F.col(f"v{n}").alias("before"),
+                            F.col(f"w{n}").alias("after")) for n, label in enumerate(_issues(table))]
+        frames.append(totals.select(F.inline(F.array(*entries))))
     status = (F.when(F.col("action").startswith("Keep"), "Kept on purpose")
               .when(F.col("after") == 0, "Resolved")
               .otherwise("CHECK"))
-    return joined.withColumn("status", status)
+    return stack_all(frames).withColumn("status", status)

@@ -66,15 +66,18 @@ def test_unlisted_columns_pass_through(dirty, spark):
 
 
 def test_comparison_resolves_every_fix(dirty):
-    after = quality.quality_comparison(quality.quality_checks(dirty), quality.quality_checks(clean_store(dirty)))
+    after = quality.quality_comparison(dirty)
     statuses = {(r.issue): (r.after, r.status) for r in after.collect()}
+    for side, checks in (("before", quality.quality_checks(dirty)), ("after", quality.quality_checks(clean_store(dirty)))):
+        assert {r.issue: r[side] for r in after.collect()} == {r.issue: r.bad_rows for r in checks.collect()}
     assert "CHECK" not in {s for _, s in statuses.values()}
     assert statuses["Missing age"] == (1, "Kept on purpose")
     assert statuses["Negative unit_price"] == (0, "Resolved")
 
 
 def test_row_summary(dirty):
-    out = by_key(quality.row_summary(dirty, clean_store(dirty)), "table")
+    out = by_key(quality.row_summary(dirty), "table")
+    assert {k: v["rows_after"] for k, v in out.items()} == {k: df.count() for k, df in clean_store(dirty).tables().items()}
     assert (out["orders"]["rows_before"], out["orders"]["rows_after"], out["orders"]["removed_pct"]) == (10, 3, 70.0)
     assert out["customers"]["removed"] == 0
 
