@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from storelens.functions.dates import day
 from storelens.functions.money import kept_amount, net_amount, ratio, total
-from storelens.operators.durable import durable
 
+# The model's features, in the order in which it takes them.
 NUMERIC_FEATURES = ["total_orders", "total_spending", "avg_order_value", "days_since_last_order",
                     "return_rate", "avg_delivery_days", "age"]
 CATEGORICAL_FEATURES = ["membership_type"]
@@ -86,12 +86,10 @@ def customer_features(orders: DataFrame, customers: DataFrame, cutoff: str,
 def latest_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Features as of the newest order.
 
-    That day is the maximum of the customers' last orders. The sums are written once, so
-    finding it does not read the orders again.
+    That day is one scalar, for which the dates alone are read.
     """
-    sums = durable(purchase_sums(orders))
-    newest = sums.agg(F.max("_last")).scalar()
-    return _with_profile(purchase_history(sums, newest), customers)
+    newest = orders.agg(F.max("order_date")).scalar()
+    return _with_profile(purchase_history(purchase_sums(orders), newest), customers)
 
 
 def churn_dataset(orders: DataFrame, customers: DataFrame, cutoff: str, start: str, end: str) -> DataFrame:

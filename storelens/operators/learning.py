@@ -1,4 +1,6 @@
 """Churn classifiers on Spark ML, with the preparation that the features need."""
+import re
+
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -66,9 +68,16 @@ class NumericPreparation(Estimator):
         outputs = ", ".join(
             f"(COALESCE(CAST({c} AS DOUBLE), {medians[c]!r}D) - {mean[c]!r}D) / {deviation[c]!r}D AS {c}_in"
             for c in self.columns)
-        fitted = SQLTransformer(statement=f"SELECT *, {outputs} FROM __THIS__")
-        fitted.preparation = {"median": medians, "mean": mean, "deviation": deviation}
-        return fitted
+        return SQLTransformer(statement=f"SELECT *, {outputs} FROM __THIS__")
+
+
+_PREPARED = re.compile(r"CAST\((\w+) AS DOUBLE\), (\S+)D\) - (\S+)D\) / (\S+)D AS \w+_in")
+
+
+def preparation_of(stage: SQLTransformer) -> dict[str, dict[str, float]]:
+    """Median, mean and deviation per feature, read from the projection itself, which is all that is saved."""
+    found = _PREPARED.findall(stage.getStatement())
+    return {name: {f[0]: float(f[i]) for f in found} for i, name in ((1, "median"), (2, "mean"), (3, "deviation"))}
 
 
 class UnitPenaltyLogistic(Estimator):
@@ -129,8 +138,8 @@ def perceptron_pipeline() -> Pipeline:
 
 
 def scorecard_of(model: PipelineModel) -> Scorecard:
-    """The fitted logistic pipeline as plain numbers."""
-    stats, labels = model.stages[0].preparation, model.stages[1].labels
+    """The fitted logistic pipeline as plain numbers; a pipeline read back from disk serves as well."""
+    stats, labels = preparation_of(model.stages[0]), model.stages[1].labels
     weights = [float(w) for w in model.stages[-1].coefficients]
     n = len(NUMERIC_FEATURES)
     return Scorecard(

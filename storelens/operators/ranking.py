@@ -28,9 +28,9 @@ def probability_slot(p: Column) -> Column:
     return F.floor(F.log2(odds) * _SLOTS_PER_OCTAVE).cast("bigint")
 
 
-def digest_slot(digest: Column) -> Column:
-    """First three hex digits of a digest: 4,096 slots of equal size."""
-    return F.substring(digest, 1, 3)
+def digest_slot(digest: Column, digits: int = 4) -> Column:
+    """First hex digits of a digest: 16^digits slots of equal size."""
+    return F.substring(digest, 1, digits)
 
 
 def running_totals(df: DataFrame, key: str, slot: Column, totals: list[str],
@@ -69,6 +69,21 @@ def numbered(df: DataFrame, key: str, slot: Column, within: list[str] | None = N
             .drop("_one", "_one_before"))
 
 
+def largest(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the largest value, the smaller key first among equals.
+
+    Totals per slot tell which slots lie wholly within the first n rows and which one is cut; only
+    rows up to that slot are kept, and they are ordered within their slot. ``df`` is read twice.
+    """
+    slotted = df.withColumn("_slot", -value_slot(F.col(value)))
+    ahead = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (slotted.groupBy("_slot").agg(F.count("*").alias("_n"))
+               .withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).where(F.col("_before") < n))
+    inside = Window.partitionBy("_slot").orderBy(F.desc(value), F.col(key))
+    ranked = slotted.join(offsets, "_slot").withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
+    return ranked.where(F.col("_rank") <= n).select(*df.columns)
+
+
 def exact_quantiles(df: DataFrame, value: str, points: dict[str, float],
                     within: list[str] | None = None) -> DataFrame:
     """Quantiles with linear interpolation between neighbours, one row per group.

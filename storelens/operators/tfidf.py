@@ -20,10 +20,10 @@ def text_key(text: Column) -> Column:
 
 
 def distinct_texts(reviews: DataFrame, in_train: Column) -> DataFrame:
-    """One row per text: text_id, review_text, copies, train_copies."""
-    return (reviews.groupBy(text_key(F.col("review_text")).alias("text_id"))
-            .agg(F.first("review_text").alias("review_text"), F.count("*").alias("copies"),
-                 F.sum(F.when(in_train, 1).otherwise(0)).alias("train_copies")))
+    """One row per text: text_id, review_text, copies, train_copies. ``in_train`` looks at the text only."""
+    copies = reviews.groupBy(text_key(F.col("review_text")).alias("text_id"), "review_text").agg(
+        F.count("*").alias("copies"))
+    return copies.withColumn("train_copies", F.when(in_train, F.col("copies")).otherwise(0))
 
 
 def term_counts(texts: DataFrame) -> DataFrame:

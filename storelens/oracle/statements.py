@@ -435,7 +435,9 @@ def _retention() -> dict[str, str]:
                         FROM sales WHERE order_date <= {t.CUTOFF}))
             JOIN goods USING (product_id) WHERE rank <= 5"""),
         "customer_360": _with(_SCORED_AT, f"""SELECT customer_id, s.customer_name, s.city, {_HISTORY}, s.age,
-            s.membership_type, {_P}, risk, {_V}, q.gender, q.signup_date, q.initials, q.age_text, {_OUTCOME}
+            s.membership_type, {_P}, risk, {_V}, q.gender, q.signup_date, q.initials, q.age_text, {_OUTCOME},
+            CASE WHEN churn_probability >= 0.5 THEN 'Likely to churn' ELSE 'Likely to stay' END AS prediction,
+            CASE risk {advice} END AS action
             FROM scored s JOIN (SELECT {_PROFILE} FROM people) q USING (customer_id)
             LEFT JOIN ({_WINDOW}) w USING (customer_id)"""),
         "at_risk_summary": _with(_SCORED, f"""SELECT count(*) AS scored_n, count(*) FILTER (WHERE risk = 'High risk') AS high_n,
@@ -463,6 +465,9 @@ def _retention() -> dict[str, str]:
             {_filled(retention.DEFAULT_SMS + ' {unknown}')} AS message FROM targets)"""),
         "campaign_summary": _with(_targets("Email"), f"""SELECT count(*) AS recipients, {money(_RISK_SUM)} AS value_at_risk
             FROM targets"""),
+        "campaign_log": _with(_targets("Email"), f"""SELECT '{r.SENT_AT[:16]}' AS time, 'Email' AS channel,
+            count(*) AS recipients, '{r.DISCOUNT}%' AS discount,
+            {big(f'round({money(_RISK_SUM)}, 0)')} AS value_at_risk, 'Queued (demo)' AS status FROM targets"""),
         "contacts": _with(t.CUSTOMERS, "SELECT customer_id, email, phone FROM people"),
         "data_freshness": _with(t.ORDERS, f"SELECT {iso('max(order_date)')} AS latest FROM sales"),
     }
@@ -474,13 +479,15 @@ def _bucket(seed: int = 42) -> str:
     return f"CAST('0x' || substr({_digest('review_text', seed)}, 1, 8) AS BIGINT) % 100"
 
 
-_SPLIT_REVIEWS = t.REVIEWS + f""", split AS (
+_SPLIT_TEXTS = t.TEXTS + f""", split AS (
   SELECT *, CASE WHEN {_bucket()} < 80 THEN 'train' ELSE 'test' END AS split FROM reviews)"""
 
 _TOKENS = r"""list_filter(string_split(regexp_replace(lower(review_text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '),
     lambda w: regexp_full_match(w, '[a-z]{2,}'))"""
 
-_TERMS = _SPLIT_REVIEWS + f""", tokens AS (SELECT review_id, split, {_TOKENS} AS w FROM split),
+_SPLIT_REVIEWS = _SPLIT_TEXTS.replace(t.TEXTS, t.REVIEWS)
+
+_TERMS = _SPLIT_TEXTS + f""", tokens AS (SELECT review_id, split, {_TOKENS} AS w FROM split),
 terms AS (
   SELECT review_id, split, unnest(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))) AS term
   FROM tokens),
@@ -504,22 +511,22 @@ def _sentiment() -> dict[str, str]:
         "sentiment_distribution": _with(t.REVIEWS, f"""SELECT label AS sentiment, count(sentiment) AS reviews,
             {pct('count(sentiment)', '(SELECT count(*) FROM reviews)')} AS percent
             FROM {_LABELS} LEFT JOIN reviews ON sentiment = label GROUP BY label"""),
-        "text_duplication": _with(t.REVIEWS, f"""SELECT count(*) AS total, count(DISTINCT review_text) AS unique_texts,
+        "text_duplication": _with(t.TEXTS, f"""SELECT count(*) AS total, count(DISTINCT review_text) AS unique_texts,
             count(*) - count(DISTINCT review_text) AS repeated,
             {pct('count(*) - count(DISTINCT review_text)', 'count(*)', 1)} AS repeated_pct FROM reviews"""),
-        "language_marker_share": _with(t.REVIEWS, f"""SELECT count(*) FILTER (WHERE m) AS rows_with_marker,
+        "language_marker_share": _with(t.TEXTS, f"""SELECT count(*) FILTER (WHERE m) AS rows_with_marker,
             {pct('count(*) FILTER (WHERE m)', 'count(*)', 1)} AS share_pct
             FROM (SELECT regexp_matches(lower(review_text), '(^|[^\\p{{L}}\\p{{N}}_])({markers})($|[^\\p{{L}}\\p{{N}}_])') AS m
                   FROM reviews)"""),
-        "most_repeated_texts": _with(t.REVIEWS, """SELECT review_text, count(*) AS n FROM reviews GROUP BY 1
+        "most_repeated_texts": _with(t.TEXTS, """SELECT review_text, count(*) AS n FROM reviews GROUP BY 1
             ORDER BY n DESC, review_text LIMIT 5"""),
-        "review_tokens": _with(t.REVIEWS, f"""SELECT review_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens
+        "review_tokens": _with(t.TEXTS, f"""SELECT review_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens
             FROM (SELECT review_id, {_TOKENS} AS w FROM reviews)"""),
         "review_tfidf": _with(_TERMS, f"""SELECT review_id, term,
             {near('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))', 6)} AS weight FROM raw"""),
         "vocabulary_size": _with(_TERMS, "SELECT count(*) AS vocabulary_size FROM vocabulary"),
-        "sentiment_split": _with(_SPLIT_REVIEWS, "SELECT review_id, sentiment, split FROM split"),
-        "split_leakage": _with(_SPLIT_REVIEWS, """SELECT count(*) AS overlap FROM split WHERE split = 'test'
+        "sentiment_split": _with(_SPLIT_TEXTS, "SELECT review_id, sentiment, split FROM split"),
+        "split_leakage": _with(_SPLIT_TEXTS, """SELECT count(*) AS overlap FROM split WHERE split = 'test'
             AND review_text IN (SELECT review_text FROM split WHERE split = 'train')"""),
         "split_label_mix": _with(_SPLIT_REVIEWS, f"""SELECT label AS sentiment,
             {pct("count(*) FILTER (WHERE split = 'train')", "(SELECT count(*) FROM split WHERE split = 'train')")} AS train_pct,

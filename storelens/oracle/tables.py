@@ -46,9 +46,12 @@ ALL_REVIEWS = """opinions AS (
          text AS review_text, DATE '2001-01-01' + CAST(d.doc_id % 200 AS INTEGER) AS review_date
   FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id)"""
 
-REVIEWS = ALL_REVIEWS + """, reviews AS (
-  SELECT *, CASE WHEN rating <= 2 THEN 'Negative' WHEN rating = 3 THEN 'Neutral' ELSE 'Positive' END AS sentiment
-  FROM opinions WHERE rating IS NOT NULL)"""
+TEXTS = ALL_REVIEWS + """, reviews AS (
+  SELECT *, CASE WHEN rating <= 2 THEN 'Negative' WHEN rating = 3 THEN 'Neutral' WHEN rating > 3 THEN 'Positive' END AS sentiment
+  FROM opinions)"""
+
+# Those with a rating.
+REVIEWS = TEXTS.replace("FROM opinions)", "FROM opinions WHERE rating IS NOT NULL)")
 
 RAW_CUSTOMERS = CUSTOMERS + """, raw_people AS (
   SELECT * REPLACE (

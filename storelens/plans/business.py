@@ -33,13 +33,24 @@ def _completed(orders: DataFrame, key: str) -> DataFrame:
         F.sum("quantity").alias("_units"))
 
 
-def top_customers(store: Store, k: int = 10) -> DataFrame:
-    spent = _completed(store.orders, "customer_id")
+def named_top(store: Store, spent: DataFrame, k: int) -> DataFrame:
+    """The ``k`` known customers who spent most, with name and city.
+
+    Names are fetched for the ``k`` rows that are left; before, only ids are joined.
+    """
+    known = store.customers.select("customer_id")
+    top = (spent.join(known, "customer_id", "left_semi")
+           .orderBy(F.desc("total_spending"), "customer_id").limit(k))
     people = store.customers.select("customer_id", "customer_name", "city")
-    return (spent.join(people, "customer_id")
-            .select("customer_id", "customer_name", "city", F.col("_orders").alias("number_of_orders"),
-                    as_double(F.col("_net"), 2).alias("total_spending"))
-            .orderBy(F.desc("total_spending"), "customer_id").limit(k))
+    return (people.join(top, "customer_id")
+            .select("customer_id", "customer_name", "city", *spent.columns[1:])
+            .orderBy(F.desc("total_spending"), "customer_id"))
+
+
+def top_customers(store: Store, k: int = 10) -> DataFrame:
+    spent = _completed(store.orders, "customer_id").select(
+        "customer_id", F.col("_orders").alias("number_of_orders"), as_double(F.col("_net"), 2).alias("total_spending"))
+    return named_top(store, spent, k)
 
 
 def category_revenue(store: Store) -> DataFrame:

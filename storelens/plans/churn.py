@@ -5,6 +5,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.hashing import drawn
 from storelens.functions.money import percent, ratio
 from storelens.operators import learning
 from storelens.operators.durable import durable
@@ -56,21 +57,30 @@ def split_summary(split: DataFrame) -> DataFrame:
 
 
 class ChurnStudy:
-    """Train and test rows of one dataset, and the models fitted on them."""
+    """Train and test rows of one dataset, and the models fitted on them.
+
+    The trees of a forest grow with the rows they are fitted on and live on the driver, so a forest
+    learns from about ``forest_rows`` training customers at most, drawn by digest. Every other model,
+    and every evaluation and score, takes all rows.
+    """
 
     pipelines = {LOGISTIC: learning.logistic_pipeline, FOREST: learning.forest_pipeline,
                  NETWORK: learning.perceptron_pipeline}
 
-    def __init__(self, dataset: DataFrame):
+    def __init__(self, dataset: DataFrame, forest_rows: int = 200_000):
         self.rows = durable(churn_split(dataset))
         self.train = self.rows.where(F.col("split") == "train")
         self.test = self.rows.where(F.col("split") == "test")
+        self.forest_rows = forest_rows
         self._models: dict[str, PipelineModel] = {}
         self._validations: dict[tuple[str, int], DataFrame] = {}
 
+    def _fitted_on(self, name: str) -> DataFrame:
+        return drawn(self.train, "customer_id", self.forest_rows) if name == FOREST else self.train
+
     def model(self, name: str) -> PipelineModel:
         if name not in self._models:
-            self._models[name] = self.pipelines[name]().fit(self.train)
+            self._models[name] = self.pipelines[name]().fit(self._fitted_on(name))
         return self._models[name]
 
     def metrics(self, name: str) -> DataFrame:
@@ -79,7 +89,7 @@ class ChurnStudy:
     def cross_validation(self, name: str, folds: int = 5) -> DataFrame:
         """Mean and deviation of the area under the curve over folds of the training rows."""
         if (name, folds) not in self._validations:
-            train = durable(learning.stratified_folds(self.train, "customer_id", "churn", folds))
+            train = durable(learning.stratified_folds(self._fitted_on(name), "customer_id", "churn", folds))
             self._validations[name, folds] = learning.cross_validated_auc(
                 name, self.pipelines[name](), train, folds)
         return self._validations[name, folds]

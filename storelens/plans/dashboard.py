@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.dates import month_of
 from storelens.functions.money import as_double, change_percent, kept_amount, magnitude, percent, ratio, total
-from storelens.plans.business import overall
+from storelens.plans.business import named_top, overall
 from storelens.sources.store import Store
 
 
@@ -102,17 +102,14 @@ def best_selling_products(store: Store, k: int = 5) -> DataFrame:
 def top_customers_dashboard(store: Store, k: int = 5) -> DataFrame:
     spent = store.orders.groupBy("customer_id").agg(
         F.sum(1 - F.col("returned")).alias("orders"), total(kept_amount()).alias("_net"))
-    named = spent.join(store.customers.select("customer_id", "customer_name", "city"), "customer_id")
-    return (named.select("customer_id", "customer_name", "city", "orders",
-                         as_double(F.col("_net"), 2).alias("total_spending"))
-            .orderBy(F.desc("total_spending"), "customer_id").limit(k))
+    return named_top(store, spent.select("customer_id", "orders", as_double(F.col("_net"), 2).alias("total_spending")), k)
 
 
 def review_mood(store: Store) -> DataFrame:
-    """Share of negative, neutral and positive ratings per category."""
+    """Share of negative, neutral and positive ratings per category; a review without a rating does not count."""
     rating = F.col("rating")
     bands = {"negative": rating <= 2, "neutral": rating == 3, "positive": rating >= 4}
-    rated = store.reviews.groupBy("product_id").agg(
+    rated = store.reviews.where(rating.isNotNull()).groupBy("product_id").agg(
         F.count("*").alias("_n"),
         *[F.sum(F.when(test, 1).otherwise(0)).alias(f"_{name}") for name, test in bands.items()])
     by_category = rated.join(store.products.select("product_id", "category"), "product_id").groupBy("category").agg(

@@ -3,23 +3,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import day
-from storelens.functions.labels import HIGH, RISK_BANDS
+from storelens.functions.labels import HIGH, RISK_ADVICE, RISK_BANDS, decision, relabel
 from storelens.functions.money import net_amount, ratio
 from storelens.functions.text import fill_template, first_word, initials
 from storelens.operators.durable import durable
 from storelens.operators.features import Window, customer_features, latest_features
-from storelens.operators.ranking import exact_quantiles, first_per_group
+from storelens.operators.ranking import exact_quantiles, first_per_group, largest
 from storelens.operators.scoring import Scorecard, score
 from storelens.sources.store import Store
 
 CALL_LIST = ["customer_id", "customer_name", "city", "membership_type", "total_orders", "total_spending",
              "days_since_last_order", "churn_probability", "value_at_risk"]
 
-# The text of the default offer and the prefix of its code.
+# Rows that a task may keep for a top-n; a larger campaign is ranked in slots.
+HEAP_ROWS = 10_000
+
+# Subject and SMS of the default offer, and the prefix of its code.
 CODE_PREFIX = "COMEBACK"
 DEFAULT_SUBJECT = "We miss you, {first_name}! {discount}% off your next order"
 DEFAULT_SMS = ("Hi {first_name}, we miss you! Get {discount}% off your next order with code {code}. "
                "Valid 14 days. Reply STOP to opt out.")
+# The default e-mail; any text with these names does.
 DEFAULT_EMAIL = """Dear {first_name},
 
 we have not heard from you for some time. Come back and take {discount}% off your next order.
@@ -88,10 +92,12 @@ def recent_orders(store: Store, cutoff: str, k: int = 5) -> DataFrame:
 
 
 def customer_360(store: Store, card: Scorecard, cutoff: str, start: str, end: str) -> DataFrame:
-    """Profile, history, score and outcome of every customer, one row each."""
+    """Profile, history, score with decision and advice, and outcome of every customer, one row each."""
     profile = customer_profile(store.customers).select(
         "customer_id", "gender", "signup_date", "initials", "age_text")
-    return score_with_outcome(store, card, cutoff, start, end).join(profile, "customer_id")
+    return (score_with_outcome(store, card, cutoff, start, end).join(profile, "customer_id")
+            .withColumn("prediction", decision(F.col("churn_probability")))
+            .withColumn("action", relabel(F.col("risk"), RISK_ADVICE)))
 
 
 def at_risk_summary(scored: DataFrame) -> DataFrame:
@@ -130,9 +136,14 @@ def at_risk_list(scored: DataFrame, risks=None, cities=None, tiers=None, min_spe
     return chosen(scored, risks, cities, tiers, min_spend).orderBy(*by_value_at_risk()).select(*CALL_LIST)
 
 
-def filter_domains(scored: DataFrame) -> DataFrame:
-    """The choices of the city and membership filters, in one pass."""
-    both = scored.select(F.explode(F.array(
+def buyers(store: Store) -> DataFrame:
+    """Customers with an order: those that a score exists for."""
+    return store.customers.join(store.orders.select("customer_id"), "customer_id", "left_semi")
+
+
+def filter_domains(people: DataFrame) -> DataFrame:
+    """The choices of the city and membership filters, in one pass. ``people`` are buyers or their scores."""
+    both = people.select(F.explode(F.array(
         F.struct(F.lit("city").alias("kind"), F.col("city").alias("value")),
         F.struct(F.lit("membership_type").alias("kind"), F.col("membership_type").alias("value")))).alias("_e"))
     return both.select("_e.*").distinct().orderBy("kind", "value")
@@ -172,12 +183,17 @@ def campaign_targets(scored: DataFrame, people: DataFrame, risks: list[str] | No
                      n: int, channel: str, discount: int) -> DataFrame:
     """The ``n`` most valuable matching customers with their code and address.
 
-    The top-n is taken first and has at most ``n`` rows. Its keys are broadcast to pick the
-    contacts out of the customer table, which is therefore scanned but not shuffled.
+    The top-n is taken first and written. Its keys pick the contacts out of the customer table; Spark
+    broadcasts them if the file is small enough.
     """
-    top = durable(chosen(scored, risks, min_spend=min_spend).orderBy(*by_value_at_risk()).limit(n))
+    pool = chosen(scored, risks, min_spend=min_spend)
+    if n <= HEAP_ROWS:
+        top = pool.orderBy(*by_value_at_risk()).limit(n)
+    else:
+        top = largest(durable(pool), "value_at_risk", "customer_id", n)
+    top = durable(top)
     address = F.col("email") if channel == "Email" else F.col("phone")
-    known = contacts(people).join(F.broadcast(top.select("customer_id")), "customer_id", "left_semi")
+    known = contacts(people).join(top.select("customer_id"), "customer_id", "left_semi")
     return (top.join(known, "customer_id", "left")
             .withColumn("code", F.concat(F.lit(f"{CODE_PREFIX}{discount}-"), F.col("customer_id")))
             .withColumn("send_to", address))
@@ -208,10 +224,14 @@ def campaign_summary(targets: DataFrame) -> DataFrame:
         .cast("double").alias("value_at_risk"))
 
 
-def campaign_log_entry(summary: DataFrame, channel: str, discount: int) -> DataFrame:
-    """The line that sending a campaign adds to its log; messages are queued, not delivered."""
+def campaign_log_entry(summary: DataFrame, channel: str, discount: int, time: str | None = None) -> DataFrame:
+    """The line that sending a campaign adds to its log; messages are queued, not delivered.
+
+    ``time`` is when it was sent, now unless given.
+    """
+    sent = F.current_timestamp() if time is None else F.lit(time).cast("timestamp")
     return summary.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm").alias("time"), F.lit(channel).alias("channel"),
+        F.date_format(sent, "yyyy-MM-dd HH:mm").alias("time"), F.lit(channel).alias("channel"),
         "recipients", F.lit(f"{discount}%").alias("discount"),
         F.round("value_at_risk", 0).cast("bigint").alias("value_at_risk"),
         F.lit("Queued (demo)").alias("status"))

@@ -1,13 +1,15 @@
 """Review sentiment: labels, text checks, split, TF-IDF and a multinomial model."""
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelens.functions.hashing import digest_number
+from storelens.functions.hashing import digest_number, drawn
 from storelens.functions.labels import SENTIMENTS, sentiment_of
 from storelens.functions.money import percent
 from storelens.functions.text import mentions, strip, words
@@ -20,13 +22,19 @@ from storelens.sources.store import Store
 # Roman Urdu words that mark a mixed-language review.
 MARKERS = ["hai", "thi", "bohat", "theek", "kharab", "mili", "nikla"]
 
-# Join keys over which the reviews of one very frequent text are spread, and what counts as frequent.
-HOT_PARTS, HOT_COPIES = 64, 1000
+# Join keys over which the reviews of a text are spread when scores go back to them.
+PARTS = 16
 
 
 def sentiment_labels(store: Store) -> DataFrame:
+    """Every review; one without a rating has no sentiment."""
+    rating = F.col("rating")
     return store.reviews.select("review_id", "rating", "review_text",
-                                sentiment_of(F.col("rating")).alias("sentiment"))
+                                F.when(rating.isNotNull(), sentiment_of(rating)).alias("sentiment"))
+
+
+def rated(labelled: DataFrame) -> DataFrame:
+    return labelled.where(F.col("sentiment").isNotNull())
 
 
 def _counts(labelled: DataFrame, classes: list[str]) -> list[Column]:
@@ -57,9 +65,18 @@ def language_marker_share(labelled: DataFrame, markers: list[str] = MARKERS) ->
 
 
 def most_repeated_texts(labelled: DataFrame, k: int = 5) -> DataFrame:
-    """The most frequent texts; the smaller text first among equals."""
-    return (labelled.groupBy("review_text").agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "review_text").limit(k))
+    """The most frequent texts; the smaller text first among equals.
+
+    Copies are counted by digest. Texts are fetched for those that reach the k-th count; these are
+    written first, so that Spark knows how few they are when it plans the join.
+    """
+    counts = labelled.groupBy(tfidf.text_key(F.col("review_text")).alias("_text")).agg(
+        F.count("*").alias("n"), F.min("review_id").alias("review_id"))
+    counts = durable(counts)
+    least = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n")).scalar()
+    frequent = durable(counts.where(F.col("n") >= least).select("review_id", "n"))
+    return (labelled.select("review_id", "review_text").join(frequent, "review_id")
+            .select("review_text", "n").orderBy(F.desc("n"), "review_text").limit(k))
 
 
 def review_tokens(labelled: DataFrame) -> DataFrame:
@@ -103,22 +120,14 @@ def split_label_mix(split: DataFrame) -> DataFrame:
 def review_tfidf(labelled: DataFrame, min_df: int = 2) -> DataFrame:
     """Weights per review and term. Vocabulary and frequencies come from training reviews only.
 
-    Texts are weighed once each and then handed to their reviews. A text with a thousandth
-    of all reviews or more, and with ``HOT_COPIES`` at least, is hot; there are at most a
-    thousand. Their keys are broadcast to spread the reviews of a hot text over ``HOT_PARTS``
-    join keys, and its weights are repeated for each.
+    Texts are weighed once each and then handed to their reviews. The weights are written first:
+    the join then starts from two plain shuffles, and adaptive execution splits the reviews of a
+    text that very many share.
     """
     texts = durable(tfidf.distinct_texts(labelled, in_train(F.col("review_text"))))
-    reviews = texts.agg(F.sum("copies")).scalar()
-    is_hot = (F.col("copies") * 1000 >= reviews) & (F.col("copies") >= HOT_COPIES)
-    hot = F.broadcast(texts.where(is_hot).select("text_id", F.lit(True).alias("_hot")))
+    weights = durable(tfidf.term_weights(texts, min_df))
     keyed = labelled.select("review_id", tfidf.text_key(F.col("review_text")).alias("text_id"))
-    keyed = keyed.join(hot, "text_id", "left").withColumn(
-        "_part", F.when(F.col("_hot"), F.pmod(F.xxhash64("review_id"), F.lit(HOT_PARTS))).otherwise(0))
-    weights = tfidf.term_weights(texts, min_df).join(hot, "text_id", "left").withColumn(
-        "_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_PARTS - 1).cast("bigint")))
-                           .otherwise(F.array(F.lit(0).cast("bigint")))))
-    return keyed.join(weights, ["text_id", "_part"]).select("review_id", "term", "weight")
+    return keyed.join(weights, "text_id").select("review_id", "term", "weight")
 
 
 def vocabulary_size(labelled: DataFrame, min_df: int = 2) -> DataFrame:
@@ -134,10 +143,12 @@ class SentimentModel:
     intercepts: dict[str, float]
 
     def score(self, texts: DataFrame, key: str = "review_id", text: str = "review_text") -> DataFrame:
-        """Class probabilities, predicted class and confidence for every text that is not blank.
+        """Class probabilities, predicted class and confidence for every text that is not blank, by ``key``.
 
         Each distinct text is scored once: its terms meet the term table, and the products
-        are summed per text. A text without a known term is left with the intercepts.
+        are summed per text. A text without a known term is left with the intercepts. Scores go
+        back by the text's digest; its reviews are spread over ``PARTS`` keys, which costs that
+        many copies of a few numbers per text.
         """
         asked = texts.where(strip(F.col(text)) != "").select(
             key, F.col(text).alias("review_text"), tfidf.text_key(F.col(text)).alias("text_id"))
@@ -147,7 +158,9 @@ class SentimentModel:
         sums = hits.groupBy("text_id").agg(
             F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_length"),
             *[F.sum(F.col("raw") * F.col(c)).alias(c) for c in SENTIMENTS])
-        scored = asked.join(sums, "text_id", "left")
+        parts = F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))
+        spread = asked.select(key, "text_id", F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("_part"))
+        scored = spread.join(sums.withColumn("_part", F.explode(parts)), ["text_id", "_part"], "left")
         margins = {c: F.lit(self.intercepts[c]) + F.coalesce(F.col(c) / F.col("_length"), F.lit(0.0))
                    for c in SENTIMENTS}
         top = F.greatest(*margins.values())
@@ -158,29 +171,30 @@ class SentimentModel:
         label = F
         for c in SENTIMENTS:
             label = label.when(F.col(f"p_{c.lower()}") == F.col("confidence"), c)
-        return (scored.select(key, "review_text", best.alias("confidence"),
+        return (scored.select(key, best.alias("confidence"),
                               *[p.alias(f"p_{c.lower()}") for c, p in probability.items()])
-                .select(key, F.col("review_text").alias(text), label.alias("predicted"),
-                        *[f"p_{c.lower()}" for c in SENTIMENTS], "confidence"))
+                .select(key, label.alias("predicted"), *[f"p_{c.lower()}" for c in SENTIMENTS], "confidence"))
 
 
 _ROW = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("copies", T.DoubleType()),
                      T.StructField("features", VectorUDT())])
 
 
-def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000) -> SentimentModel:
+def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000,
+                    fit_reviews: int = 500_000) -> SentimentModel:
     """Fit on reviews with a sentiment. Classes weigh the same in total.
 
     Reviews that share text and label are one training row weighted by their number. Term
     weights become sparse vectors by writing them in the vector type's own layout; no
     row passes through Python. Like any linear model, the fitted weights (three per term)
-    have to fit on the driver.
+    have to fit on the driver: about ``fit_reviews`` reviews at most, drawn by the digest of
+    their id, are learned from, which bounds the vocabulary. Scoring has no bound.
     """
     spark = train.sparkSession
-    grouped = durable(train.groupBy(tfidf.text_key(F.col("review_text")).alias("text_id"), "sentiment").agg(
-        F.first("review_text").alias("review_text"), F.count("*").alias("copies")))
-    texts = grouped.groupBy("text_id").agg(F.first("review_text").alias("review_text"),
-                                           F.sum("copies").alias("train_copies"))
+    train = drawn(rated(train), "review_id", fit_reviews)
+    grouped = durable(train.groupBy(tfidf.text_key(F.col("review_text")).alias("text_id"), "review_text", "sentiment")
+                      .agg(F.count("*").alias("copies")))
+    texts = grouped.groupBy("text_id", "review_text").agg(F.sum("copies").alias("train_copies"))
     counts = durable(tfidf.term_counts(texts))
     vocabulary = tfidf.document_frequencies(counts, grouped.select(F.col("copies").alias("train_copies")), min_df)
     indexed = durable(numbered(vocabulary.withColumn("_digest", F.md5("term")), "_digest",
@@ -210,9 +224,8 @@ def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000) -
         regParam=1.0 / reviews, elasticNetParam=0.0, standardization=False).fit(durable(vectors, _ROW))
 
     matrix = fitted.coefficientMatrix.toArray()
-    weight_of = {c: matrix[i] for i, c in enumerate(present)}
-    rows = [(i, *[float(weight_of[c][i]) if c in weight_of else 0.0 for c in SENTIMENTS]) for i in range(size)]
-    coefficients = spark.createDataFrame(rows, "index int, " + ", ".join(f"{c} double" for c in SENTIMENTS))
+    weight_of = {c: matrix[present.index(c)] if c in present else np.zeros(size) for c in SENTIMENTS}
+    coefficients = spark.createDataFrame(pa.table({"index": np.arange(size, dtype=np.int32), **weight_of}))
     intercepts = {c: float(fitted.interceptVector[present.index(c)]) if c in present else float("-inf")
                   for c in SENTIMENTS}
     return SentimentModel(durable(indexed.join(coefficients, "index").drop("index")), intercepts)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from storelens.functions.hashing import digest_number
 from storelens.operators import scoring
-from storelens.operators.cleaning import clean_customers, clean_orders, clean_products, clean_reviews, clean_store
+from storelens.operators.cleaning import clean_customers, clean_orders, clean_products, clean_reviews
 from storelens.operators.durable import durable
 from storelens.operators.features import MODEL_FEATURES, customer_features, orders_in_window
 from storelens.operators.metrics import binary_metrics, class_report, confusion_matrix, roc_points
@@ -22,6 +22,7 @@ MIN_SPEND = 30_000_000
 CITIES = ["Nation_1", "Nation_2", "Nation_3", "Nation_5", "Nation_8"]
 TIERS = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
 DISCOUNT, WIN_RATE, RECIPIENTS = 15, 20, 50
+SENT_AT = "2001-05-01 09:30:00"
 
 # A scorecard with round numbers, so that scoring can be checked without a fitted model.
 CARD = scoring.Scorecard(
@@ -101,10 +102,16 @@ def _on_clean(job: Callable[[Store], DataFrame]) -> Job:
     return lambda spark, folder: plain(job(open_store(spark, folder)))
 
 
-def _labels(store: Store) -> DataFrame:
+def _texts(store: Store) -> DataFrame:
+    """Every document as a review."""
     return sentiment.sentiment_labels(store)
 
 
+def _labels(store: Store) -> DataFrame:
+    """Those with a rating, for the jobs that use it."""
+    return sentiment.rated(_texts(store))
+
+
 def _split_labels(store: Store) -> DataFrame:
     return sentiment.sentiment_split(_labels(store))
 
@@ -126,9 +133,8 @@ _RAW_JOBS = {
     "clean_orders": lambda s: clean_orders(s.orders),
     "clean_reviews": lambda s: clean_reviews(s.reviews),
     "cleaning_log": quality.cleaning_log,
-    "row_summary": lambda s: quality.row_summary(s, clean_store(s)),
-    "quality_comparison": lambda s: quality.quality_comparison(
-        quality.quality_checks(s), quality.quality_checks(clean_store(s))),
+    "row_summary": quality.row_summary,
+    "quality_comparison": quality.quality_comparison,
 }
 
 _CLEAN_JOBS = {
@@ -197,7 +203,7 @@ _CLEAN_JOBS = {
     "at_risk_list": lambda s: _show(retention.at_risk_list(
         _scored(s), ["High risk", "Medium risk"], CITIES, TIERS, MIN_SPEND)),
     "at_risk_list_unfiltered": lambda s: _show(retention.at_risk_list(_scored(s))),
-    "filter_domains": lambda s: retention.filter_domains(_scored(s)),
+    "filter_domains": lambda s: retention.filter_domains(retention.buyers(s)),
     "winback_plan": lambda s: retention.winback_plan(_scored(s), ["High risk"], MIN_SPEND, DISCOUNT, WIN_RATE),
     "winback_plan_free": lambda s: retention.winback_plan(_scored(s), [], 0, 0, WIN_RATE),
     "winback_by_city": lambda s: retention.winback_by_city(
@@ -209,21 +215,21 @@ _CLEAN_JOBS = {
         _targets(s, "SMS"), "", retention.DEFAULT_SMS + " {unknown}", DISCOUNT, "SMS"),
     "campaign_summary": lambda s: retention.campaign_summary(_targets(s, "Email")),
     "campaign_log": lambda s: retention.campaign_log_entry(
-        retention.campaign_summary(_targets(s, "Email")), "Email", DISCOUNT),
+        retention.campaign_summary(_targets(s, "Email")), "Email", DISCOUNT, SENT_AT),
     "contacts": lambda s: retention.contacts(s.customers),
     "data_freshness": retention.data_freshness,
 
     "sentiment_labels": _labels,
     "sentiment_distribution": lambda s: sentiment.sentiment_distribution(_labels(s)),
-    "text_duplication": lambda s: sentiment.text_duplication(_labels(s)),
-    "language_marker_share": lambda s: sentiment.language_marker_share(_labels(s)),
-    "most_repeated_texts": lambda s: sentiment.most_repeated_texts(_labels(s)),
-    "review_tokens": lambda s: sentiment.review_tokens(_labels(s)).select(
+    "text_duplication": lambda s: sentiment.text_duplication(_texts(s)),
+    "language_marker_share": lambda s: sentiment.language_marker_share(_texts(s)),
+    "most_repeated_texts": lambda s: sentiment.most_repeated_texts(_texts(s)),
+    "review_tokens": lambda s: sentiment.review_tokens(_texts(s)).select(
         "review_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens")),
-    "review_tfidf": lambda s: rounded(sentiment.review_tfidf(_labels(s)), 6, "weight"),
-    "vocabulary_size": lambda s: sentiment.vocabulary_size(_labels(s)),
-    "sentiment_split": lambda s: _split_labels(s).select("review_id", "sentiment", "split"),
-    "split_leakage": lambda s: sentiment.split_leakage(_split_labels(s)),
+    "review_tfidf": lambda s: rounded(sentiment.review_tfidf(_texts(s)), 6, "weight"),
+    "vocabulary_size": lambda s: sentiment.vocabulary_size(_texts(s)),
+    "sentiment_split": lambda s: sentiment.sentiment_split(_texts(s)).select("review_id", "sentiment", "split"),
+    "split_leakage": lambda s: sentiment.split_leakage(sentiment.sentiment_split(_texts(s))),
     "split_label_mix": lambda s: sentiment.split_label_mix(_split_labels(s)),
     "sentiment_metrics": lambda s: rounded(
         class_report(_guessed(_labels(s)), sentiment.SENTIMENTS, "sentiment", "predicted"),
@@ -232,25 +238,18 @@ _CLEAN_JOBS = {
 }
 
 
-# Fitting is repeated per job unless the same session asks again for the same data.
-_studies: dict[tuple, object] = {}
-
-
-def _once(kind: str, spark: SparkSession, folder: str, build: Callable[[Store], object]):
-    key = (kind, spark.sparkContext.applicationId, folder)
-    if key not in _studies:
-        _studies[key] = build(open_store(spark, folder))
-    return _studies[key]
-
-
+# Every fitted job fits anew, on the data as it is now.
 def _study(spark: SparkSession, folder: str) -> churn.ChurnStudy:
-    return _once("churn", spark, folder,
-                 lambda s: churn.ChurnStudy(churn.churn_rows(s, CUTOFF, START, END)))
+    return churn.ChurnStudy(churn.churn_rows(open_store(spark, folder), CUTOFF, START, END))
 
 
 def _sentiment_model(spark: SparkSession, folder: str) -> sentiment.SentimentModel:
-    return _once("sentiment", spark, folder, lambda s: sentiment.sentiment_model(
-        _split_labels(s).where(F.col("split") == "train")))
+    return sentiment.sentiment_model(_split_labels(open_store(spark, folder)).where(F.col("split") == "train"))
+
+
+def _cross_validations(spark: SparkSession, folder: str) -> DataFrame:
+    study = _study(spark, folder)
+    return study.cross_validation(churn.LOGISTIC).unionByName(study.cross_validation(churn.FOREST))
 
 
 def _test_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,14 +268,13 @@ _MODEL_JOBS: dict[str, Job] = {
     "churn_model_lr": lambda sp, f: _study(sp, f).metrics(churn.LOGISTIC),
     "churn_model_rf": lambda sp, f: _study(sp, f).metrics(churn.FOREST),
     "churn_model_mlp": lambda sp, f: _study(sp, f).metrics(churn.NETWORK),
-    "churn_cv": lambda sp, f: _study(sp, f).cross_validation(churn.LOGISTIC),
-    "model_comparison": lambda sp, f: _study(sp, f).comparison(
-        [churn.LOGISTIC, churn.FOREST, churn.NETWORK], cross_validated=[churn.LOGISTIC]),
+    "churn_cv": _cross_validations,
+    "model_comparison": lambda sp, f: _study(sp, f).comparison([churn.LOGISTIC, churn.FOREST, churn.NETWORK]),
     "coefficient_table": lambda sp, f: _study(sp, f).coefficients(),
     "churn_metadata": lambda sp, f: _study(sp, f).metadata(CUTOFF, START, END),
     "score_with_fitted_model": _score_with_fitted,
     "sentiment_model": lambda sp, f: plain(_sentiment_model(sp, f).terms),
-    "sentiment_score": lambda sp, f: _sentiment_model(sp, f).score(open_store(sp, f).reviews).drop("review_text"),
+    "sentiment_score": lambda sp, f: _sentiment_model(sp, f).score(open_store(sp, f).reviews),
     "sentiment_model_report": lambda sp, f: sentiment.sentiment_report(_test_predictions(sp, f)),
     "sentiment_metadata": lambda sp, f: sentiment.sentiment_metadata(_test_predictions(sp, f)),
 }

@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the campaign files.
 EMAIL_FILE = ["customer_id", "customer_name", "city", "send_to", "code", "subject", "message"]
 SMS_FILE = [c for c in EMAIL_FILE if c != "subject"]
 

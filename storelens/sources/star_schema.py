@@ -101,7 +101,7 @@ def open_store(spark: SparkSession, folder: str) -> Store:
         customers=lambda: _customers(t),
         products=lambda: filled(_products(t), "brand"),
         orders=lambda: filled(_orders(t), "payment_method").select(*_ORDER_COLUMNS),
-        reviews=lambda: _reviews(t).where(F.col("rating").isNotNull()),
+        reviews=lambda: _reviews(t),
         lines=lambda: t.lineitem.selectExpr(*_LINE_COLUMNS))
 
 

@@ -148,20 +148,25 @@ def test_reloaded_models_predict_the_same(spark, study, tmp_path):
     before = rows(learning.with_probability(model, study.test).select("customer_id", "score").orderBy("customer_id"))
     again = models.load_pipeline(str(tmp_path / "churn"))
     assert rows(learning.with_probability(again, study.test).select("customer_id", "score").orderBy("customer_id")) == before
-    card = learning.scorecard_of(model)
+    card = learning.scorecard_of(again)
+    assert card == learning.scorecard_of(model)
+    from storelens.operators.scoring import score
+    assert dict(rows(score(study.test, card).select("customer_id", "churn_probability"))) == pytest.approx(dict(before), abs=1e-12)
     models.save_scorecard(spark, card, str(tmp_path / "card"))
     assert models.load_scorecard(spark, str(tmp_path / "card")) == card
 
 
 def test_metrics_and_comparison(spark, study, tmp_path):
     study.pipelines = dict(study.pipelines, **{churn.FOREST: lambda: learning.forest_pipeline(20)})
-    table = by_key(study.comparison([churn.LOGISTIC, churn.FOREST, churn.NETWORK], cross_validated=[churn.LOGISTIC]), "model")
+    table = by_key(study.comparison([churn.LOGISTIC, churn.FOREST, churn.NETWORK]), "model")
     assert table[churn.LOGISTIC]["roc_auc"] > 0.75
     assert table[churn.LOGISTIC]["model_size"] == 12
     assert table[churn.NETWORK]["model_size"] == 11 * 32 + 32 + 32 * 16 + 16 + 16 * 2 + 2
     assert table[churn.FOREST]["gap"] == table[churn.FOREST]["train_auc"] - table[churn.FOREST]["roc_auc"]
     row = study.cross_validation(churn.LOGISTIC).first()
-    assert table[churn.LOGISTIC]["mean_auc"] == row.mean_auc and table[churn.FOREST]["mean_auc"] is None
+    assert table[churn.LOGISTIC]["mean_auc"] == row.mean_auc and table[churn.NETWORK]["mean_auc"] is None
+    forest = study.cross_validation(churn.FOREST).first()
+    assert table[churn.FOREST]["mean_auc"] == forest.mean_auc and 0.6 < forest.mean_auc < 1
     assert 0.7 < row.mean_auc < 1 and 0 <= row.std_auc < 0.2
     weights = study.coefficients().collect()
     assert weights[-1].feature == "days_since_last_order" and len(weights) == 11
@@ -172,6 +177,13 @@ def test_metrics_and_comparison(spark, study, tmp_path):
     assert read.target_window == [START, END] and read.test_metrics.roc_auc == round(table[churn.LOGISTIC]["roc_auc"], 3)
 
 
+def test_forest_learns_from_a_bounded_draw(spark):
+    study = churn.ChurnStudy(synthetic(spark), forest_rows=100)
+    drawn = study._fitted_on(churn.FOREST)
+    assert 60 < drawn.count() < 140 and study._fitted_on(churn.LOGISTIC).count() == study.train.count()
+    assert sorted(rows(drawn)) == sorted(rows(study._fitted_on(churn.FOREST)))
+
+
 def scores(spark, pairs):
     return spark.createDataFrame([(l, float(s)) for l, s in pairs], "label int, score double")
 

@@ -57,6 +57,15 @@ def test_numbered_is_a_permutation_in_key_order(spark):
     assert [r.position for r in out] == list(range(1, 501)) and {r.group_size for r in out} == {500}
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 299, 300, 500])
+def test_largest(spark, n):
+    rng = random.Random(7)
+    data = [(i, rng.choice([1.0, 2.5, -3.0, rng.uniform(0, 1e6), rng.uniform(100, 100.1)])) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, v double")
+    wanted = sorted(data, key=lambda r: (-r[1], r[0]))[:n]
+    assert sorted(rows(ranking.largest(df, "v", "k", n))) == sorted(wanted)
+
+
 def test_first_per_group(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "g string, v int")
     kept = ranking.first_per_group(df, ["g"], [F.desc("v")], 2)

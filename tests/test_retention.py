@@ -77,6 +77,17 @@ def test_cities_and_domains(scored):
         ("membership_type", "Gold"), ("membership_type", "Silver")]
 
 
+def test_domains_need_no_score(shop):
+    assert rows(retention.filter_domains(retention.buyers(shop))) == rows(retention.filter_domains(
+        retention.score_all_customers(shop, card())))
+
+
+def test_large_campaigns_are_ranked_in_slots(monkeypatch, scored, people):
+    small = by_key(retention.campaign_targets(scored, people, [], 0, 3, "Email", 15), "customer_id")
+    monkeypatch.setattr(retention, "HEAP_ROWS", 0)
+    assert by_key(retention.campaign_targets(scored, people, [], 0, 3, "Email", 15), "customer_id") == small
+
+
 def test_targets_take_the_most_valuable_and_keep_those_without_contact(scored, people):
     targets = retention.campaign_targets(scored, people, ["High risk"], 0, 2, "Email", 15)
     found = by_key(targets, "customer_id")
@@ -111,6 +122,8 @@ def test_campaign_files_and_log(spark, scored, people, tmp_path):
     files.write_csv(retention.at_risk_list(scored), str(tmp_path / "calls"))
     assert spark.read.option("header", True).csv(str(tmp_path / "calls")).columns == retention.CALL_LIST
     entry = retention.campaign_log_entry(retention.campaign_summary(targets), "Email", 15)
+    fixed = retention.campaign_log_entry(retention.campaign_summary(targets), "Email", 15, "2026-01-02 03:04:05").first()
+    assert fixed.time == "2026-01-02 03:04"
     for _ in range(2):
         files.append_log(entry, str(tmp_path / "log"))
     log = files.read_log(spark, str(tmp_path / "log")).collect()
@@ -160,6 +173,8 @@ def test_hindsight_and_360(shop):
     assert found[1] == {"customer_id": 1, "actual_orders": 1, "churned": False, "correct": False}
     assert found[2] == {"customer_id": 2, "actual_orders": 0, "churned": True, "correct": True}
     whole = by_key(retention.customer_360(shop, c, "2026-05-31", "2026-06-01", "2026-08-31"), "customer_id")
+    assert {(r["prediction"], r["action"][:4]) for r in whole.values() if r["churn_probability"] < 0.5} <= {
+        ("Likely to stay", "Keep")}
     assert whole[1]["age_text"] == "age unknown" and whole[2]["initials"] == "SB" and whole[1]["correct"] is False
 
 

@@ -45,6 +45,14 @@ def test_text_checks(labelled):
     assert rows(sentiment.most_repeated_texts(labelled, 1)) == [("Very good value, feels premium.", 24)]
 
 
+def test_text_checks_read_reviews_without_a_rating(spark):
+    texts = sentiment.sentiment_labels(store(spark, reviews=[(1, 1, 5, "good", None), (2, 1, None, "good", None)]))
+    assert rows(sentiment.text_duplication(texts)) == [(2, 1, 1, 50.0)]
+    assert rows(sentiment.most_repeated_texts(texts)) == [("good", 2)]
+    assert rows(texts.select("review_id", "sentiment").orderBy("review_id")) == [(1, "Positive"), (2, None)]
+    assert sentiment.rated(texts).count() == 1
+
+
 def test_split_keeps_copies_together(labelled):
     split = sentiment.sentiment_split(labelled)
     assert rows(sentiment.split_leakage(split)) == [(0,)]
