@@ -9,7 +9,8 @@
    probability that its similarity reaches the threshold, given the matches so far and a uniform prior,
    falls below ``miss``. Survivors are compared on their whole sets.
 4. Links are joined into components. What is left are bands that still hold nodes of different
-   components; there every such pair is compared, in blocks, and a node passes on its most similar
+   components. Their nodes get a longer signature, so that the test can tell 0.75 from 0.8; every such pair
+   is compared in the first band that it shares, in blocks, and a node passes on its most similar
    partners first. Rounds go on until no candidate pair between two components is untested.
 """
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ from storelens.operators.durable import durable
 #: Nodes of a band that are compared in one block.
 BLOCK = 1024
 #: Partners that a node passes on in the first round over blocks; each later round takes eight times as many.
-PARTNERS = 64
+PARTNERS = 16
 _CHUNK = 1 << 17
-_PAIRS = 50_000
+_PAIRS = 20_000
 
 
 @dataclass(frozen=True)
@@ -40,12 +41,14 @@ class NearDuplicates:
     """Parameters. Pairs at the threshold share no band with probability (1 - t^rows)^bands.
 
     The defaults miss such a pair about once in eight million; ``miss`` bounds the Bayesian test.
+    ``batch`` hashes are compared at a time, and ``longer`` more where components meet.
     """
     width: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 5
     batch: int = 20
+    longer: int = 800
     miss: float = 1e-7
     seed: int = 1
 
@@ -77,7 +80,7 @@ def minima(shingles: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def least_matches(p: NearDuplicates) -> list[tuple[int, int]]:
+def least_matches(p: NearDuplicates, hashes: int) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches with which a pair goes on).
 
     With m of n matches and a uniform prior, P(similarity >= t) is the chance of at most m successes
@@ -86,7 +89,7 @@ def least_matches(p: NearDuplicates) -> list[tuple[int, int]]:
     t = p.percent / 100
     t += (1 - t) / 256
     out = []
-    for n in [*range(p.batch, p.hashes, p.batch), p.hashes]:
+    for n in [*range(p.batch, hashes, p.batch), hashes]:
         tail, m = 0.0, 0
         while m <= n:
             tail += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(t) + (n + 1 - m) * log(1 - t))
@@ -102,7 +105,7 @@ def survivors(left: np.ndarray, right: np.ndarray, p: NearDuplicates) -> tuple[n
     alive = np.arange(len(left))
     matches = np.zeros(len(left), np.int64)
     done = 0
-    for n, least in least_matches(p):
+    for n, least in least_matches(p, left.shape[1]):
         matches[alive] += (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
         alive = alive[matches[alive] >= least]
         done = n
@@ -201,10 +204,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, p: NearDuplicates, id_column: str,
         per_batch, "node bigint, shingles binary")
 
 
+def _longer(sets: DataFrame, marks: DataFrame, p: NearDuplicates) -> DataFrame:
+    """``marks`` of the nodes in ``sets`` with ``longer`` more bytes of signature."""
+    def per_batch(batches):
+        for batch in batches:
+            more = [(minima(np.frombuffer(s.as_buffer(), np.uint64), p.longer, p.seed + 1) >> np.uint64(56))
+                    .astype(np.uint8).tobytes() for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(more, pa.binary())], names=["node", "more"])
+
+    more = sets.mapInArrow(per_batch, "node bigint, more binary").dropDuplicates(["node"])
+    return marks.join(more, "node").select("node", "keys", F.concat("signature", "more").alias("signature"))
+
+
 def _open_pairs(members: DataFrame, marks: DataFrame, p: NearDuplicates, partners: int) -> DataFrame:
     """Likely pairs across components within a band, at most ``partners`` of them for each node and block.
 
-    members: (band, node, component). A band of n nodes is cut into blocks of about BLOCK, and every two
+    A pair counts in the first band it shares. members: (band, node, component). A band of n nodes is cut into blocks of about BLOCK, and every two
     blocks meet in one group, so a group is bounded however large the band is. A row with a null b says
     that its node has more partners than were passed on.
     """
@@ -231,7 +246,7 @@ def _open_pairs(members: DataFrame, marks: DataFrame, p: NearDuplicates, partner
             yield from _likely_in_groups(rest, _changes(rest), p, partners)
 
     ordered = spread.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return ordered.select("band", "x", "y", "node", "component", "mine", "signature").mapInArrow(
+    return ordered.select("band", "x", "y", "node", "component", "mine", "keys", "signature").mapInArrow(
         per_task, "a bigint, b bigint")
 
 
@@ -251,8 +266,10 @@ def _likely_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicate
     n = rows.num_rows
     if not n:
         return
-    node, component, mine, x, y = (rows.column(c).to_numpy() for c in ("node", "component", "mine", "x", "y"))
+    band, node, component, mine, x, y = (rows.column(c).to_numpy()
+                                         for c in ("band", "node", "component", "mine", "x", "y"))
     sign = _matrix(rows.column("signature"))
+    keys = rows.column("keys").flatten().to_numpy().reshape(n, -1)
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     many = ends - np.arange(n) - 1
     total = np.append(0, np.cumsum(many))
@@ -264,6 +281,9 @@ def _likely_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicate
         first = last
         meets = (component[i] != component[j]) & ((x[i] == y[i]) | (mine[i] != mine[j]))
         i, j = i[meets], j[meets]
+        shared = (keys[i] == keys[j]).argmax(axis=1)
+        here = keys[i, shared] == band[i]
+        i, j = i[here], j[here]
         alive, matches = survivors(sign[i], sign[j], p)
         order = alive[np.lexsort((-matches, i[alive]))]
         i, j = i[order], j[order]
@@ -295,7 +315,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     chosen = durable(sign.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi")
                      .dropDuplicates(["set_id", "doc_id"])
                      .select(F.col("doc_id").alias("node"), "set_id", "band", "signature"))
-    marks = chosen.select("node", "signature")
+    marks = chosen.select("node", F.col("band").alias("keys"), "signature")
     members = chosen.select(F.explode("band").alias("band"), "node")
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     members = durable(members.join(shared.select("band", "first"), "band"))
@@ -304,11 +324,15 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     wanted = members.select("node").distinct().join(chosen.select("node", "set_id"), "node")
     sets = durable(_sets(docs, wanted, p, id_column, text))
     links = durable(_confirmed(_likely(pairs, marks, p), sets, p))
-    found, partners = durable(components(links)), PARTNERS
+    found, partners, longer = durable(components(links)), PARTNERS, None
     while True:
         labelled = members.join(found, "node", "left").select(
             "band", "node", F.coalesce("component", "node").alias("component"))
-        pairs = durable(_open_pairs(labelled, marks, p, partners).distinct())
+        if longer is None:
+            bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+            apart = labelled.join(bands.where("lo <> hi"), "band", "left_semi").select("node").distinct()
+            longer = durable(_longer(sets.join(apart, "node", "left_semi"), marks, p))
+        pairs = durable(_open_pairs(labelled, longer, p, partners).distinct())
         fresh = durable(_confirmed(pairs.where("b IS NOT NULL"), sets, p))
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
