@@ -29,7 +29,7 @@ from storelens.llm.textbytes import mixed, shingle_sets, texts_in
 from storelens.operators.durable import durable
 
 #: Nodes of a band that are compared in one block.
-BLOCK = 1024
+BLOCK = 4096
 #: Partners that a node passes on in the first round over blocks; each later round takes eight times as many.
 PARTNERS = 16
 _CHUNK = 1 << 17
