@@ -28,7 +28,7 @@ HEADLINE = [
     "split_leakage", "sentiment_metrics",
 ]
 
-FITTED = ["churn_model_lr", "churn_model_mlp", "churn_model_rf", "sentiment_model", "sentiment_score"]
+FITTED = ["churn_model_lr", "churn_model_mlp", "sentiment_model"]
 RUNS = 3
 
 
