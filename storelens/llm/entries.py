@@ -61,7 +61,7 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
-    return licences.licences(_table(spark, folder, "documents"))
+    return licences.licences(_table(spark, folder, "documents"), licences.LicenceScan(anywhere=True))
 
 
 def op5_leaks(spark: SparkSession, folder: str) -> DataFrame:

@@ -297,6 +297,34 @@ def test_licences(spark):
     assert licences.licences(table(spark, docs).limit(0)).count() == 0
 
 
+def test_licences_anywhere(spark):
+    """Real files and notices among other words, against all runs of words of a template's size."""
+    mit, share, warranty = [t for n, t in licences.TEMPLATES[19:] if n == "MIT"]
+    header, unless = [t for n, t in licences.TEMPLATES[19:] if n == "Apache-2.0"]
+    docs = [(0, f"MIT License\n\nCopyright (c) 2020 Jane\n\n{mit}\n\n{share}\n\n{warranty}\n"),
+            (1, f"   {header}\r\n \r\n  http://www.apache.org/licenses/LICENSE-2.0\r\n\r\n{unless}".replace(", ", ",\n * ")),
+            (2, "Copyright 2020 Jane. Released under the MIT License."), (3, "Licensed under the MIT License in part"),
+            (4, "x y z\nthis is\nlicensed under the\nBSD 3-Clause License. And more of it, licensed under the BSD 3-Clause "
+                "License"), (5, "under the License and the MIT"), (6, "Released under the"), (7, "MIT License."), (8, None)]
+    scan = licences.LicenceScan(anywhere=True)
+    ours = {(r[0], r[1]): (round(r[2], 9), r[3]) for r in licences.licences(table(spark, docs), scan).collect()}
+    wanted = {}
+    for name, template in licences.TEMPLATES:
+        own = words_of(template)
+        own_pairs = set(zip(own, own[1:]))
+        for doc_id, text in docs:
+            w = words_of(text)
+            pairs = list(zip(w, w[1:]))
+            best = max((2 * len(own_pairs & set(pairs[a:b])) / (len(own_pairs) + len(set(pairs[a:b])))
+                        for a in range(len(pairs)) if pairs[a] in own_pairs
+                        for b in range(a + 1, min(len(pairs), a + 2 * len(own)) + 1)), default=0)
+            if best >= 0.9:
+                wanted[doc_id, name] = max(wanted.get((doc_id, name), 0), round(best, 9))
+    assert {k: d for k, (d, _) in ours.items()} == wanted
+    assert {(0, "MIT"), (1, "Apache-2.0"), (2, "MIT"), (3, "MIT"), (4, "BSD-3-Clause")} <= set(ours)
+    assert ours[4, "BSD-3-Clause"] == (1.0, 2) and not {k for k in ours if k[0] > 4}
+
+
 # -- shards --------------------------------------------------------------------------------------------------
 
 def test_shards(spark, tmp_path):
