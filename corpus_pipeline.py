@@ -8,6 +8,8 @@ from storelens.operators.durable import durable
 
 #: A document stays if its language is this likely.
 LEAST_SCORE = 0.5
+#: What counts as a repeated passage: over 50 words, or 400 bytes where words are long or not set apart.
+REPEATS = suffixes.Repeats(length=400, anchor=100, words=51)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +27,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings of 400 or more that occur twice. Parts of characters that a cut leaves go, and so do texts
+    """Cuts passages of over 50 words, or of 400 bytes or more, that occur twice. Parts of characters that a cut leaves go, and so do texts
     of which nothing is left."""
-    found = suffixes.repeated_spans(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    found = suffixes.repeated_spans(docs, REPEATS, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     whole = F.col("kept_text").isNull()
     left = (found.withColumn("text", F.coalesce("kept_text", "text")).where(whole | (F.trim("text") != ""))
             .withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))))

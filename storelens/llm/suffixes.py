@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelens.llm.textbytes import flat, mixed, powers, prefix_sums, texts_in
+from storelens.llm.textbytes import WHITE, flat, mixed, powers, prefix_sums, texts_in
 from storelens.operators.durable import durable
 
 PIECE = 1 << 20
@@ -36,6 +36,9 @@ class Repeats:
     """``length``: bytes of a repeat. ``anchor``: bytes of an anchor, at least eight and less than ``length``. Longer
     anchors are more of them, but fewer lines and phrases shorter than a repeat look like one.
 
+    ``words``: if given, so many words are a repeat too, however few bytes they take; they hold two bytes a word but
+    one, so ``anchor`` must not be longer.
+
     ``run_bytes``: bytes of suffixes that a task sorts at a time. ``range_anchors``: distinct repeated
     anchors of a merge range.
     """
@@ -43,6 +46,11 @@ class Repeats:
     anchor: int = 160
     run_bytes: int = 32 << 20
     range_anchors: int = 4096
+    words: int = 0
+
+    def least(self) -> int:
+        """Bytes of the shortest repeat."""
+        return min(self.length, 2 * self.words - 1) if self.words else self.length
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,13 +63,76 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
+def _window_ends(data: np.ndarray, starts: np.ndarray, at: int, part: np.ndarray, n: int,
+                 p: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows that begin at the first ``n`` bytes of a part at ``at`` end: after ``length`` bytes or
+    ``words`` words, whichever comes first. Past the part if their text ends before. And where ``length`` bytes or
+    their text end.
+    """
+    none = len(part) + 1
+    place = np.arange(n)
+    text_end = starts[np.searchsorted(starts, place + at, "right")] - at
+    most = np.minimum(place + p.length, text_end)
+    end = np.where(place + p.length > text_end, none, most)
+    inside = ~WHITE[part]
+    before, after = np.zeros((2, len(part)), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[0] = at > 0 and not WHITE[data[at - 1]]
+    edges = starts[(starts >= at) & (starts < at + len(part))] - at
+    before[edges] = False
+    after[edges[edges > 0] - 1] = False
+    begins = inside & ~before
+    stop = np.flatnonzero(inside & ~after) + 1
+    # The part may begin within a word. One that it ends within is too far for a window of ``length`` bytes.
+    stop = np.append(stop[len(stop) - int(begins.sum()):], np.full(p.words, none))
+    by_words = stop[np.cumsum(begins[:n]) - begins[:n] + p.words - 1]
+    by_words[by_words > text_end] = none
+    return np.minimum(end, by_words), most
+
+
+def _least_between(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest of x[i:j] for i < j, without a table for more than one length."""
+    depth = np.frexp((j - i).astype(float))[1] - 1
+    out = np.empty(len(i), x.dtype)
+    for d in range(int(depth.max(initial=-1)) + 1):
+        at = np.flatnonzero(depth == d)
+        out[at] = np.minimum(x[i[at]], x[j[at] - (1 << d)])
+        x = np.minimum(x[:-(1 << d)], x[1 << d:])
+    return out
+
+
+def _word_anchors(data: np.ndarray, starts: np.ndarray, p: Repeats) -> list[tuple[np.ndarray, ...]]:
+    """As :func:`anchors`, for windows that may end after some words. Their ends never go back either. What belongs to
+    an anchor reaches on to the end of ``length`` bytes, so that a repeat of these is seen whole.
+    """
+    found = []
+    for at in range(0, len(data), PIECE):
+        part = data[at:at + PIECE + p.length]
+        m = len(part) - p.anchor + 1
+        if m <= 0:
+            continue
+        sums = prefix_sums(part)
+        _, down = powers(len(sums))
+        value = mixed((sums[p.anchor:] - sums[:-p.anchor]) * down[:m])
+        key = (value & ~_AT) | np.arange(m, dtype=np.uint64)
+        end, most = _window_ends(data, starts, at, part, min(PIECE, len(part)), p)
+        window = np.flatnonzero(end <= len(part))
+        end = end[window]
+        pick = (_least_between(key, window, end - p.anchor + 1) & _AT).astype(np.int64)
+        if len(pick):
+            new = np.flatnonzero(np.append(True, pick[1:] != pick[:-1]))
+            last = np.append(new[1:] - 1, len(pick) - 1)
+            found.append((pick[new] + at, value[pick[new]], window[new] + at, most[window[last]] + at))
+    return found
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, p: Repeats) -> tuple[np.ndarray, ...]:
     """Places of all anchors in the joined texts, their hashes, and the bytes from the first window that picked
     them to the last one's end. No window leaves its text.
     """
-    found = []
+    found = _word_anchors(data, starts, p) if p.words else []
     n = len(data) - p.length + 1
-    if n > 0:
+    if n > 0 and not p.words:
         inside = np.zeros(n, bool)
         for first, last in zip(starts[:-1], starts[1:], strict=True):
             inside[first:max(first, last - p.length + 1)] = True
@@ -230,19 +301,41 @@ def _range_min(values: np.ndarray):
     return between
 
 
-def agreements(entries: list[tuple[int, bytes, bytes, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
+def _are_repeats(entries: list[tuple[int, bytes, bytes, int]], length: int, words: int):
+    """Tells of entries, and of bytes before and after their places, whether these are a repeat."""
+    if not words:
+        return lambda k, before, after: before + after >= length
+    sizes = np.array([(len(l), len(r)) for _, r, l, _ in entries], np.int64).reshape(-1, 2)
+    start = np.append(0, np.cumsum(sizes.sum(axis=1)))[:-1]
+    place = start + sizes[:, 0]
+    inside = ~WHITE[np.frombuffer(b"".join(x for _, r, l, _ in entries for x in (l, r)), np.uint8)]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[start] = inside[start]
+    seen = np.append(0, np.cumsum(begins, dtype=np.int32))
+
+    def enough(k: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        first, last = place[k] - before, place[k] + after
+        return (before + after >= length) | (seen[last] - seen[first] + (inside[first] & ~begins[first]) >= words)
+    return enough
+
+
+def agreements(entries: list[tuple[int, bytes, bytes, int]], length: int,
+               words: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For entries with a common anchor, in order: the bytes before and after the place that repeat.
 
     Each entry is (common prefix with the one before, suffix, bytes before, times seen). For every common
     prefix d that occurs, entries fall into groups that agree on d bytes; in the order of their reversed
     left sides, a neighbour within the group agrees furthest to the left. The pair counts if both
-    agreements reach ``length``. Zero where nothing does.
+    agreements reach ``length``, or have ``words`` words, those cut by an end included. Zero where nothing does.
     """
     n = len(entries)
     low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for k, (_, r, l, seen) in enumerate(entries):
-        if seen > 1 and len(r) + len(l) >= length:
-            low[k], high[k] = len(l), len(r)
+    enough_of = _are_repeats(entries, length, words)
+    copied = np.array([k for k, e in enumerate(entries) if e[3] > 1], np.int64)
+    before, after = (np.array([len(entries[k][side]) for k in copied], np.int64) for side in (2, 1))
+    whole = enough_of(copied, before, after)
+    low[copied[whole]], high[copied[whole]] = before[whole], after[whole]
     if n == 1:
         return low, high
     lefts = [l[::-1] for _, _, l, _ in entries]
@@ -258,7 +351,7 @@ def agreements(entries: list[tuple[int, bytes, bytes, int]], length: int) -> tup
         same = group[a] == group[b]
         a, b = a[same], b[same]
         agree = between(rank[a], rank[b])
-        enough = agree + depth >= length
+        enough = enough_of(a, agree, np.full(len(a), depth))
         for side in (a[enough], b[enough]):
             np.maximum.at(low, side, agree[enough])
             np.maximum.at(high, side, depth)
@@ -326,7 +419,7 @@ def _verdicts(blocks: DataFrame, p: Repeats) -> DataFrame:
         out: list[tuple[bytes, int, int]] = []
 
         def settle(group: list) -> None:
-            low, high = agreements(group, p.length)
+            low, high = agreements(group, p.length, p.words)
             for k in np.flatnonzero(high):
                 out.append((_entry_id(group[k][1], group[k][2]), int(low[k]), int(high[k])))
 
@@ -358,8 +451,8 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_column: str = "do
                    carry: list[str] = ()) -> DataFrame:
     """(doc_id, text, n_bytes, spans, kept, kept_text): the maximal byte spans that repeats cover, and what is left.
 
-    A byte is covered if a string of ``length`` bytes around it also starts at another place of the table,
-    the same text included; overlaps count. Spans are [start, end) in the UTF-8 bytes of the text; a null
+    A byte is covered if a string of ``length`` bytes, or one from word to word of ``words``, around it also starts at
+    another place of the table, the same text included; overlaps count. Spans are [start, end) in the UTF-8 bytes of the text; a null
     text is empty. Rows may repeat ids: a row that occurs twice repeats itself. A null id is one more
     id. ``kept`` is binary, since a cut may split a character; ``kept_text`` leaves such parts
     out and is null where nothing is cut. Columns named in ``carry`` follow, others are not read.
@@ -368,7 +461,7 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_column: str = "do
                         *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
                         F.coalesce(F.col(id_column).cast("bigint"), F.lit(-1)).alias("id"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"))
-    found = durable(_anchor_rows(keyed.where(F.octet_length("text") >= p.length).select("id", "tag", "text"), p))
+    found = durable(_anchor_rows(keyed.where(F.octet_length("text") >= p.least()).select("id", "tag", "text"), p))
     places = found.select("id", "tag", F.explode(F.arrays_zip("hash", "place", "low", "high")).alias("x")) \
         .select("id", "tag", "x.*")
     heads = found.select(F.explode(F.arrays_zip("hash", "head")).alias("x")).select("x.*")

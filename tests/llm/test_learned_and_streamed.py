@@ -303,6 +303,23 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0, name
 
 
+def test_pipeline_cuts_passages_of_51_words(spark, small):
+    def passage(words, size, mark):
+        return " ".join(f"{mark}{k:0{size - 1}d}" for k in range(words))
+
+    def own(i):
+        i = "abcdefghijklmnopqrstuvwxyz"[i]
+        return " ".join(f"{i}own{k}of{i}" for k in range(40))
+
+    shared = [passage(51, 5, "p"), passage(51, 3, "q"), passage(50, 5, "r")]
+    texts = [f"{own(2 * k + j)} {s} {own(20 + 2 * k + j)}" for k, s in enumerate(shared) for j in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["repeats"](spark, docs, small).collect()}
+    assert [shared[i // 2] in left[i] for i in range(6)] == [False] * 4 + [True] * 2
+    assert all(own(i) in left[i] and own(20 + i) in left[i] for i in range(6))
+
+
 def test_pipeline_lists_its_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language", "near_duplicates", "repeats", "decontamination", "tokens"]

@@ -156,6 +156,53 @@ def test_kept_text_leaves_split_characters_out(spark):
     assert [r["kept_text"] for r in found] == ["q", "r"] or all("�" not in (r["kept_text"] or "") for r in found)
 
 
+def word_spans(texts, length, words):
+    """Bytes that must be covered (whole words on both sides) and that may be (words cut by an end count too)."""
+    data = [t.encode() for t in texts]
+    must, may = defaultdict(set), defaultdict(set)
+    for n, d in enumerate(data):
+        found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        for k in range(len(found) - words + 1):
+            must[d[found[k][0]:found[k + words - 1][1]]].add((n, found[k][0]))
+        for k in range(len(d) - length + 1):
+            must[d[k:k + length]].add((n, k))
+            may[d[k:k + length]].add((n, k))
+        for k in range(len(d)):
+            ahead = [a for a, _ in found if a > k]
+            cut = any(a <= k < b for a, b in found)
+            if len(ahead) >= words - cut:
+                may[d[k:ahead[words - cut - 1] + 1]].add((n, k))
+    out = []
+    for windows in (must, may):
+        covered = [np.zeros(len(d), bool) for d in data]
+        for window, places in windows.items():
+            if len(places) > 1:
+                for n, k in places:
+                    more = max(_common(data[n][k:], data[m][j:]) for m, j in places if (m, j) != (n, k))
+                    covered[n][k:k + (more if windows is may else len(window))] = True
+        out.append(covered)
+    return out
+
+
+def test_repeated_words(spark, monkeypatch):
+    draw = random.Random(5)
+    passages = [" ".join(draw.choices(["a", "bcd", "éf", "ghijk", "l\n"], k=draw.randint(6, 14))) for _ in range(10)]
+    passages += ["x" * 50, "日" * 20]
+    texts = ["".join(draw.choice([*passages, "".join(draw.choices("abcdé  ", k=30))]) + draw.choice(["", " ", " z "])
+                     for _ in range(draw.randint(0, 6))) for _ in range(60)]
+    texts += ["", "q", "1 2 3 4 5 6 7 8", "0 1 2 3 4 5 6 7 8 9", texts[0], "m n " * 40]
+    p = suffixes.Repeats(length=40, anchor=9, run_bytes=4000, range_anchors=16, words=8)
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    got = {r["doc_id"]: r["spans"] for r in suffixes.repeated_spans(table(spark, list(enumerate(texts))), p).collect()}
+    must, may = word_spans(texts, p.length, p.words)
+    for i, text in enumerate(texts):
+        ours = np.zeros(len(text.encode()), bool)
+        for s in got[i]:
+            ours[s["start"]:s["end"]] = True
+        assert (must[i] <= ours).all() and (ours <= may[i]).all(), text
+    assert sum(m.sum() for m in must) > sum(n for _, n, _, _ in brute_spans(texts, p.length))
+
+
 def test_loser_tree():
     draw = random.Random(1)
     for _ in range(100):
