@@ -65,7 +65,7 @@ def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return leaks.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), leaks.EVERY_ITEM)
 
 
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,13 +6,14 @@ them and ignores the rest: whatever ``misses`` places differ, at least two block
 the masks hits. Every window of both sides is hashed under every mask, equal hashes are joined, and the
 windows around a hit are compared word by word.
 
-An item with fewer words than ``span`` is looked for as a whole and must agree in every word.
+An item with fewer words than ``span`` is looked for as a whole. It must agree in every word, or, from ``scaled``
+words on, in all but a proportionate number, found by masks over its own length.
 
 The benchmark is taken in blocks of a bounded number of windows. A block's hashes are sent to all tasks, and
 each text meets every block; a larger benchmark means more blocks, never more memory.
 """
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -25,18 +26,28 @@ from pyspark.sql import types as T
 from storelens.llm.textbytes import BASE, NOT_ALNUM, chained, mixed, texts_in, words
 
 _BITS = 22
+#: Letters of scripts that do not set words apart.
+_UNSEGMENTED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
 @dataclass(frozen=True)
 class Seeds:
     """``span`` words of which ``misses`` may differ; items under ``shortest`` words are not looked for.
 
-    ``block`` bounds the benchmark words whose hashes a task holds at a time.
+    ``block`` bounds the benchmark words whose hashes a task holds at a time. ``scaled``: items of so many words and
+    more, but fewer than ``span``, may differ in a proportionate number of words; 0 for none. ``by_character``: a
+    character of a script that does not set words apart is a word.
     """
     span: int = 13
     misses: int = 2
     shortest: int = 8
     block: int = 200_000
+    scaled: int = 0
+    by_character: bool = False
+
+    def misses_in(self, size: int) -> int:
+        """Words in which an item of fewer words than ``span`` may differ."""
+        return size * self.misses // self.span if 0 < self.scaled <= size else 0
 
     def masks(self) -> list[tuple[tuple[int, int], tuple[int, int]]]:
         """Pairs of (first word, words) that a mask keeps."""
@@ -45,6 +56,10 @@ class Seeds:
         return list(combinations(blocks, 2))
 
 
+#: Looks for every item that has a word at all.
+EVERY_ITEM = Seeds(shortest=1, scaled=8, by_character=True)
+
+
 def seed_hashes(hashes: np.ndarray, seeds: Seeds) -> Iterator[np.ndarray]:
     """For each mask the hash of every window."""
     n = len(hashes) - seeds.span + 1
@@ -58,9 +73,12 @@ def seed_hashes(hashes: np.ndarray, seeds: Seeds) -> Iterator[np.ndarray]:
         yield mixed((runs[la][a:a + n] * BASE) ^ (runs[lb][b:b + n] + np.uint64(k)))
 
 
-def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _words(column: pa.Array, seeds: Seeds) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, word hashes, where each text's words begin); case does not count."""
-    lower = pa.RecordBatch.from_arrays([pc.utf8_lower(column)], names=["text"])
+    lower = pc.utf8_lower(column)
+    if seeds.by_character:
+        lower = pc.replace_substring_regex(lower, pattern=_UNSEGMENTED, replacement=r" \1 ")
+    lower = pa.RecordBatch.from_arrays([lower], names=["text"])
     for first, last, data, starts in texts_in(lower, "text"):
         _, _, hashes, at = words(data, starts, NOT_ALNUM)
         yield first, last, hashes, at
@@ -74,7 +92,7 @@ def benchmark_words(items: DataFrame, seeds: Seeds, id_column: str = "item_id",
         for batch in batches:
             rows = []
             ids = batch.column("item_id").to_pylist()
-            for first, last, hashes, at in _words(batch.column("text")):
+            for first, last, hashes, at in _words(batch.column("text"), seeds):
                 for i in range(first, last):
                     own = hashes[at[i - first]:at[i - first + 1]]
                     if len(own) < seeds.shortest:
@@ -100,9 +118,14 @@ class _Block:
         self.pieces = pieces
         self.tables = [self._table(k) for k in range(len(seeds.masks()))]
         self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.shorter: list[tuple[np.ndarray, _Block]] = []
         short = [k for k, w in enumerate(self.words) if len(w) < seeds.span]
         for size in sorted({len(self.words[k]) for k in short}):
             own = [k for k in short if len(self.words[k]) == size]
+            if seeds.misses_in(size):
+                self.shorter.append((np.array(own), _Block([pieces[k] for k in own], replace(
+                    seeds, span=size, misses=seeds.misses_in(size)))))
+                continue
             value = np.array([chained(self.words[k], size)[0] for k in own], np.uint64)
             order = np.argsort(value, kind="stable")
             self.whole[size] = (value[order], np.array(own)[order])
@@ -146,9 +169,14 @@ class _Block:
             good.append(rows[equal.sum(axis=1) >= seeds.span - seeds.misses])
         for size, (known, own) in self.whole.items():
             value = chained(hashes, size)
-            for at in np.flatnonzero(np.isin(value, known)):
-                for k in own[np.searchsorted(known, value[at], "left"):np.searchsorted(known, value[at], "right")]:
-                    good.append(np.array([[at, k, 0]]))
+            at = np.flatnonzero(np.isin(value, known))
+            low = np.searchsorted(known, value[at], "left")
+            many = np.searchsorted(known, value[at], "right") - low
+            row = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            good.append(np.stack([np.repeat(at, many), own[row], np.zeros(len(row), np.int64)], axis=1))
+        for own, block in self.shorter:
+            word, piece, place = block.hits(hashes)
+            good.append(np.stack([word, own[piece], place], axis=1))
         good = np.concatenate(good) if good else np.empty((0, 3), np.int64)
         return good[:, 0], good[:, 1], good[:, 2]
 
@@ -159,7 +187,7 @@ def leaks(docs: DataFrame, items: DataFrame, seeds: Seeds = Seeds(), id_column:
 
     n_windows counts the windows of the text that agree with the item (for each piece of an item over a
     thousand words); first_word and last_word are the outermost words they reach. Words are runs of letters and digits (any byte beyond ASCII counts as a
-    letter), in lower case. Null and empty texts, items without id and items under ``shortest`` words
+    letter), in lower case; with ``by_character``, also each character of a script that does not set words apart. Null and empty texts, items without id and items under ``shortest`` words
     leak nowhere. Rows that repeat a document's id are summed up in one row. A document without id has a
     row with a null doc_id. Other columns of either table are not read.
     """
@@ -188,7 +216,7 @@ def _scan(docs: DataFrame, pieces: list[dict], seeds: Seeds, schema: T.StructTyp
         item = np.array([p["item_id"] for p in block.pieces], np.int64)
         size = np.array([min(len(w), seeds.span) for w in block.words], np.int64)
         for batch in batches:
-            for first, last, hashes, at in _words(batch.column("text")):
+            for first, last, hashes, at in _words(batch.column("text"), seeds):
                 word, piece, _ = block.hits(hashes)
                 if not len(word):
                     continue

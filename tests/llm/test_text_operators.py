@@ -282,6 +282,42 @@ def test_leaks(spark):
     assert collected(leaks.leaks(table(spark, docs), bench, leaks.Seeds(block=100))) == wanted
 
 
+def test_leaks_of_short_items(spark):
+    """Items of any length, words changed in those from eight words on, and scripts without spaces, by brute force."""
+    draw = random.Random(7)
+    vocabulary = [f"v{k}" for k in range(60)]
+    zh, th = "机器学习模型需要大量数据才能表现良好", "ภาษาไทยไม่มีช่องว่าง"
+    items = [(k, " ".join(draw.choices(vocabulary, k=1 + k % 14))) for k in range(42)] + [(90, zh), (91, th), (92, "数据"),
+                                                                                        (93, "?!"), (94, None)]
+    docs = []
+    for i in range(80):
+        words = draw.choices(["x", "y", *vocabulary[:5]], k=draw.randint(0, 20))
+        passage = draw.choice(items[:42])[1].split()
+        for _ in range(draw.randint(0, 2)):
+            passage[draw.randrange(len(passage))] = "other"
+        words[len(words) // 2:len(words) // 2] = passage
+        docs.append((i, " ".join(words)))
+    docs += [(100, "前" + zh[:7] + "型" + zh[8:] + "后"), (101, "x" + th + "y"), (102, "数 据"), (103, None), (104, zh[:5])]
+
+    def split(text):
+        return words_of(re.sub("([\u0e00-\u0e7f\u4e00-\u9fff])", r" \1 ", text or ""))
+
+    wanted = []
+    for item_id, item in items:
+        w = split(item)
+        size = min(len(w), 13)
+        least = size - (2 if size == 13 else 1 if size >= 8 else 0)
+        for doc_id, text in docs if w else []:
+            d = split(text)
+            at = [k for k in range(len(d) - size + 1) if any(
+                sum(a == b for a, b in zip(d[k:k + size], w[j:j + size])) >= least for j in range(len(w) - size + 1))]
+            if at:
+                wanted.append((doc_id, item_id, len(at), at[0], at[-1] + size - 1))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert collected(leaks.leaks(table(spark, docs), bench, leaks.EVERY_ITEM)) == sorted(wanted, key=str)
+    assert {(100, 90), (101, 91), (102, 92)} <= {(d, i) for d, i, *_ in wanted}
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert leaks.leaks(table(spark, [(1, "a b")]), bench).count() == 0
