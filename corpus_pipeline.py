@@ -20,10 +20,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         "__lang", "__score")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds ``__row``: the id, or for each row without one a number above all ids, written once so that it stays."""
+    most = docs.agg(F.greatest(F.max("doc_id"), F.lit(0))).first()[0]
+    above = durable(docs.where("doc_id IS NULL")
+                    .withColumn("__row", F.monotonically_increasing_id() + F.lit(most + 1)))
+    return docs.where("doc_id IS NOT NULL").withColumn("__row", F.col("doc_id").cast("bigint")).unionByName(above)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8). Every row without an
+    id is a document that comes after all ids: it stays unless it is a near copy of another."""
+    rows = with_row(docs)
+    kept = minhash.near_duplicates(rows, id_column="__row").where("kept").select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +47,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage of the benchmark. Items under 8 words count where they occur word by word."""
-    found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), leaks.EVERY_ITEM)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents with a passage of the benchmark. Items under 8 words count where they occur word by word.
+    A row without an id is a document of its own."""
+    rows = with_row(docs)
+    found = leaks.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), leaks.EVERY_ITEM, id_column="__row")
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -320,6 +320,26 @@ def test_pipeline_cuts_passages_of_51_words(spark, small):
     assert all(own(i) in left[i] and own(20 + i) in left[i] for i in range(6))
 
 
+def test_pipeline_keeps_rows_without_id(spark, tmp_path):
+    def prose(mark):
+        return " ".join(f"{mark}{k}" for k in range(40))
+
+    texts = [(1, "a"), (-5, "b"), (None, "c"), (None, "c"), (None, "a"), (None, "leak"), (None, "d"), (7, "e"), (7, "e")]
+    rows = [(i, prose(t), "en", "s", len(prose(t))) for i, t in texts] + [(None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, prose("leak"))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(name, df):
+        out = stages[name](spark, df, str(tmp_path))
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"] and r["text"].split()[0][:-1]) for r in out.collect()), key=str)
+
+    assert left("near_duplicates", docs) == sorted(
+        [(1, "a"), (-5, "b"), (None, "c"), (None, "leak"), (None, "d"), (7, "e"), (7, "e"), (None, None)], key=str)
+    assert left("decontamination", docs) == sorted([t for t in texts if t[1] != "leak"] + [(None, None)], key=str)
+
+
 def test_pipeline_lists_its_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language", "near_duplicates", "repeats", "decontamination", "tokens"]
