@@ -55,6 +55,8 @@ class Vocabulary:
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
         self.lookahead = sufficient_lookahead(self)
+        #: Bytes that a stream takes at a time.
+        self.step = 2 * max(self.lookahead.values()) + 2 * max(map(len, self.token_bytes.values()))
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a whole piece: the pair of lowest rank first, the leftmost of equals."""
@@ -107,7 +109,7 @@ class PieceStream:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.held = b""
-        self.step = 2 * max(vocabulary.lookahead.values()) + 2 * max(map(len, vocabulary.token_bytes.values()))
+        self.step = vocabulary.step
 
     def feed(self, part: bytes, last: bool = False) -> Iterator[int]:
         at = 0
@@ -152,7 +154,8 @@ class Encoder:
 
     def _packed(self, piece: str) -> bytes:
         raw = piece.encode()
-        if len(raw) < CHUNK:
+        # Up to a step the stream is the same single merge.
+        if len(raw) <= self.vocabulary.step:
             return np.array(self.vocabulary.merged(raw), "<u4").tobytes()
         return np.fromiter(PieceStream(self.vocabulary).feed(raw, last=True), "<u4").tobytes()
 

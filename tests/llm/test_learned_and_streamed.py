@@ -189,6 +189,16 @@ def test_stream_emits_as_soon_as_stable():
         assert out + list(stream.feed(b"", last=True)) == v.merged(piece)
 
 
+def test_long_pieces_are_streamed(monkeypatch):
+    v = vocabulary()
+    merged, seen = v.merged, []
+    monkeypatch.setattr(v, "merged", lambda piece: seen.append(len(piece)) or merged(piece))
+    draw = random.Random(9)
+    for text in ("".join(draw.choices(["the", "tion", "ss", *"abcdefgh"], k=9000)), "=" * 20_000, "a" * v.step):
+        check_text(bpe.Encoder(v), bpe.Decoder(v), text)
+    assert max(seen) <= 2 * v.step
+
+
 def test_decoder_holds_unfinished_characters():
     decoder = bpe.Decoder(vocabulary())
     ids = [vocabulary().of_byte[b] for b in "é漢".encode()] + [vocabulary().of_byte[0xE6]]
