@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import bpe, chat, itq, language, leaks, licences, minhash, quality, shards, suffixes
+from storelens.llm import (bpe, chat, codes, itq, language, leaks, licences, maxscore, merkle, minhash, quality, shards,
+                           statements, suffixes)
 from storelens.operators.durable import shared_folder
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -104,10 +105,27 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.rendered(chat.final_messages(log)), turns.schema["conv_id"].dataType.simpleString())
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Where 5 divides the id's checksum, the row is presented with its text in lower case."""
+    docs = _table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.row_digest([*fields[:-1], merkle.ascii_lower(F.col("text"))])
+    picked = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.Manifest(docs, fields, group="source", order="doc_id", claimed=F.when(picked, tampered)).audit()
+
+
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.coded(_table(spark, folder, "embeddings"))
+
+
+def op13_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.highest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 _JOBS: list[Job] = [op1_quality, op2_minhash, op3_language, op4_licences, op5_leaks, op6_shards, op7_suffixes,
-                    op8_itq, op9_bpe, op10_chat]
+                    op8_itq, op9_bpe, op10_chat, op11_merkle, op12_codes, op13_maxscore]
 
 QUERIES: dict[str, Job] = {job.__name__: importable(job) for job in _JOBS}
 
 #: Statements for the operators that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = statements.ALL
