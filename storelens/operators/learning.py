@@ -1,44 +1,53 @@
 """Churn classifiers on Spark ML, with the preparation that the features need."""
 import re
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.hashing import digest
+from storelens.functions.hashing import digest, drawn
+from storelens.operators.durable import durable
 from storelens.operators.features import NUMERIC_FEATURES
 from storelens.operators.metrics import binary_metrics
-from storelens.operators.ranking import digest_slot, exact_quantiles, numbered
+from storelens.operators.network import ReluNetwork
+from storelens.operators.selection import exact_quantiles, thresholds
 from storelens.operators.scoring import Scorecard
 
 SEED = 42
 
 
-def ranked_by_digest(rows: DataFrame, key: str, within: list[str], seed: int = SEED) -> DataFrame:
-    """Rows of each group numbered in the order of their key's digest."""
-    mixed = rows.withColumn("_digest", digest(F.col(key), seed))
-    return numbered(mixed, "_digest", digest_slot(F.col("_digest")), within).drop("_digest")
+def _side(rows: DataFrame, key: str, label: str, seed: int, shares: list[tuple[int, int]]) -> Column:
+    """Which of consecutive shares of its class a row falls into (from 0), in the order of its key's digest.
+
+    A share ends at a fraction of the class. The last digest of each share is selected, which moves no row; what is left is a comparison. Rows that share a
+    key stay together.
+    """
+    mixed = digest(F.col(key), seed)
+    found = F
+    ends = thresholds(rows, mixed, [label], lambda n: [F.floor(n * part / whole) - 1 for part, whole in shares])
+    for (name,), last in ends.items():
+        own = F.lit(0)
+        for end in last:
+            own = own + (mixed > F.lit(end)).cast("int")
+        # Classes too small to fill the first shares have fewer ends.
+        found = found.when(F.col(label).eqNullSafe(F.lit(name)), own + (len(shares) - len(last)))
+    return found.otherwise(len(shares)) if ends else F.lit(len(shares))
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
-    """Add ``split``: four fifths of every class are ``train``, the rest ``test``."""
-    ranked = ranked_by_digest(rows, key, [label], seed)
-    in_train = F.col("position") * 5 <= F.col("group_size") * 4
-    return (ranked.withColumn("split", F.when(in_train, "train").otherwise("test"))
-            .drop("position", "group_size"))
+    """Add ``split``: four fifths of every class are ``train``, the rest ``test``. ``rows`` is read several times."""
+    side = _side(rows, key, label, seed, [(4, 5)])
+    return rows.withColumn("split", F.when(side == 0, "train").otherwise("test"))
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED + 1) -> DataFrame:
-    """Add ``fold`` from 0 to k-1, as equal as possible in every class."""
-    ranked = ranked_by_digest(rows, key, [label], seed)
-    return (ranked.withColumn("fold", (F.col("position") % k).cast("int"))
-            .drop("position", "group_size"))
+    """Add ``fold`` from 0 to k-1, as equal as possible in every class. ``rows`` is read several times."""
+    return rows.withColumn("fold", _side(rows, key, label, seed, [(i, k) for i in range(1, k)]))
 
 
 class NumericPreparation(Estimator):
@@ -53,8 +62,8 @@ class NumericPreparation(Estimator):
         self.columns, self.scale = columns, scale
 
     def _fit(self, dataset: DataFrame) -> SQLTransformer:
-        long = dataset.unpivot(
-            [], [F.col(c).cast("double").alias(c) for c in self.columns], "feature", "value")
+        numbers = durable(dataset.select([F.col(c).cast("double").alias(c) for c in self.columns]))
+        long = numbers.unpivot([], self.columns, "feature", "value")
         medians = {c: 0.0 for c in self.columns}
         medians.update({r.feature: r.median for r in
                         exact_quantiles(long, "value", {"median": 0.5}, ["feature"]).collect()})
@@ -119,22 +128,9 @@ def forest_pipeline(trees: int = 300) -> Pipeline:
                                maxMemoryInMB=1024)])
 
 
-class SizedPerceptron(Estimator):
-    """A 32-16 network whose first layer is as wide as the assembled features."""
-
-    def __init__(self, iterations: int = 100):
-        super().__init__()
-        self.iterations = iterations
-
-    def _fit(self, dataset: DataFrame):
-        width = dataset.schema["features"].metadata.get("ml_attr", {}).get("num_attrs") \
-            or dataset.select("features").first().features.size
-        return MultilayerPerceptronClassifier(
-            labelCol="churn", layers=[width, 32, 16, 2], maxIter=self.iterations, seed=SEED).fit(dataset)
-
-
-def perceptron_pipeline() -> Pipeline:
-    return Pipeline(stages=_preparation(scale=True) + [SizedPerceptron()])
+def network_pipeline() -> Pipeline:
+    """32 and 16 rectified units, dropout and early stopping."""
+    return Pipeline(stages=_preparation(scale=True) + [ReluNetwork(label="churn", key="customer_id")])
 
 
 def scorecard_of(model: PipelineModel) -> Scorecard:
@@ -150,8 +146,11 @@ def scorecard_of(model: PipelineModel) -> Scorecard:
 
 def with_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """The rows with the probability of churn as ``score``."""
-    return (model.transform(rows)
-            .withColumn("score", vector_to_array("probability")[1])
+    found = model.transform(rows)
+    listed = found.schema["probability"].dataType.typeName() == "array"
+    chance = F.col("probability") if listed else vector_to_array("probability")
+    return (found
+            .withColumn("score", chance[1])
             .select(*rows.columns, "score"))
 
 
@@ -161,18 +160,31 @@ def evaluate(name: str, model: PipelineModel, rows: DataFrame) -> DataFrame:
     return metrics.select(F.lit(name).alias("model"), *metrics.columns)
 
 
-def cross_validated_auc(name: str, pipeline: Pipeline, train: DataFrame, folds: int = 5) -> DataFrame:
-    """Mean and population deviation of the area under the curve over stratified folds.
+def fold_areas(name: str, pipeline: Pipeline, train: DataFrame, folds: int, most: int | None = None,
+               parallel: int = 5) -> DataFrame:
+    """One row per fold: rows fitted on, rows held out, and the area under the curve over all of the latter.
 
-    ``train`` carries a ``fold`` column. Preparation is fitted anew inside every fold.
+    ``train`` carries a ``fold`` column and is read often; give a written table. Preparation and model are fitted
+    anew inside every fold, on about ``most`` rows of the other folds at most, drawn by digest (all, if
+    None). What is held out is evaluated whole.
     """
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=[{}], numFolds=folds, foldCol="fold", parallelism=folds,
-        evaluator=BinaryClassificationEvaluator(labelCol="churn", numBins=0))
-    fitted = search.fit(train)
+    def one(fold: int) -> tuple:
+        others, own = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
+        fitted_on = others if most is None else drawn(others, "customer_id", most)
+        fitted, held_out = fitted_on.count(), own.count()
+        if not fitted or not held_out:
+            return name, fold, fitted, held_out, None
+        return name, fold, fitted, held_out, evaluate(name, pipeline.fit(fitted_on), own).first()["roc_auc"]
+
+    with ThreadPool(parallel) as pool:
+        rows = pool.map(inheritable_thread_target(train.sparkSession)(one), range(folds))
     return train.sparkSession.createDataFrame(
-        [(name, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))],
-        "model string, mean_auc double, std_auc double")
+        rows, "model string, fold int, fitted_rows bigint, held_out_rows bigint, auc double")
+
+
+def mean_area(areas: DataFrame) -> DataFrame:
+    """Mean and population deviation over the folds that have both classes."""
+    return areas.groupBy("model").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
 
 
 def model_size(model: PipelineModel) -> int:

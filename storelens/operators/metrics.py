@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.money import ratio
 from storelens.operators.durable import durable
-from storelens.operators.ranking import probability_slot, running_totals
+from storelens.operators.ranking import running_totals
 
 
 def _harmonic(p: Column, r: Column) -> Column:
@@ -18,11 +18,11 @@ def _or_zero(value: Column) -> Column:
 def by_score(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Positives and negatives per distinct score: ties become one row before any sort.
 
-    The counts are written, because the running totals read them twice.
+    The counts are written, because the running totals read them several times. Rows without a score count nowhere.
     """
     return durable(scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))).where(F.col("score").isNotNull())
 
 
 def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score",
@@ -33,7 +33,7 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     of those at the same score. It is null when only one class is present.
     """
     counted = by_score(scored, label, score)
-    ranked = running_totals(counted, "score", probability_slot(F.col("score")), ["neg"])
+    ranked = running_totals(counted, "score", ["neg"])
     above = F.col("score") >= threshold
     sums = ranked.agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
@@ -55,8 +55,7 @@ def confusion_matrix(predicted: DataFrame, label: str = "label", pred: str = "pr
 
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One point per distinct threshold, and the origin (with a null threshold)."""
-    ranked = running_totals(by_score(scored, label, score), "score",
-                            probability_slot(F.col("score")), ["pos", "neg"])
+    ranked = running_totals(by_score(scored, label, score), "score", ["pos", "neg"])
     points = ranked.select(
         ratio(F.col("neg_all") - F.col("neg_before"), F.col("neg_all")).alias("fpr"),
         ratio(F.col("pos_all") - F.col("pos_before"), F.col("pos_all")).alias("tpr"),

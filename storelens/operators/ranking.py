@@ -1,112 +1,94 @@
-"""Order statistics over data of any size.
+"""Running totals and top rows over data of any size.
 
-``row_number() over (order by x)`` and ``percentile(x)`` each bring a whole group
-into one task. The operators here cut a group into ordered slots first: totals per
-slot are tiny and are accumulated in one window, rows are ordered only inside
-their slot, and the two add up. Every row is kept and every answer is exact.
+``row_number() over (order by x)`` brings a whole group into one task. The operators here cut the rows into ordered
+ranges first, of equal numbers of rows: totals per range are few and are accumulated in one window, rows are ordered
+only inside their range, and the two add up. Every row is kept and every answer is exact.
 """
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 128 slots per factor of two; a double spans fewer than 2,200 factors of two, so no
-# column can produce more than about 560,000 slots, and real columns produce a few thousand.
-_SLOTS_PER_OCTAVE = 128
-_SLOT_SHIFT = 200_000
+from storelens.operators.selection import select
 
+#: Bounds of ranges are this much closer to equal numbers of rows than the ranges are many.
+_ACCURACY = 20
+#: Ranges at most, so that the summary they are taken from stays small; beyond that ranges grow.
+MOST_RANGES = 4096
 
-def value_slot(value: Column) -> Column:
-    """Slot number that never decreases as ``value`` grows."""
-    size = F.floor(F.log2(F.abs(value)) * _SLOTS_PER_OCTAVE) + F.lit(_SLOT_SHIFT)
-    return (F.when(value > 0, size)
-            .when(value < 0, -size)
-            .otherwise(F.lit(0)).cast("bigint"))
 
+def ranges(df: DataFrame, key: str, count: int) -> list[float]:
+    """Inner bounds of about ``count`` ranges with equally many rows, from a mergeable summary of bounded size."""
+    count = max(1, min(count, MOST_RANGES))
+    points = [k / count for k in range(1, count)]
+    if not points:
+        return []
+    bounds = df.agg(F.percentile_approx(key, points, _ACCURACY * count)).scalar()
+    row = df.sparkSession.range(1).select(bounds.alias("b")).first()
+    return sorted(set(row["b"] or []))
 
-def probability_slot(p: Column) -> Column:
-    """Slots on the log-odds scale, fine near both 0 and 1 where models saturate."""
-    odds = F.when(p >= 1, F.lit(1e300)).when(p <= 0, F.lit(1e-300)).otherwise(p / (F.lit(1.0) - p))
-    return F.floor(F.log2(odds) * _SLOTS_PER_OCTAVE).cast("bigint")
 
-
-def digest_slot(digest: Column, digits: int = 4) -> Column:
-    """First hex digits of a digest: 16^digits slots of equal size."""
-    return F.substring(digest, 1, digits)
-
-
-def running_totals(df: DataFrame, key: str, slot: Column, totals: list[str],
-                   within: list[str] | None = None) -> DataFrame:
+def running_totals(df: DataFrame, key: str, totals: list[str], count: int | None = None) -> DataFrame:
     """Add ``<t>_before`` and ``<t>_all`` for each column in ``totals``.
 
-    ``<t>_before`` sums the rows of the same ``within`` group whose ``key`` is smaller,
-    ``<t>_all`` sums the whole group. ``key`` must be unique within the group.
+    ``<t>_before`` sums the rows whose ``key`` is smaller, ``<t>_all`` sums all. ``key`` is a double, unique and not
+    null. The bounds of the ranges come from the keys themselves, so keys in a narrow band spread like any others.
+    ``df`` is read three times; give a written table. ``count``: ranges, as many as shuffle partitions unless given.
     """
-    within = within or []
-    slotted = df.withColumn("_slot", slot)
-    per_slot = slotted.groupBy(*within, "_slot").agg(*[F.sum(t).alias(t) for t in totals])
-    across = Window.partitionBy(*within).orderBy("_slot")
-    group = Window.partitionBy(*within)
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slot.select(
-        *within, "_slot",
+    spark = df.sparkSession
+    bounds = ranges(df, key, count or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    inner = [b for b in bounds if float("-inf") < b < float("inf")]
+    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=key, outputCol="_range", handleInvalid="keep")
+    slotted = cut.transform(df) if inner else df.withColumn("_range", F.lit(0.0))
+    per_range = slotted.groupBy("_range").agg(*[F.sum(t).alias(t) for t in totals])
+    whole = Window.partitionBy()
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        "_range",
         *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_{t}_offset") for t in totals],
-        *[F.sum(t).over(group).alias(f"{t}_all") for t in totals])
-    inside = (Window.partitionBy(*within, "_slot").orderBy(key)
-              .rowsBetween(Window.unboundedPreceding, -1))
+        *[F.sum(t).over(whole).alias(f"{t}_all") for t in totals])
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     ranked = slotted.select(
         "*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"_{t}_inside") for t in totals])
-    joined = ranked.join(offsets, [*within, "_slot"])
+    joined = ranked.join(offsets, "_range")
     return joined.select(
         *df.columns,
         *[(F.col(f"_{t}_offset") + F.col(f"_{t}_inside")).alias(f"{t}_before") for t in totals],
         *[f"{t}_all" for t in totals])
 
 
-def numbered(df: DataFrame, key: str, slot: Column, within: list[str] | None = None) -> DataFrame:
-    """Add ``position`` (1, 2, … by ``key``) and ``group_size`` without one task per group."""
-    counted = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), key, slot, ["_one"], within)
-    return (counted.withColumn("position", F.col("_one_before") + 1)
-            .withColumnRenamed("_one_all", "group_size")
-            .drop("_one", "_one_before"))
+def numbered(df: DataFrame, digest: str) -> DataFrame:
+    """Add ``position`` (1, 2, … by ``digest``), a unique text of hex digits, and ``group_size``, all rows.
 
-
-def largest(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the largest value, the smaller key first among equals.
-
-    Totals per slot tell which slots lie wholly within the first n rows and which one is cut; only
-    rows up to that slot are kept, and they are ordered within their slot. ``df`` is read twice.
+    Digests are spread evenly, so their first digits are ranges of equal size.
     """
-    slotted = df.withColumn("_slot", -value_slot(F.col(value)))
-    ahead = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (slotted.groupBy("_slot").agg(F.count("*").alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).where(F.col("_before") < n))
-    inside = Window.partitionBy("_slot").orderBy(F.desc(value), F.col(key))
-    ranked = slotted.join(offsets, "_slot").withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
-    return ranked.where(F.col("_rank") <= n).select(*df.columns)
+    slotted = df.withColumn("_range", F.substring(digest, 1, 4))
+    counts = slotted.groupBy("_range").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy()
+    offsets = counts.select("_range", (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_offset"),
+                            F.sum("_n").over(whole).alias("group_size"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(digest))
+    return (slotted.withColumn("_inside", inside).join(offsets, "_range")
+            .select(*df.columns, (F.col("_offset") + F.col("_inside")).cast("bigint").alias("position"), "group_size"))
 
 
-def exact_quantiles(df: DataFrame, value: str, points: dict[str, float],
-                    within: list[str] | None = None) -> DataFrame:
-    """Quantiles with linear interpolation between neighbours, one row per group.
+def largest(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the largest value, the smaller key first among equals.
 
-    Equal values are counted before they are shuffled, so one value that fills a
-    third of the table is a single row from then on. Nulls are ignored.
+    The n-th largest value is selected; rows above it all belong, and rows that share it are taken by key. Only the
+    latter are ordered, and only as many of a task as are asked for. ``df`` is read several times; give a
+    written table.
     """
-    within = within or []
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*within, F.col(value).cast("double").alias("_value"))
-               .agg(F.count("*").alias("_n")))
-    ranked = running_totals(counted, "_value", value_slot(F.col("_value")), ["_n"], within)
-    picks = []
-    for name, point in points.items():
-        place = (F.col("_n_all") - 1) * F.lit(float(point))
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))
-            picks.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{name}_{side}"))
-        picks.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
-    found = ranked.groupBy(*within).agg(*picks)
-    return found.select(*within, *[
-        (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n)
-        for n in points])
+    if n <= 0:
+        return df.limit(0)
+    numbers = df.select(F.col(value).cast("double").alias("_value"))
+    last = select(numbers, "_value", lambda size: [size - n])
+    if not last:
+        # No more than n values, null ones last: all rows, as far as n goes.
+        known = df.where(F.col(value).isNotNull())
+        return known.unionByName(df.where(F.col(value).isNull()).orderBy(key).limit(max(0, n - known.count())))
+    least = F.lit(last[0].value)
+    above = df.where(F.col(value).cast("double") > least)
+    return above.unionByName(df.where(F.col(value).cast("double") == least).orderBy(F.desc(value), key).limit(n - above.count()))
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from storelens.operators import learning
 from storelens.operators.durable import durable
 from storelens.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, churn_dataset
 from storelens.operators.profiling import as_rows, count_where
-from storelens.operators.ranking import exact_quantiles
+from storelens.operators.selection import exact_quantiles
 from storelens.plans.business import overall
 from storelens.sources.store import Store
 
@@ -60,12 +60,13 @@ class ChurnStudy:
     """Train and test rows of one dataset, and the models fitted on them.
 
     The trees of a forest grow with the rows they are fitted on and live on the driver, so a forest
-    learns from about ``forest_rows`` training customers at most, drawn by digest. Every other model,
-    and every evaluation and score, takes all rows.
+    learns from about ``forest_rows`` training customers at most, drawn by digest, in every fold of a
+    cross-validation as well. Every other model is fitted on all rows. Test rows and held-out folds are evaluated
+    whole; the training area is that of the rows a model was fitted on.
     """
 
     pipelines = {LOGISTIC: learning.logistic_pipeline, FOREST: learning.forest_pipeline,
-                 NETWORK: learning.perceptron_pipeline}
+                 NETWORK: learning.network_pipeline}
 
     def __init__(self, dataset: DataFrame, forest_rows: int = 200_000):
         self.rows = durable(churn_split(dataset))
@@ -73,7 +74,8 @@ class ChurnStudy:
         self.test = self.rows.where(F.col("split") == "test")
         self.forest_rows = forest_rows
         self._models: dict[str, PipelineModel] = {}
-        self._validations: dict[tuple[str, int], DataFrame] = {}
+        self._areas: dict[tuple[str, int], DataFrame] = {}
+        self._folds: dict[int, DataFrame] = {}
 
     def _fitted_on(self, name: str) -> DataFrame:
         return drawn(self.train, "customer_id", self.forest_rows) if name == FOREST else self.train
@@ -86,16 +88,21 @@ class ChurnStudy:
     def metrics(self, name: str) -> DataFrame:
         return learning.evaluate(name, self.model(name), self.test)
 
+    def fold_areas(self, name: str, folds: int = 5) -> DataFrame:
+        """The area under the curve of every fold of the training rows, with the rows on either side."""
+        if folds not in self._folds:
+            self._folds[folds] = durable(learning.stratified_folds(self.train, "customer_id", "churn", folds))
+        if (name, folds) not in self._areas:
+            self._areas[name, folds] = learning.fold_areas(
+                name, self.pipelines[name](), self._folds[folds], folds, self.forest_rows if name == FOREST else None)
+        return self._areas[name, folds]
+
     def cross_validation(self, name: str, folds: int = 5) -> DataFrame:
         """Mean and deviation of the area under the curve over folds of the training rows."""
-        if (name, folds) not in self._validations:
-            train = durable(learning.stratified_folds(self._fitted_on(name), "customer_id", "churn", folds))
-            self._validations[name, folds] = learning.cross_validated_auc(
-                name, self.pipelines[name](), train, folds)
-        return self._validations[name, folds]
+        return learning.mean_area(self.fold_areas(name, folds))
 
     def comparison(self, names: list[str], cross_validated: list[str] | None = None) -> DataFrame:
-        """One row per model: test metrics, training area and gap, size.
+        """One row per model: test metrics, area on the rows it was fitted on and gap, size.
 
         Models in ``cross_validated`` also carry their fold results: all but the network,
         unless said otherwise.
@@ -105,7 +112,7 @@ class ChurnStudy:
         rows = []
         for name in names:
             model = self.model(name)
-            fitted_on = learning.evaluate(name, model, self.train)
+            fitted_on = learning.evaluate(name, model, self._fitted_on(name))
             row = (self.metrics(name)
                    .join(fitted_on.select("model", F.col("roc_auc").alias("train_auc")), "model")
                    .withColumn("gap", F.col("train_auc") - F.col("roc_auc"))

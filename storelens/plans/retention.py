@@ -8,16 +8,14 @@ from storelens.functions.money import net_amount, ratio
 from storelens.functions.text import fill_template, first_word, initials
 from storelens.operators.durable import durable
 from storelens.operators.features import Window, customer_features, latest_features
-from storelens.operators.ranking import exact_quantiles, first_per_group, largest
+from storelens.operators.ranking import first_per_group, largest
 from storelens.operators.scoring import Scorecard, score
+from storelens.operators.selection import exact_quantiles
 from storelens.sources.store import Store
 
 CALL_LIST = ["customer_id", "customer_name", "city", "membership_type", "total_orders", "total_spending",
              "days_since_last_order", "churn_probability", "value_at_risk"]
 
-# Rows that a task may keep for a top-n; a larger campaign is ranked in slots.
-HEAP_ROWS = 10_000
-
 # Subject and SMS of the default offer, and the prefix of its code.
 CODE_PREFIX = "COMEBACK"
 DEFAULT_SUBJECT = "We miss you, {first_name}! {discount}% off your next order"
@@ -105,9 +103,9 @@ def at_risk_summary(scored: DataFrame) -> DataFrame:
 
     ``scored`` is read twice, by the exact quartile and by the totals; pass a written table.
     """
-    quartile = exact_quantiles(scored, "total_spending", {"p75": 0.75}).scalar()
+    quartile = exact_quantiles(scored, "total_spending", {"p75": 0.75}).first()["p75"]
     high = F.col("risk") == HIGH
-    sums = scored.withColumn("_p75", quartile).agg(
+    sums = scored.withColumn("_p75", F.lit(quartile)).agg(
         F.count("*").alias("scored_n"), F.count(F.when(high, 1)).alias("high_n"),
         F.sum(F.when(high, F.col("value_at_risk").cast("decimal(28,6)"))).alias("_risk"),
         F.count(F.when(high & (F.col("total_spending") >= F.col("_p75")), 1)).alias("call_first"))
@@ -187,11 +185,7 @@ def campaign_targets(scored: DataFrame, people: DataFrame, risks: list[str] | No
     broadcasts them if the file is small enough.
     """
     pool = chosen(scored, risks, min_spend=min_spend)
-    if n <= HEAP_ROWS:
-        top = pool.orderBy(*by_value_at_risk()).limit(n)
-    else:
-        top = largest(durable(pool), "value_at_risk", "customer_id", n)
-    top = durable(top)
+    top = durable(largest(durable(pool), "value_at_risk", "customer_id", n))
     address = F.col("email") if channel == "Email" else F.col("phone")
     known = contacts(people).join(top.select("customer_id"), "customer_id", "left_semi")
     return (top.join(known, "customer_id", "left")

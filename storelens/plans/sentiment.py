@@ -15,7 +15,7 @@ from storelens.functions.money import percent
 from storelens.functions.text import mentions, strip, words
 from storelens.operators.durable import durable
 from storelens.operators.metrics import class_report
-from storelens.operators.ranking import digest_slot, numbered
+from storelens.operators.ranking import numbered
 from storelens.operators import tfidf
 from storelens.sources.store import Store
 
@@ -197,8 +197,7 @@ def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000,
     texts = grouped.groupBy("text_id", "review_text").agg(F.sum("copies").alias("train_copies"))
     counts = durable(tfidf.term_counts(texts))
     vocabulary = tfidf.document_frequencies(counts, grouped.select(F.col("copies").alias("train_copies")), min_df)
-    indexed = durable(numbered(vocabulary.withColumn("_digest", F.md5("term")), "_digest",
-                               digest_slot(F.col("_digest")))
+    indexed = durable(numbered(vocabulary.withColumn("_digest", F.md5("term")), "_digest")
                       .select("term", "idf", (F.col("position") - 1).cast("int").alias("index")))
     size = indexed.count()
     totals = {r.sentiment: r.n for r in grouped.groupBy("sentiment").agg(F.sum("copies").alias("n")).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_key, rows
 from fixtures import customer, order, product, store
-from storelens.operators import learning
+from storelens.operators import learning, network
 from storelens.operators.features import AGGREGATES, churn_dataset, customer_features, orders_in_window
 from storelens.operators.metrics import binary_metrics, class_report, confusion_matrix, roc_points
 from storelens.plans import churn
@@ -161,7 +161,7 @@ def test_metrics_and_comparison(spark, study, tmp_path):
     table = by_key(study.comparison([churn.LOGISTIC, churn.FOREST, churn.NETWORK]), "model")
     assert table[churn.LOGISTIC]["roc_auc"] > 0.75
     assert table[churn.LOGISTIC]["model_size"] == 12
-    assert table[churn.NETWORK]["model_size"] == 11 * 32 + 32 + 32 * 16 + 16 + 16 * 2 + 2
+    assert table[churn.NETWORK]["model_size"] == 11 * 32 + 32 + 32 * 16 + 16 + 16 + 1 == 929
     assert table[churn.FOREST]["gap"] == table[churn.FOREST]["train_auc"] - table[churn.FOREST]["roc_auc"]
     row = study.cross_validation(churn.LOGISTIC).first()
     assert table[churn.LOGISTIC]["mean_auc"] == row.mean_auc and table[churn.NETWORK]["mean_auc"] is None
@@ -177,6 +177,125 @@ def test_metrics_and_comparison(spark, study, tmp_path):
     assert read.target_window == [START, END] and read.test_metrics.roc_auc == round(table[churn.LOGISTIC]["roc_auc"], 3)
 
 
+def test_every_held_out_row_is_evaluated(spark):
+    """A forest that may learn from few rows is still validated on whole folds, and its gap is that of what it has seen."""
+    study = churn.ChurnStudy(synthetic(spark), forest_rows=60)
+    study.pipelines = dict(study.pipelines, **{churn.FOREST: lambda: learning.forest_pipeline(5)})
+    n = study.train.count()
+    for name in (churn.FOREST, churn.LOGISTIC):
+        areas = study.fold_areas(name).collect()
+        assert [r.fold for r in areas] == [0, 1, 2, 3, 4] and sum(r.held_out_rows for r in areas) == n
+        assert all(min(r.held_out_rows, 60) <= n / 5 + 2 for r in areas)
+        for r in areas:
+            assert r.fitted_rows < 110 if name == churn.FOREST else r.fitted_rows == n - r.held_out_rows
+    folds = study._folds[5]
+    fitted = study.pipelines[churn.LOGISTIC]().fit(folds.where("fold <> 2"))
+    area = learning.evaluate("x", fitted, folds.where("fold = 2")).first().roc_auc
+    assert study.fold_areas(churn.LOGISTIC).where("fold = 2").first().auc == pytest.approx(area, abs=1e-9)
+    mean = study.cross_validation(churn.LOGISTIC).first()
+    values = [r.auc for r in study.fold_areas(churn.LOGISTIC).collect()]
+    assert mean.mean_auc == pytest.approx(np.mean(values)) and mean.std_auc == pytest.approx(np.std(values))
+    row = study.comparison([churn.FOREST], []).first()
+    seen = learning.evaluate("x", study.model(churn.FOREST), study._fitted_on(churn.FOREST)).first().roc_auc
+    assert row.train_auc == seen and row.gap == seen - row.roc_auc and seen > 0.8
+
+
+def test_a_fold_without_a_class_has_no_area(spark):
+    df = synthetic(spark).limit(40).withColumn("fold", F.col("churn").cast("int"))
+    areas = by_key(learning.fold_areas("x", learning.logistic_pipeline(), df, 3), "fold")
+    assert areas[0]["auc"] is None and areas[2]["held_out_rows"] == 0 and areas[2]["auc"] is None
+    assert learning.mean_area(spark.createDataFrame(
+        [("x", 0, None), ("x", 1, 0.5), ("x", 2, 0.7)], "model string, fold int, auc double")).first().mean_auc == pytest.approx(0.6)
+
+
+def test_split_takes_digests_in_order(spark):
+    """The split by threshold is the split by position, whatever the size of a class."""
+    data = [(k, label) for label, n in ((0, 1), (1, 4), (2, 5), (3, 333), (None, 10)) for k in range(n)]
+    df = spark.createDataFrame(data, "k int, label int").withColumn("k", F.col("k") + 1000 * F.coalesce("label", F.lit(9)))
+    found = learning.stratified_split(df, "k", "label").withColumn("d", learning.digest(F.col("k"), learning.SEED)).collect()
+    for label in (0, 1, 2, 3, None):
+        own = sorted((r for r in found if r.label == label), key=lambda r: r.d)
+        assert [r.split for r in own] == ["train"] * (len(own) * 4 // 5) + ["test"] * (len(own) - len(own) * 4 // 5)
+    assert "Exchange" not in learning.stratified_split(df, "k", "label")._jdf.queryExecution().executedPlan().toString()
+    folds = learning.stratified_folds(df, "k", "label", 5).collect()
+    for label, n in ((0, 1), (1, 4), (2, 5), (3, 333), (None, 10)):
+        sizes = [sum(r.fold == f and r.label == label for r in folds) for f in range(5)]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+# -- network ---------------------------------------------------------------------------------------------------
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(3)
+    layers = [5, 7, 4, 1]
+    weights = network.initial(layers, 1) + rng.normal(0, 0.1, network.size_of(layers))
+    x, y, mask = rng.normal(size=(40, 5)), (rng.random(40) < 0.4) * 1.0, network.kept_units(np.arange(40), 3, 7, 0.2, 9)
+    gradient = network.loss_and_gradient(weights, layers, x, y, mask)[1]
+    for k in range(len(weights)):
+        step = np.zeros_like(weights)
+        step[k] = 1e-6
+        up, down = (network.loss_and_gradient(weights + s, layers, x, y, mask)[0] for s in (step, -step))
+        assert gradient[k] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+
+
+def test_dropout_masks_come_from_keys():
+    keys = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 20_000)
+    mask = network.kept_units(keys, 5, 8, 0.2, 42)
+    assert set(np.unique(mask)) == {0.0, 1.25} and abs((mask == 0).mean() - 0.2) < 0.01
+    assert (network.kept_units(keys[::-1], 5, 8, 0.2, 42)[::-1] == mask).all()
+    other = network.kept_units(keys, 6, 8, 0.2, 42)
+    assert abs(((mask == 0) & (other == 0)).mean() - 0.04) < 0.01
+    assert abs(np.corrcoef(mask.T) - np.eye(8)).max() < 0.05
+
+
+def curved(spark, n=2500):
+    """A label that no linear model tells: inside or outside of a ring."""
+    rng = random.Random(6)
+    data = [(k, rng.uniform(-1, 1), rng.uniform(-1, 1)) for k in range(n)]
+    return spark.createDataFrame([(k, int(0.25 < a * a + b * b < 0.7), a, b) for k, a, b in data], "id int, y int, a double, b double") \
+        .select("id", "y", array_to_vector(F.array("a", "b")).alias("features")).repartition(3)
+
+
+def test_network_learns_and_stops(spark, tmp_path):
+    df = curved(spark).cache()
+    plan = network.Training(rate=0.02, epochs=60, patience=4)
+    model = network.ReluNetwork("y", "id", plan).fit(df)
+    losses = model.getOrDefault(model.losses)
+    best = int(np.argmin(losses))
+    assert model.best_epoch == best + 1
+    assert len(losses) == plan.epochs or len(losses) - best - 1 == plan.patience
+    scored = model.transform(df).withColumn("score", F.col("probability")[1])
+    assert binary_metrics(scored, "y").first().roc_auc > 0.9
+    # The weights kept are those of the best epoch: the rows held out have its loss.
+    held_out = network.ReluNetwork("y", "id", plan)._packed(df).where(f"batch = {network.VALIDATION}").collect()
+    whole = [network.loss_and_gradient(model.weights, [2, 32, 16, 1], np.frombuffer(r.x).reshape(r.n, -1), np.frombuffer(r.y))[0]
+             for r in held_out]
+    assert sum(whole) / sum(r.n for r in held_out) == pytest.approx(losses[best], abs=1e-9)
+    # However the rows are dealt out, the sums are the same but for the last digits.
+    again = network.ReluNetwork("y", "id", network.Training(rate=0.02, epochs=3)).fit(df.repartition(7))
+    once = network.ReluNetwork("y", "id", network.Training(rate=0.02, epochs=3)).fit(df.coalesce(1))
+    assert np.allclose(again.weights, once.weights, atol=1e-6)
+    model.write().overwrite().save(str(tmp_path / "net"))
+    read = network.NetworkModel.load(str(tmp_path / "net"))
+    assert rows(read.transform(df).select("id", "probability").orderBy("id")) == rows(
+        model.transform(df).select("id", "probability").orderBy("id"))
+
+
+def test_network_in_a_saved_pipeline(study, tmp_path):
+    model = study.model(churn.NETWORK)
+    models.save_pipeline(model, str(tmp_path / "net"))
+    before = rows(learning.with_probability(model, study.test).select("customer_id", "score").orderBy("customer_id"))
+    after = learning.with_probability(models.load_pipeline(str(tmp_path / "net")), study.test)
+    assert rows(after.select("customer_id", "score").orderBy("customer_id")) == before
+    assert study.metrics(churn.NETWORK).first().roc_auc > 0.7
+
+
+def test_network_of_few_rows(spark):
+    df = curved(spark, 3)
+    model = network.ReluNetwork("y", "id", network.Training(epochs=2)).fit(df)
+    assert len(model.getOrDefault(model.losses)) == 2 and model.transform(df).count() == 3
+
+
 def test_forest_learns_from_a_bounded_draw(spark):
     study = churn.ChurnStudy(synthetic(spark), forest_rows=100)
     drawn = study._fitted_on(churn.FOREST)

@@ -82,12 +82,6 @@ def test_domains_need_no_score(shop):
         retention.score_all_customers(shop, card())))
 
 
-def test_large_campaigns_are_ranked_in_slots(monkeypatch, scored, people):
-    small = by_key(retention.campaign_targets(scored, people, [], 0, 3, "Email", 15), "customer_id")
-    monkeypatch.setattr(retention, "HEAP_ROWS", 0)
-    assert by_key(retention.campaign_targets(scored, people, [], 0, 3, "Email", 15), "customer_id") == small
-
-
 def test_targets_take_the_most_valuable_and_keep_those_without_contact(scored, people):
     targets = retention.campaign_targets(scored, people, ["High risk"], 0, 2, "Email", 15)
     found = by_key(targets, "customer_id")
