@@ -22,9 +22,8 @@ def ranges(df: DataFrame, key: str, count: int) -> list[float]:
     points = [k / count for k in range(1, count)]
     if not points:
         return []
-    bounds = df.agg(F.percentile_approx(key, points, _ACCURACY * count)).scalar()
-    row = df.sparkSession.range(1).select(bounds.alias("b")).first()
-    return sorted(set(row["b"] or []))
+    row = df.agg(F.percentile_approx(key, points, _ACCURACY * count).alias("bounds")).first()
+    return sorted(set(row["bounds"] or []))
 
 
 def running_totals(df: DataFrame, key: str, totals: list[str], count: int | None = None) -> DataFrame:

@@ -2,21 +2,25 @@
 
 The k-th value of a group is found from counts. The values are cut into ordered slots; a slot's count, smallest and
 largest value are all that is exchanged, combined map-side. The slot that holds the rank is cut anew, between its own
-smallest and largest value, until a slot holds one value only. A narrow band costs a pass more, not a larger task:
-each pass divides what is left by a thousand.
+smallest and largest value, until a slot holds one value or few enough to be fetched. A narrow band costs a pass more,
+not a larger task: each pass divides what is left by a thousand.
 
-What comes to the driver is one row per group and rank, so groups are few: features, classes. A table
-without groups is one of them.
+What comes to the driver is one row per group and rank, and at the end up to ``FETCHED`` values around each,
+so groups are few: features, classes. A table without groups is one of them.
 """
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Slots of a refinement.
 SLOTS = 1024
+#: A slot of at most so many values is fetched whole.
+FETCHED = 1024
 # 128 slots per factor of two; a double spans fewer than 2,200 factors of two, so no
 # column can produce more than about 560,000 slots, and real columns produce a few thousand.
 _SLOTS_PER_OCTAVE = 128
@@ -70,6 +74,7 @@ class _Span:
     """Values of a group between two of them; ``before`` values of the group are smaller."""
     group: tuple
     before: int
+    count: int
     low: object
     high: object
 
@@ -97,24 +102,45 @@ def select(values: DataFrame, value: str, ranks: Callable[[Column], Sequence[Col
            kind: Kind = NUMBERS) -> list[Picked]:
     """The values at ``ranks(size)`` (from 0) of every group; ranks outside a group are left out.
 
-    Nulls are no values. ``values`` is read once per pass, three times as a rule; give a written table.
+    Nulls are no values. ``values`` is read once per pass, twice or three times as a rule; give a written table.
     """
     known = values.where(F.col(value).isNotNull()).select(*within, F.col(value).alias("_v"))
     wanted = F.explode(F.array_distinct(F.array(*[r.cast("bigint") for r in ranks(F.col("_all"))]))).alias("_rank")
     first = (_cells(known.withColumn("_slot", kind.first(F.col("_v"))), within).select("*", wanted)
              .where(F.col("_rank").between(F.col("_from"), F.col("_to") - 1)))
-    searched = [(r["_rank"], r["_all"], _Span(tuple(r[c] for c in within), r["_from"], r["_low"], r["_high"]))
+    searched = [(r["_rank"], r["_all"], _Span(tuple(r[c] for c in within), r["_from"], r["_to"] - r["_from"], r["_low"], r["_high"]))
                 for r in first.collect()]
     found, depth = [], 0
     while searched:
         found += [Picked(s.group, rank, size, s.low) for rank, size, s in searched if s.single()]
         searched = [x for x in searched if not x[2].single()]
+        few = [x for x in searched if x[2].count <= FETCHED]
+        found += _fetched(known, within, few)
+        searched = [x for x in searched if x[2].count > FETCHED]
         depth += 1
         if searched:
             searched = _narrowed(known, within, searched, kind, depth)
     return found
 
 
+def _fetched(known: DataFrame, within: Sequence[str], searched: list[tuple[int, int, _Span]]) -> list[Picked]:
+    """Ranks within spans of few values, which are counted and sorted here."""
+    if not searched:
+        return []
+    spans = list(dict.fromkeys(s for *_, s in searched))
+    span = F
+    for k, s in enumerate(spans):
+        span = span.when(_same_group(within, s.group) & F.col("_v").between(F.lit(s.low), F.lit(s.high)), k)
+    counts = (known.select(span.alias("_span"), "_v").where(F.col("_span").isNotNull())
+              .groupBy("_span", "_v").agg(F.count("*").alias("_n")).collect())
+    found = []
+    for k, s in enumerate(spans):
+        own = sorted((r["_v"], r["_n"]) for r in counts if r["_span"] == k)
+        ends = list(accumulate((n for _, n in own), initial=s.before))[1:]
+        found += [Picked(s.group, rank, size, own[bisect_right(ends, rank)][0]) for rank, size, t in searched if t == s]
+    return found
+
+
 def _narrowed(known: DataFrame, within: Sequence[str], searched: list[tuple[int, int, _Span]], kind: Kind,
               depth: int) -> list[tuple[int, int, _Span]]:
     """One more pass: the slot of its span that each rank lies in. Spans of a group do not overlap."""
@@ -130,7 +156,7 @@ def _narrowed(known: DataFrame, within: Sequence[str], searched: list[tuple[int,
     slotted = (known.withColumn("_span", span).where(F.col("_span").isNotNull())
                .withColumn("_slot", kind.refine(F.col("_v"), low, high, depth)).select("_span", "_slot", "_v"))
     cells = _cells(slotted, ["_span"]).where(hit).collect()
-    return [(rank, size, _Span(s.group, s.before + c["_from"], c["_low"], c["_high"]))
+    return [(rank, size, _Span(s.group, s.before + c["_from"], c["_to"] - c["_from"], c["_low"], c["_high"]))
             for rank, size, s in searched for c in cells
             if c["_span"] == at[s] and c["_from"] <= rank - s.before < c["_to"]]
 

@@ -50,17 +50,20 @@ def test_quantiles_of_a_narrow_band(spark, monkeypatch):
     assert values[-1] / values[0] < 1.005
     found = selection.exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
     assert list(found) == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), rel=1e-15)
-    assert 0 < len(seen) <= 4
+    assert 0 < len(seen) <= 3
     cells = selection._cells(df.select(F.col("v").alias("_v"), selection._between(
         F.col("v"), F.lit(float(values[0])), F.lit(float(values[-1])), 1).alias("_slot")), [])
     assert cells.count() <= selection.SLOTS and cells.agg(F.max(F.col("_to") - F.col("_from"))).first()[0] < n / 500
 
 
-def test_selection_of_every_rank(spark):
+@pytest.mark.parametrize("fetched", [None, 0, 3])
+def test_selection_of_every_rank(spark, monkeypatch, fetched):
     rng = random.Random(11)
     data = [(g, rng.choice([None, 0.0, -0.0, 1.5, rng.gauss(0, 1), rng.gauss(0, 1e300), -5e-324, rng.uniform(7, 7 + 1e-12)]))
             for g in ("a", "b", None) for _ in range(60)] + [("i", float("inf")), ("i", float("-inf")), ("i", 3.0), ("n", float("nan"))]
     df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    if fetched is not None:
+        monkeypatch.setattr(selection, "FETCHED", fetched)
     picked = selection.select(df, "v", lambda n: [F.lit(k) for k in range(-1, 61)], ["g"])
     by_group = {}
     for g, v in data:
@@ -80,6 +83,7 @@ def test_thresholds_are_digests_at_ranks(spark, monkeypatch):
     for g in (0, 1):
         own = sorted(r.d for r in df.where(F.col("g") == g).collect())
         assert ends[(g,)] == [own[500], own[1499]]
+    monkeypatch.setattr(selection, "FETCHED", 0)
     seen = passes_of(monkeypatch)
     same = spark.createDataFrame([(1, "ab" * 15 + f"{k:02x}") for k in range(200)], "g int, d string")
     assert selection.thresholds(same, F.col("d"), ["g"], lambda n: [F.lit(77)]) == {(1,): ["ab" * 15 + "4d"]}
