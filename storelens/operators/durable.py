@@ -2,7 +2,7 @@
 
 An iterative fit or a multi-pass job must not recompute its input on every pass and must
 not lose it with an executor, so the input is written to the shared folder of the cluster.
-The files go when the application ends.
+The files go when the application ends, or when they are released.
 """
 import os
 import tempfile
@@ -52,4 +52,13 @@ def durable(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     path, files = _file_system(spark, folder)
     df.write.parquet(folder)
     files.deleteOnExit(path)
-    return spark.read.schema(schema or df.schema).parquet(folder)
+    written = spark.read.schema(schema or df.schema).parquet(folder)
+    written.durable_folder = folder
+    return written
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of durable tables that nothing will read again."""
+    for df in written:
+        path, files = _file_system(df.sparkSession, df.durable_folder)
+        files.delete(path, True)

@@ -1,5 +1,7 @@
 """Every statement against its job, on the smallest test data."""
 import math
+import os
+import subprocess
 import sys
 
 import duckdb
@@ -49,3 +51,14 @@ def test_entry(spark):
     if not TESTDATA:
         pytest.skip("no test data")
     assert entry.entry(spark).count() == 6
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "storelens.llm", "corpus_pipeline"])
+def test_store_jobs_stand_without_the_corpus_operators(missing):
+    """A package that only the corpus operators need may be absent, and so may these themselves."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; "
+            "print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))")
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(entry.registry.jobs())), str(len(entry.statements.all_statements())), "False"]
+    assert "without corpus operators" in done.stderr
