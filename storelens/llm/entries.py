@@ -80,10 +80,13 @@ def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    found = suffixes.repeated_spans(_table(spark, folder, "documents"))
+    """The last column says whether a text shares 400 bytes, or a passage of over 50 words, which may be shorter."""
+    found = suffixes.repeated_spans(_table(spark, folder, "documents"),
+                                    suffixes.Repeats(length=400, anchor=100, words=51, cut_words=False))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"),
-                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                        F.col("repeats").alias("shares_passage"))
 
 
 def op8_itq(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelens.llm.textbytes import WHITE, flat, mixed, powers, prefix_sums, texts_in
-from storelens.operators.durable import durable
+from storelens.operators.durable import durable, release
 
 PIECE = 1 << 20
 _ROWS = 20_000
@@ -37,7 +37,7 @@ class Repeats:
     anchors are more of them, but fewer lines and phrases shorter than a repeat look like one.
 
     ``words``: if given, so many words are a repeat too, however few bytes they take; they hold two bytes a word but
-    one, so ``anchor`` must not be longer.
+    two, so ``anchor`` must not be longer. With ``cut_words`` off they are only reported.
 
     ``run_bytes``: bytes of suffixes that a task sorts at a time. ``range_anchors``: distinct repeated
     anchors of a merge range.
@@ -47,6 +47,7 @@ class Repeats:
     run_bytes: int = 32 << 20
     range_anchors: int = 4096
     words: int = 0
+    cut_words: bool = True
 
     def least(self) -> int:
         """Bytes of the shortest repeat."""
@@ -84,8 +85,9 @@ def _window_ends(data: np.ndarray, starts: np.ndarray, at: int, part: np.ndarray
     begins = inside & ~before
     stop = np.flatnonzero(inside & ~after) + 1
     # The part may begin within a word. One that it ends within is too far for a window of ``length`` bytes.
-    stop = np.append(stop[len(stop) - int(begins.sum()):], np.full(p.words, none))
-    by_words = stop[np.cumsum(begins[:n]) - begins[:n] + p.words - 1]
+    stop = np.append(stop[len(stop) - int(begins.sum()):], np.full(p.words + 1, none))
+    # Words that begin after the window does, all but one: where it ends then follows from what is in it.
+    by_words = stop[np.cumsum(begins[:n]) + p.words - 2]
     by_words[by_words > text_end] = none
     return np.minimum(end, by_words), most
 
@@ -414,13 +416,16 @@ def _runs(texts: DataFrame, borders: list[int], p: Repeats) -> DataFrame:
 
 
 def _verdicts(blocks: DataFrame, p: Repeats) -> DataFrame:
-    """(entry, low, high) of every entry that repeats."""
+    """(entry, low, high) of every entry that repeats; no bytes where a repeat is only reported."""
     def per_range(table: pa.Table) -> pa.Table:
         out: list[tuple[bytes, int, int]] = []
 
         def settle(group: list) -> None:
             low, high = agreements(group, p.length, p.words)
-            for k in np.flatnonzero(high):
+            repeats = np.flatnonzero(high)
+            if len(repeats) and p.words and not p.cut_words:
+                low, high = agreements(group, p.length)
+            for k in repeats:
                 out.append((_entry_id(group[k][1], group[k][2]), int(low[k]), int(high[k])))
 
         group: list = []
@@ -449,7 +454,8 @@ def _verdicts(blocks: DataFrame, p: Repeats) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_column: str = "doc_id", text: str = "text",
                    carry: list[str] = ()) -> DataFrame:
-    """(doc_id, text, n_bytes, spans, kept, kept_text): the maximal byte spans that repeats cover, and what is left.
+    """(doc_id, text, n_bytes, spans, kept, kept_text, repeats): the maximal byte spans that repeats cover, what is
+    left, and whether there is a repeat at all, cut or only reported.
 
     A byte is covered if a string of ``length`` bytes, or one from word to word of ``words``, around it also starts at
     another place of the table, the same text included; overlaps count. Spans are [start, end) in the UTF-8 bytes of the text; a null
@@ -474,11 +480,14 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_column: str = "do
              .groupBy("id", "tag").agg(F.collect_set(F.struct("place", "low", "high")).alias("marks")))
     runs = durable(_runs(keyed.select("id", "tag", "text").join(marks, ["id", "tag"]).select("id", "tag", "text", "marks"),
                          borders, p))
+    release(found, twice)
     verdicts = durable(_verdicts(runs.where("part IS NOT NULL"), p))
     spans = (runs.where("part IS NULL").select("id", "tag", "place", "entry").join(verdicts, "entry")
              .groupBy("id", "tag").agg(F.collect_set(F.struct((F.col("place") - F.col("low")).alias("start"),
                                                               (F.col("place") + F.col("high")).alias("end")))
                                        .alias("found")))
+    # One that is only reported covers nothing.
+    spans = spans.withColumn("found", F.filter("found", lambda s: s["start"] < s["end"]))
     carried = [f"carried_{k}" for k in range(len(carry))]
     joined = keyed.join(spans, ["id", "tag"], "left").select("doc_id", "text", *carried, "found")
 
@@ -489,7 +498,7 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_column: str = "do
             united, kept, kept_text = [], [], []
             for i, found in enumerate(batch.column("found")):
                 text = data[starts[i]:starts[i + 1]]
-                spans = _united(found.values) if found.is_valid else []
+                spans = _united(found.values) if found.is_valid and len(found.values) else []
                 united.append(spans)
                 edges = [0, *(v for s in spans for v in (s["start"], s["end"])), len(text)]
                 parts = [text[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)]
@@ -498,13 +507,14 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_column: str = "do
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), pa.array(np.diff(starts), pa.int64()),
                  pa.array(united, span_type), pa.array(kept, pa.binary()), pa.array(kept_text, pa.string()),
-                 *(batch.column(c) for c in carried)],
-                names=["doc_id", "text", "n_bytes", "spans", "kept", "kept_text", *carry])
+                 batch.column("found").is_valid(), *(batch.column(c) for c in carried)],
+                names=["doc_id", "text", "n_bytes", "spans", "kept", "kept_text", "repeats", *carry])
 
     span = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())
     schema = (T.StructType().add("doc_id", docs.schema[id_column].dataType).add("text", T.StringType())
               .add("n_bytes", T.LongType()).add("spans", T.ArrayType(span))
-              .add("kept", T.BinaryType()).add("kept_text", T.StringType()))
+              .add("kept", T.BinaryType()).add("kept_text", T.StringType())
+              .add("repeats", T.BooleanType()))
     for c in carry:
         schema.add(c, docs.schema[c].dataType)
     return joined.mapInArrow(per_batch, schema)

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -141,7 +142,7 @@ def test_repeated_spans(spark):
     wanted = sorted((i if i is not None else -1, *w) for (i, _), w in
                     zip(rows, brute_spans([t for _, t in rows], 40), strict=True))
     assert ours == wanted
-    assert found.columns == ["doc_id", "text", "n_bytes", "spans", "kept", "kept_text", "band"]
+    assert found.columns == ["doc_id", "text", "n_bytes", "spans", "kept", "kept_text", "repeats", "band"]
 
 
 def test_repeated_spans_of_nothing(spark):
@@ -201,6 +202,14 @@ def test_repeated_words(spark, monkeypatch):
             ours[s["start"]:s["end"]] = True
         assert (must[i] <= ours).all() and (ours <= may[i]).all(), text
     assert sum(m.sum() for m in must) > sum(n for _, n, _, _ in brute_spans(texts, p.length))
+    # Reported only: what is cut are repeats of 40 bytes to the byte, and the mark follows the words as well.
+    marked = {r["doc_id"]: r for r in suffixes.repeated_spans(
+        table(spark, list(enumerate(texts))), replace(p, cut_words=False)).collect()}
+    for i, (n_bytes, n, k, digest) in enumerate(brute_spans(texts, p.length)):
+        row = marked[i]
+        assert (row["n_bytes"], sum(s["end"] - s["start"] for s in row["spans"]), len(row["spans"])) == (n_bytes, n, k)
+        assert hashlib.sha256(row["kept"]).hexdigest() == digest and row["repeats"] == bool(got[i])
+    assert any(r["repeats"] and not r["spans"] for r in marked.values()) and not all(r["repeats"] for r in marked.values())
 
 
 def test_loser_tree():
