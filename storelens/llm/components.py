@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.operators.durable import durable
+from storelens.operators.durable import durable, release
 
 ROUNDS = 100
 
@@ -26,9 +26,11 @@ def components(links: DataFrame) -> DataFrame:
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u")
+        old = edges
         edges = durable(small.select("u", F.col("m").alias("v"))
                         .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
                         .where("u <> v").distinct())
+        release(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

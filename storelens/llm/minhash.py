@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.components import components
 from storelens.llm.textbytes import mixed, shingle_sets, texts_in
-from storelens.operators.durable import durable
+from storelens.operators.durable import durable, release
 
 #: Nodes of a band that are compared in one block.
 BLOCK = 4096
@@ -315,6 +315,8 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     chosen = durable(sign.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi")
                      .dropDuplicates(["set_id", "doc_id"])
                      .select(F.col("doc_id").alias("node"), "set_id", "band", "signature"))
+    sizes = durable(sign.select("doc_id", "n_shingles"))
+    release(sign, classes)
     marks = chosen.select("node", F.col("band").alias("keys"), "signature")
     members = chosen.select(F.explode("band").alias("band"), "node")
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
@@ -324,6 +326,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     wanted = members.select("node").distinct().join(chosen.select("node", "set_id"), "node")
     sets = durable(_sets(docs, wanted, p, id_column, text))
     links = durable(_confirmed(_likely(pairs, marks, p), sets, p))
+    release(pairs)
     found, partners, longer = durable(components(links)), PARTNERS, None
     while True:
         labelled = members.join(found, "node", "left").select(
@@ -336,11 +339,14 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
         fresh = durable(_confirmed(pairs.where("b IS NOT NULL"), sets, p))
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
+            old = found
             found = durable(components(links))
+            release(old)
         if pairs.where("b IS NULL").isEmpty():
             break
+        release(pairs)
         partners *= 8
     owner = owner.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    return (sign.select("doc_id", "n_shingles").join(owner, "doc_id", "left")
+    return (sizes.join(owner, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
