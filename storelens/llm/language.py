@@ -7,14 +7,15 @@ of the greatest length at which any of them is known; a word with none says noth
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from storelens.llm.codepoints import Slice, letters, text_slices
+from storelens.operators.durable import durable
 
 UNDETERMINED = "und"
 
@@ -113,11 +114,12 @@ def learn(docs: DataFrame, p: LanguageParameters = LanguageParameters(), lang: s
               .groupBy("size", "hash", "lang").agg(F.sum("n").alias("n"))
               .groupBy("size", "hash").agg(F.sum("n").alias("n"),
                                            F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
-    rank = F.row_number().over(Window.partitionBy("size").orderBy(F.desc("n"), "hash"))
-    most = F.when(F.col("size") == 0, p.words).otherwise(p.grams)
-    table = (counts.withColumn("rank", rank).where(F.col("rank") <= most)
-             .select("size", "hash", *[F.coalesce(F.col("by")[name], F.lit(0)).alias(f"n{k}")
-                                       for k, name in enumerate(languages)]).toArrow())
+    counts = durable(counts.select("size", "hash", "n", *[F.coalesce(F.col("by")[name], F.lit(0)).alias(f"n{k}")
+                                                          for k, name in enumerate(languages)]))
+    # Every size keeps its own most frequent ones, each task sending as many at most.
+    table = reduce(DataFrame.unionByName, [
+        counts.where(F.col("size") == size).orderBy(F.desc("n"), "hash").limit(p.grams if size else p.words)
+        for size in range(p.longest + 1)]).toArrow()
     size = table.column("size").to_numpy()
     hashes = table.column("hash").to_numpy().view(np.uint64)
     n = np.stack([table.column(f"n{k}").to_numpy() for k in range(len(languages))], axis=1) if len(table) else \
