@@ -346,10 +346,31 @@ def test_pipeline_keeps_rows_without_id(spark, tmp_path):
         return sorted(((r["doc_id"], r["text"] and r["text"].split()[0][:-1]) for r in out.collect()), key=str)
 
     assert left("near_duplicates", docs) == sorted(
-        [(1, "a"), (-5, "b"), (None, "c"), (None, "leak"), (None, "d"), (7, "e"), (7, "e"), (None, None)], key=str)
+        [(1, "a"), (-5, "b"), (None, "c"), (None, "leak"), (None, "d"), (7, "e"), (None, None)], key=str)
     assert left("decontamination", docs) == sorted([t for t in texts if t[1] != "leak"] + [(None, None)], key=str)
 
 
+def test_pipeline_loses_no_text_to_repeated_rows(spark, tmp_path):
+    """Equal rows, rows of one id with different texts, and copies without an id: one copy of each text comes out whole."""
+    def prose(mark):
+        return " ".join(f"{mark}word{k}of{mark}" for k in range(80))
+
+    texts = [(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "b"), (None, "d"), (None, "d"), (None, "a"), (4, "e")] + [(9, "f")] * 5
+    docs = spark.createDataFrame([(i, prose(t), "en", "s", len(prose(t))) for i, t in texts],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    spark.createDataFrame([(1, prose("x"))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        left.write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted(
+        [("1", prose("a")), ("2", prose("b")), ("2", prose("c")), ("None", prose("d")), ("4", prose("e")), ("9", prose("f"))])
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(
+        ["1", "2", "2", "None", "4", "9"])
+
+
 def test_pipeline_lists_its_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language", "near_duplicates", "repeats", "decontamination", "tokens"]
