@@ -1,4 +1,6 @@
 """A corpus pipeline in five stages: each takes (spark, docs, sf_dir) and works on all that the one before kept."""
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ from storelens.operators.durable import durable
 LEAST_SCORE = 0.5
 #: What counts as a repeated passage: over 50 words, or 400 bytes where words are long or not set apart.
 REPEATS = suffixes.Repeats(length=400, anchor=100, words=51)
+#: Settings of the session from the first stage on: rows and bytes of an Arrow batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(stage):
+    """Rows go to Python in batches of a few megabytes: with workers and heap of all stages, that is what bounds an executor."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for setting, most in BATCH.items():
+            spark.conf.set(setting, most)
+        return stage(spark, docs, sf_dir)
+    return importable(run)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +35,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """Adds ``__row``: the id, or for each row without one a number above all ids, written once so that it stays."""
-    most = docs.agg(F.greatest(F.max("doc_id"), F.lit(0))).first()[0]
-    above = durable(docs.where("doc_id IS NULL")
+    """Adds ``__row``, a number of its own for every row: the id, or for rows whose id is null or repeats a number
+    above all ids. Only the latter rows are written, so that their numbers stay."""
+    ids = durable(docs.groupBy("doc_id").agg(F.count("*").alias("n")))
+    most = ids.agg(F.greatest(F.max("doc_id"), F.lit(0))).first()[0]
+    again = ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__again"))
+    above = durable(docs.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi")
                     .withColumn("__row", F.monotonically_increasing_id() + F.lit(most + 1)))
-    return docs.where("doc_id IS NOT NULL").withColumn("__row", F.col("doc_id").cast("bigint")).unionByName(above)
+    once = docs.where("doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return once.withColumn("__row", F.col("doc_id").cast("bigint")).unionByName(above)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8). Every row without an
-    id is a document that comes after all ids: it stays unless it is a near copy of another."""
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id. Every
+    row is a document, whether its id repeats or not; one without an id stays only if no copy of it has one."""
     rows = with_row(docs)
-    kept = minhash.near_duplicates(rows, id_column="__row").where("kept").select(F.col("doc_id").alias("__row")).distinct()
+    groups = (minhash.near_duplicates(rows, id_column="__row").select(F.col("doc_id").alias("__row"), "component_id")
+              .join(rows.select("__row", "doc_id"), "__row"))
+    kept = groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
@@ -60,9 +81,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
-STAGES = [("language", importable(identify_language)), ("near_duplicates", importable(drop_near_duplicates)),
-          ("repeats", importable(cut_repeats)), ("decontamination", importable(decontaminate)),
-          ("tokens", importable(tokenize))]
+STAGES = [("language", small_batches(identify_language)), ("near_duplicates", small_batches(drop_near_duplicates)),
+          ("repeats", small_batches(cut_repeats)), ("decontamination", small_batches(decontaminate)),
+          ("tokens", small_batches(tokenize))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
