@@ -64,19 +64,41 @@ def language_marker_share(labelled: DataFrame, markers: list[str] = MARKERS) ->
                         percent(marked, F.count("*"), 1).alias("share_pct"))
 
 
+#: Characters by which equally frequent texts are compared at a time, and how many of them are fetched at most.
+PREFIX, TIED = 64, 256
+
+
 def most_repeated_texts(labelled: DataFrame, k: int = 5) -> DataFrame:
     """The most frequent texts; the smaller text first among equals.
 
-    Copies are counted by digest. Texts are fetched for those that reach the k-th count; these are
-    written first, so that Spark knows how few they are when it plans the join.
+    Copies are counted by digest, with the first characters of the text. The k-th row by count and these characters
+    is the bound: what comes before it is in, and texts that tie with it, however many, are counted again by
+    their next characters until few are left. So ``k`` and ``TIED`` texts are fetched at most, also where no text repeats.
     """
-    counts = labelled.groupBy(tfidf.text_key(F.col("review_text")).alias("_text")).agg(
-        F.count("*").alias("n"), F.min("review_id").alias("review_id"))
-    counts = durable(counts)
-    least = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n")).scalar()
-    frequent = durable(counts.where(F.col("n") >= least).select("review_id", "n"))
-    return (labelled.select("review_id", "review_text").join(frequent, "review_id")
-            .select("review_text", "n").orderBy(F.desc("n"), "review_text").limit(k))
+    text = F.col("review_text")
+    keyed = labelled.select("review_text", tfidf.text_key(text).alias("_text"))
+    known, pieces, chosen = F.lit(True), 0, None
+    while True:
+        piece = F.substring(text, pieces * PREFIX + 1, PREFIX)
+        counts = durable(keyed.where(known).groupBy("_text").agg(F.count("*").alias("n"), F.min(piece).alias("piece")))
+        if chosen is not None:
+            counts = counts.where(F.col("n") == n)
+        wanted = k if chosen is None else k - len(chosen)
+        first = counts.orderBy(F.desc("n"), "piece").limit(wanted).collect()
+        n, last = (first[-1]["n"], first[-1]["piece"]) if first else (0, None)
+        chosen = (chosen or []) + [r for r in first if r["n"] > n or r["piece"] != last]
+        tied = counts.where((F.col("n") == n) & F.col("piece").eqNullSafe(F.lit(last))).limit(TIED + 1).collect() if first else []
+        if len(tied) <= TIED:
+            break
+        known = known & (piece == F.lit(last))
+        pieces += 1
+    chosen += tied
+    few = labelled.sparkSession.createDataFrame([(r["_text"], r["n"]) for r in chosen], "_text binary, n bigint")
+    # Bounded by k and TIED, so each task can have them all.
+    return (keyed.join(F.broadcast(few), keyed["_text"].eqNullSafe(few["_text"]))
+            .groupBy(keyed["_text"]).agg(F.first("review_text").alias("review_text"), F.first("n").alias("n"))
+            .select("review_text", "n").orderBy(F.desc("n"), "review_text").limit(k)) if chosen else \
+        labelled.select("review_text", F.lit(0).cast("bigint").alias("n")).limit(0)
 
 
 def review_tokens(labelled: DataFrame) -> DataFrame:

@@ -1,9 +1,15 @@
 """Call lists, campaign files, metadata and the campaign log."""
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.sources import folders
+
 # The columns of the campaign files.
 EMAIL_FILE = ["customer_id", "customer_name", "city", "send_to", "code", "subject", "message"]
+LOG = ("time string, channel string, recipients bigint, discount string, value_at_risk bigint, status string, "
+       "campaign string")
 SMS_FILE = [c for c in EMAIL_FILE if c != "subject"]
 
 
@@ -34,11 +40,19 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def append_log(entry: DataFrame, folder: str) -> None:
-    """Add a campaign to the log; concurrent campaigns add files of their own."""
-    entry.write.mode("append").parquet(folder)
+def append_log(entry: DataFrame, folder: str, campaign: str) -> bool:
+    """Add a campaign to the log once; false if it was there.
+
+    Every campaign has a folder of its own, named by its key, which appears whole. An append that is repeated, after
+    a failure or by a second sender, finds it and adds nothing.
+    """
+    if not re.fullmatch(r"[\w.-]+", campaign) or campaign.startswith((".", "_")):
+        raise ValueError(f"not a key for a campaign: {campaign!r}")
+    return folders.appear(entry.sparkSession, f"{folder}/campaign={campaign}",
+                          lambda aside: entry.coalesce(1).write.parquet(aside))
 
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The campaign history, newest first."""
-    return spark.read.parquet(folder).orderBy(F.desc("time"))
+    """The campaign history, newest first; of one minute by key. Of lines that share a key one counts."""
+    return (spark.read.schema(LOG).parquet(folder).dropDuplicates(["campaign"])
+            .orderBy(F.desc("time"), "campaign"))

@@ -118,10 +118,35 @@ def test_campaign_files_and_log(spark, scored, people, tmp_path):
     entry = retention.campaign_log_entry(retention.campaign_summary(targets), "Email", 15)
     fixed = retention.campaign_log_entry(retention.campaign_summary(targets), "Email", 15, "2026-01-02 03:04:05").first()
     assert fixed.time == "2026-01-02 03:04"
-    for _ in range(2):
-        files.append_log(entry, str(tmp_path / "log"))
-    log = files.read_log(spark, str(tmp_path / "log")).collect()
-    assert len(log) == 2 and log[0].recipients == 5 and log[0].discount == "15%" and log[0].value_at_risk == 1037
+    folder = str(tmp_path / "log")
+    assert [files.append_log(entry, folder, "007") for _ in range(2)] == [True, False]
+    log = files.read_log(spark, folder).collect()
+    assert len(log) == 1 and log[0].recipients == 5 and log[0].discount == "15%" and log[0].value_at_risk == 1037
+    assert log[0].campaign == "007"
+
+
+def log_line(spark, minute, recipients):
+    return spark.createDataFrame([(minute, "SMS", recipients, "5%", 10, "Queued (demo)")],
+                                 "time string, channel string, recipients bigint, discount string, value_at_risk bigint, status string")
+
+
+def test_a_campaign_is_logged_once_and_in_fixed_order(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "log")
+    for key, minute in (("b", "2026-01-02 03:04"), ("a", "2026-01-02 03:04"), ("c", "2026-01-02 03:05")):
+        assert files.append_log(log_line(spark, minute, 7), folder, key)
+    # Another line under a known key is a repetition, whatever it says.
+    assert not files.append_log(log_line(spark, "2026-01-02 03:09", 8), folder, "b")
+    assert [(r.campaign, r.recipients) for r in files.read_log(spark, folder).collect()] == [("c", 7), ("a", 7), ("b", 7)]
+    # A sender that fails on the way leaves no line, and can send again.
+    broken = log_line(spark, "2026-01-02 03:06", 9).withColumn("recipients", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        files.append_log(broken, folder, "d")
+    assert files.read_log(spark, folder).count() == 3
+    assert files.append_log(log_line(spark, "2026-01-02 03:06", 9), folder, "d")
+    assert files.read_log(spark, folder).first().campaign == "d"
+    for key in ("", "a/b", ".x", "_x"):
+        with pytest.raises(ValueError):
+            files.append_log(log_line(spark, "2026-01-02 03:06", 9), folder, key)
 
 
 def card(**weight):

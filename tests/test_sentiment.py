@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,6 +47,31 @@ def test_text_checks(labelled):
     assert rows(sentiment.most_repeated_texts(labelled, 1)) == [("Very good value, feels premium.", 24)]
 
 
+@pytest.mark.parametrize("kind", ["unique", "boilerplate", "mixed", "nulls"])
+def test_most_repeated_texts_fetches_few(spark, monkeypatch, kind):
+    """Ties of any number are settled by their next characters; no more than k and TIED texts are fetched."""
+    rng = random.Random(8)
+    if kind == "unique":
+        texts = [f"{rng.random()} text" for _ in range(900)]
+    elif kind == "boilerplate":
+        texts = ["Dear shop, " * 20 + f"{k:04d}" for k in range(700)] + ["Dear shop, " * 20]
+    elif kind == "mixed":
+        texts = [f"word {k}" for k in range(300) for _ in range(3)] + ["a"] * 9 + ["b"] * 9 + [f"one {k}" for k in range(500)]
+    else:
+        texts = [None] * 4 + ["", "x", "x", "y"]
+    labelled = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id int, review_text string").repartition(3)
+    monkeypatch.setattr(sentiment, "TIED", 20)
+    fetched = []
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: fetched.append(len(data)) or make(self, data, *a, **b))
+    for k in (1, 3, 7):
+        counts = Counter(texts)
+        wanted = sorted(counts.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[:k]
+        assert rows(sentiment.most_repeated_texts(labelled, k)) == wanted
+        assert fetched.pop() <= k + 20
+    assert rows(sentiment.most_repeated_texts(labelled.limit(0), 3)) == []
+
+
 def test_text_checks_read_reviews_without_a_rating(spark):
     texts = sentiment.sentiment_labels(store(spark, reviews=[(1, 1, 5, "good", None), (2, 1, None, "good", None)]))
     assert rows(sentiment.text_duplication(texts)) == [(2, 1, 1, 50.0)]
