@@ -1,4 +1,5 @@
 """Point-in-time customer features and the churn label."""
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,22 +66,22 @@ def purchase_history(sums: DataFrame, until: Column) -> DataFrame:
         ratio(F.col("_days"), F.col("_days_n")).alias("avg_delivery_days"), *extra)
 
 
-def _with_profile(history: DataFrame, customers: DataFrame) -> DataFrame:
+def _with_profile(history: DataFrame, customers: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Orders are aggregated before this join, so it moves one row per customer."""
-    profile = customers.select("customer_id", "customer_name", "city", "age", "membership_type")
-    extra = [c for c in history.columns if c == "actual_orders"]
+    profile = customers.select("customer_id", "customer_name", "city", "age", "membership_type", *also)
+    extra = [c for c in history.columns if c == "actual_orders"] + list(also)
     return history.join(profile, "customer_id").select(
         "customer_id", "customer_name", "city", *AGGREGATES, "age", "membership_type", *extra)
 
 
 def customer_features(orders: DataFrame, customers: DataFrame, cutoff: str,
-                      window: Window | None = None) -> DataFrame:
-    """History of every customer who ordered by the cutoff day, with profile columns.
+                      window: Window | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """History of every customer who ordered by the cutoff day, with profile columns; ``also``: more of them.
 
     With a window, ``actual_orders`` counts the customer's orders inside it.
     """
     until = day(cutoff)
-    return _with_profile(purchase_history(purchase_sums(orders, until, window), until), customers)
+    return _with_profile(purchase_history(purchase_sums(orders, until, window), until), customers, also)
 
 
 def latest_features(orders: DataFrame, customers: DataFrame) -> DataFrame:

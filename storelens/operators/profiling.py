@@ -25,6 +25,10 @@ def as_rows(totals: DataFrame, labels: list[dict[str, object]], keep: list[str],
             .select("_e.*", *keep))
 
 
+#: Columns whose nulls share a word.
+_BITS = 62
+
+
 def profile(df: DataFrame, name: str, key: str) -> DataFrame:
     """Rows, columns, nulls per column, repeated rows and repeated keys, a row per column.
 
@@ -33,15 +37,16 @@ def profile(df: DataFrame, name: str, key: str) -> DataFrame:
     """
     columns = df.columns
     nulls = [f"v{i}" for i in range(len(columns))]
-    bits = F.lit(0).cast("bigint")
+    words = [F.lit(0).cast("bigint") for _ in range(0, len(columns), _BITS)]
     for i, c in enumerate(columns):
-        bits = bits + F.when(F.col(c).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    compared = df.select(F.col(key).alias("_key"), bits.alias("_nulls"), F.xxhash64(*columns).alias("_a"),
-                         F.xxhash64(F.lit(1), *reversed(columns)).alias("_b"))
-    by_row = compared.groupBy("_key", "_nulls", "_a", "_b").agg(F.count("*").alias("_n"))
+        bit = F.when(F.col(c).isNull(), F.lit(1 << i % _BITS).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        words[i // _BITS] = words[i // _BITS] + bit
+    compared = df.select(F.col(key).alias("_key"), *[w.alias(f"_nulls{i}") for i, w in enumerate(words)],
+                         F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("_b"))
+    by_row = compared.groupBy(*compared.columns).agg(F.count("*").alias("_n"))
     by_key = by_row.groupBy("_key").agg(
         F.sum("_n").alias("_n"), F.count("*").alias("_distinct"),
-        *[F.sum(F.when(F.getbit("_nulls", F.lit(i)) == 1, F.col("_n")).otherwise(0)).alias(v)
+        *[F.sum(F.when(F.getbit(f"_nulls{i // _BITS}", F.lit(i % _BITS)) == 1, F.col("_n")).otherwise(0)).alias(v)
           for i, v in enumerate(nulls)])
     zero = F.lit(0)
     totals = by_key.agg(

@@ -39,15 +39,32 @@ def term_counts(texts: DataFrame) -> DataFrame:
                                             F.count("*").alias("n")))
 
 
-def document_frequencies(counts: DataFrame, texts: DataFrame, min_df: int = 2) -> DataFrame:
-    """The vocabulary: term, df and idf. The number of training reviews is one scalar."""
-    train_reviews = texts.agg(F.sum("train_copies")).scalar()
-    return (counts.where(F.col("train_copies") > 0)
-            .groupBy("term").agg(F.sum("train_copies").alias("df"))
+def term_lists(texts: DataFrame) -> DataFrame:
+    """One row per text: text_id, train_copies and its terms with their occurrences. The terms are not exchanged."""
+    return term_counts(texts).groupBy("text_id").agg(
+        F.first("train_copies").alias("train_copies"), F.collect_list(F.struct("term", "n")).alias("terms"))
+
+
+def _frequent(copies: DataFrame, train_reviews: Column, min_df: int) -> DataFrame:
+    """term, df and idf from rows (term, train_copies)."""
+    return (copies.groupBy("term").agg(F.sum("train_copies").alias("df"))
             .where(F.col("df") >= min_df)
             .withColumn("idf", F.ln((F.lit(1.0) + train_reviews) / (F.lit(1.0) + F.col("df"))) + 1.0))
 
 
+def document_frequencies(counts: DataFrame, texts: DataFrame, min_df: int = 2) -> DataFrame:
+    """The vocabulary: term, df and idf. The number of training reviews is one scalar."""
+    return _frequent(counts.where(F.col("train_copies") > 0).select("term", "train_copies"),
+                     texts.agg(F.sum("train_copies")).scalar(), min_df)
+
+
+def vocabulary(texts: DataFrame, min_df: int = 2) -> DataFrame:
+    """The vocabulary of ``texts``, which is read twice; give a written table. Only distinct terms are exchanged."""
+    learned = texts.where(F.col("train_copies") > 0)
+    terms = F.explode(F.array_distinct(words_and_pairs(words(F.col("review_text"))))).alias("term")
+    return _frequent(learned.select("train_copies", terms), texts.agg(F.sum("train_copies")).scalar(), min_df)
+
+
 def raw_weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Unscaled weights of the terms in the vocabulary.
 
@@ -65,6 +82,15 @@ def unit_weights(raw: DataFrame) -> DataFrame:
 
 
 def term_weights(texts: DataFrame, min_df: int = 2) -> DataFrame:
-    """Weights of every text. The counts are written: vocabulary and weights both read them."""
-    counts = durable(term_counts(texts))
-    return unit_weights(raw_weights(counts, document_frequencies(counts, texts, min_df)))
+    """(text_id, weights) of every text that has a term of the vocabulary; weights are (term, weight).
+
+    Texts keep their terms as a list, which is written: vocabulary and weights both read it. Terms go to the
+    vocabulary once, and come back to their text as one list with its length.
+    """
+    lists = durable(term_lists(texts))
+    terms = lists.select("text_id", "train_copies", F.inline("terms"))
+    raw = raw_weights(terms, document_frequencies(terms, lists, min_df))
+    per_text = raw.groupBy("text_id").agg(F.collect_list(F.struct("term", "raw")).alias("raw"),
+                                          F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return per_text.select("text_id", F.transform("raw", lambda e: F.struct(
+        e["term"].alias("term"), (e["raw"] / F.col("length")).alias("weight"))).alias("weights"))

@@ -1,4 +1,6 @@
 """Scoring every customer, call lists, win-back planning and campaign messages."""
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,11 @@ DEFAULT_SMS = ("Hi {first_name}, we miss you! Get {discount}% off your next orde
 # The default e-mail; any text with these names does.
 DEFAULT_EMAIL = """Dear {first_name},
 
-we have not heard from you for some time. Come back and take {discount}% off your next order.
+it has been a while since your last visit. Your next purchase is {discount}% cheaper with the code below.
 
-Your code: {code} (valid for 14 days)
+{code}
 
-Your store in {city}"""
+You can use it for two weeks, in {city} or online."""
 
 
 def data_freshness(store: Store) -> DataFrame:
@@ -50,10 +52,11 @@ def scored_list(scored: DataFrame) -> DataFrame:
     return scored.orderBy(*by_value_at_risk())
 
 
-def score_with_outcome(store: Store, card: Scorecard, cutoff: str, start: str, end: str) -> DataFrame:
+def score_with_outcome(store: Store, card: Scorecard, cutoff: str, start: str, end: str,
+                       also: Sequence[str] = ()) -> DataFrame:
     """Scores as of the cutoff beside what happened from ``start`` to ``end``, in one pass over orders."""
     churned = F.col("actual_orders") == 0
-    return (score(customer_features(store.orders, store.customers, cutoff, Window(start, end)), card)
+    return (score(customer_features(store.orders, store.customers, cutoff, Window(start, end), also), card)
             .withColumn("churned", churned)
             .withColumn("correct", churned == (F.col("churn_probability") >= 0.5)))
 
@@ -63,11 +66,16 @@ def prediction_hindsight(scored: DataFrame) -> DataFrame:
     return scored.select("customer_id", "actual_orders", "churned", "correct")
 
 
+def _shown() -> dict[str, Column]:
+    """What a profile shows besides its columns."""
+    return {"initials": initials(F.col("customer_name")),
+            "age_text": F.coalesce(F.concat(F.col("age"), F.lit(" years")), F.lit("age unknown"))}
+
+
 def customer_profile(customers: DataFrame) -> DataFrame:
     return customers.select(
         "customer_id", "customer_name", "gender", "age", "city", "membership_type", "signup_date",
-        initials(F.col("customer_name")).alias("initials"),
-        F.coalesce(F.concat(F.col("age"), F.lit(" years")), F.lit("age unknown")).alias("age_text"))
+        *[value.alias(name) for name, value in _shown().items()])
 
 
 def recent_orders(store: Store, cutoff: str, k: int = 5) -> DataFrame:
@@ -91,9 +99,7 @@ def recent_orders(store: Store, cutoff: str, k: int = 5) -> DataFrame:
 
 def customer_360(store: Store, card: Scorecard, cutoff: str, start: str, end: str) -> DataFrame:
     """Profile, history, score with decision and advice, and outcome of every customer, one row each."""
-    profile = customer_profile(store.customers).select(
-        "customer_id", "gender", "signup_date", "initials", "age_text")
-    return (score_with_outcome(store, card, cutoff, start, end).join(profile, "customer_id")
+    return (score_with_outcome(store, card, cutoff, start, end, ["gender", "signup_date"]).withColumns(_shown())
             .withColumn("prediction", decision(F.col("churn_probability")))
             .withColumn("action", relabel(F.col("risk"), RISK_ADVICE)))
 

@@ -149,13 +149,12 @@ def review_tfidf(labelled: DataFrame, min_df: int = 2) -> DataFrame:
     texts = durable(tfidf.distinct_texts(labelled, in_train(F.col("review_text"))))
     weights = durable(tfidf.term_weights(texts, min_df))
     keyed = labelled.select("review_id", tfidf.text_key(F.col("review_text")).alias("text_id"))
-    return keyed.join(weights, "text_id").select("review_id", "term", "weight")
+    return keyed.join(weights, "text_id").select("review_id", F.inline("weights"))
 
 
 def vocabulary_size(labelled: DataFrame, min_df: int = 2) -> DataFrame:
-    texts = tfidf.distinct_texts(labelled, in_train(F.col("review_text")))
-    return tfidf.document_frequencies(tfidf.term_counts(texts), texts, min_df).agg(
-        F.count("*").alias("vocabulary_size"))
+    texts = durable(tfidf.distinct_texts(labelled, in_train(F.col("review_text"))))
+    return tfidf.vocabulary(texts, min_df).agg(F.count("*").alias("vocabulary_size"))
 
 
 @dataclass(frozen=True)
@@ -202,6 +201,14 @@ _ROW = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("copi
                      T.StructField("features", VectorUDT())])
 
 
+#: Training rows of a partition. A step sends one gradient per partition, as long as the vocabulary, so these should be few.
+FIT_ROWS = 8192
+
+
+def _few_parts(rows: DataFrame) -> DataFrame:
+    return rows.coalesce(max(1, -(-rows.count() // FIT_ROWS)))
+
+
 def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000,
                     fit_reviews: int = 500_000) -> SentimentModel:
     """Fit on reviews with a sentiment. Classes weigh the same in total.
@@ -242,7 +249,7 @@ def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000,
                                 F.col("_e.weight").alias("values")).alias("features")))
     fitted = LogisticRegression(
         labelCol="label", weightCol="copies", family="multinomial", maxIter=iterations,
-        regParam=1.0 / reviews, elasticNetParam=0.0, standardization=False).fit(durable(vectors, _ROW))
+        regParam=1.0 / reviews, elasticNetParam=0.0, standardization=False).fit(_few_parts(durable(vectors, _ROW)))
 
     matrix = fitted.coefficientMatrix.toArray()
     weight_of = {c: matrix[present.index(c)] if c in present else np.zeros(size) for c in SENTIMENTS}

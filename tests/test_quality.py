@@ -99,3 +99,15 @@ def test_examples(dirty):
     assert [tuple(map(float, r)) for r in quality.negative_price_vs_list(dirty).collect()] == [(1.0, -5.0, 25.5)]
     assert rows(quality.category_spellings(dirty.products)) == [("[ Beauty]", 1), ("[FASHION]", 1), ("[Home Decor]", 1)]
     assert rows(quality.empty_review_rows(dirty))[0] == (1, 5, "[NULL]")
+
+
+def test_profile_of_a_wide_table(spark):
+    """More columns than a word has bits."""
+    from storelens.operators.profiling import profile
+    columns = [f"c{i}" for i in range(150)]
+    data = [tuple(None if (i * 7 + k) % 5 == 0 else i for i in range(150)) for k in (1, 2, 2, 3)]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(data)] + [(0, *data[0])], ", ".join(["id int"] + [f"{c} int" for c in columns]))
+    found = {r.column: r for r in profile(df, "wide", "id").collect()}
+    rows_ = data + [data[0]]
+    assert all(found[c].nulls == sum(row[i] is None for row in rows_) for i, c in enumerate(columns))
+    assert found["id"].rows == 5 and found["id"].duplicate_rows == 1 and found["id"].duplicate_ids == 1 and len(found) == 151
