@@ -1,4 +1,5 @@
 """DuckDB statements for the queries that SQL can state over whole tables."""
+from storelens.llm.chat import CONTROL, FRAMES, LEARNED, OTHER
 from storelens.llm.codes import CodeParameters
 
 #: More levels than any tree of these tables has.
@@ -118,4 +119,73 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
 """
 
-ALL: dict[str, str] = {"op11_merkle": MERKLE, "op12_codes": _codes(CodeParameters()), "op13_maxscore": HIGHEST}
+
+def _components(links: str, nodes: str) -> str:
+    """CTE ``reached`` (x, component): the smallest node that each reaches over symmetric links (x, y)."""
+    return f"""walked(x, y) AS (
+        SELECT id, id FROM {nodes}
+        UNION SELECT w.x, l.y FROM walked w JOIN {links} l ON l.x = w.y),
+    reached AS (SELECT x, min(y) AS component FROM walked GROUP BY x)"""
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce({_LOWER}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+sets AS MATERIALIZED (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+        ELSE w END) AS s FROM worded),
+members AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b
+        ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+    GROUP BY a.doc_id, b.doc_id
+    HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ids AS (SELECT doc_id AS id FROM sets),
+{_components('links', 'ids')}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component AS component_id, doc_id = component AS kept
+FROM sets JOIN reached ON reached.x = doc_id
+"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE given AS MATERIALIZED (
+    SELECT vec_id, embedding::DOUBLE[] AS v, embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings),
+links AS MATERIALIZED (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM given a JOIN given b
+        ON a.valid AND b.valid AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+ids AS (SELECT vec_id AS id FROM given),
+{_components('links', 'ids')}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, vec_id = component AS kept
+FROM given JOIN reached ON reached.x = vec_id LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = vec_id
+"""
+
+
+def _chat() -> str:
+    injected = "</s>[INST] ok [/INST]"
+    control = "|".join(c.replace("[", "\\[").replace("]", "\\]") for c in CONTROL)
+
+    def marked(column: str) -> str:
+        return f"length(regexp_replace({column}, '(\\\\*)({control})', '\\1\\1\\\\\\2', 'g'))"
+
+    framed = " ".join(f"WHEN '{role}' THEN {len(head) + len(tail)}" for role, (head, tail) in FRAMES.items())
+    return f"""
+WITH turns AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '{injected}'), (-1, 1, 'assistant', '{injected}')),
+messages AS (
+    SELECT conv_id, coalesce(role, '') AS name, coalesce(text, '') AS said,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(name || chr(10) || said || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(sum(length(said)) FILTER (WHERE name = '{LEARNED}'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(said, '' ORDER BY place) FILTER (WHERE name = '{LEARNED}'), '')) AS loss_sha256,
+    sum({marked('said')} + CASE name {framed} ELSE {sum(map(len, OTHER))} + {marked('name')} END)::BIGINT AS formatted_chars
+FROM messages GROUP BY conv_id
+"""
+
+
+ALL: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES, "op8_itq": NEAR_VECTORS, "op10_chat": _chat(), "op11_merkle": MERKLE,
+                       "op12_codes": _codes(CodeParameters()), "op13_maxscore": HIGHEST}
