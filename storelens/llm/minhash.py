@@ -9,9 +9,10 @@
    probability that its similarity reaches the threshold, given the matches so far and a uniform prior,
    falls below ``miss``. Survivors are compared on their whole sets.
 4. Links are joined into components. What is left are bands that still hold nodes of different
-   components. Their nodes get a longer signature, so that the test can tell 0.75 from 0.8; every such pair
-   is compared in the first band that it shares, in blocks, and a node passes on its most similar
-   partners first. Rounds go on until no candidate pair between two components is untested.
+   components. Every such pair is compared, in blocks, in the first band that it shares: first by the same test, then
+   by sets of 32-bit digests, which can only overrate it. A task joins what it links at once and passes on no
+   more links than it takes to span its components; these are verified on whole sets. If one fails, which takes a
+   collision of digests at the very threshold, another round looks with other digests.
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,10 +29,10 @@ from storelens.llm.components import components
 from storelens.llm.textbytes import mixed, shingle_sets, texts_in
 from storelens.operators.durable import durable, release
 
-#: Nodes of a band that are compared in one block.
-BLOCK = 4096
-#: Partners that a node passes on in the first round over blocks; each later round takes eight times as many.
-PARTNERS = 16
+#: Nodes of a band, and bytes of their digests, that are compared in one block.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
+#: Rounds over blocks; a second one is rare.
+ROUNDS = 20
 _CHUNK = 1 << 17
 _PAIRS = 20_000
 
@@ -41,14 +42,14 @@ class NearDuplicates:
     """Parameters. Pairs at the threshold share no band with probability (1 - t^rows)^bands.
 
     The defaults miss such a pair about once in eight million; ``miss`` bounds the Bayesian test.
-    ``batch`` hashes are compared at a time, and ``longer`` more where components meet.
+    ``batch`` hashes are compared at a time. ``bits`` of a shingle's digest, 32 at most, are compared within blocks.
     """
     width: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 5
     batch: int = 20
-    longer: int = 800
+    bits: int = 32
     miss: float = 1e-7
     seed: int = 1
 
@@ -204,34 +205,40 @@ def _sets(docs: DataFrame, nodes: DataFrame, p: NearDuplicates, id_column: str,
         per_batch, "node bigint, shingles binary")
 
 
-def _longer(sets: DataFrame, marks: DataFrame, p: NearDuplicates) -> DataFrame:
-    """``marks`` of the nodes in ``sets`` with ``longer`` more bytes of signature."""
+def _short(shingles: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    """Sorted distinct digests of a set, others for every salt."""
+    return np.unique((mixed(shingles ^ np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.uint32))
+
+
+def _shorts(sets: DataFrame, marks: DataFrame, salt: int, bits: int) -> DataFrame:
+    """``marks`` of the nodes in ``sets`` with the size of the set and its 32-bit digests."""
     def per_batch(batches):
         for batch in batches:
-            more = [(minima(np.frombuffer(s.as_buffer(), np.uint64), p.longer, p.seed + 1) >> np.uint64(56))
-                    .astype(np.uint8).tobytes() for s in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(more, pa.binary())], names=["node", "more"])
+            found = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in found], pa.int64()),
+                 pa.array([_short(s, salt, bits).tobytes() for s in found], pa.binary())], names=["node", "size", "short"])
 
-    more = sets.mapInArrow(per_batch, "node bigint, more binary").dropDuplicates(["node"])
-    return marks.join(more, "node").select("node", "keys", F.concat("signature", "more").alias("signature"))
+    more = sets.mapInArrow(per_batch, "node bigint, size bigint, short binary").dropDuplicates(["node"])
+    return marks.join(more, "node").select("node", "keys", "signature", "size", "short")
 
 
-def _open_pairs(members: DataFrame, marks: DataFrame, p: NearDuplicates, partners: int) -> DataFrame:
-    """Likely pairs across components within a band, at most ``partners`` of them for each node and block.
+def _open_pairs(members: DataFrame, shorts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links across components within a band that 32-bit digests allow, as many as span what they join.
 
-    A pair counts in the first band it shares. members: (band, node, component). A band of n nodes is cut into blocks of about BLOCK, and every two
-    blocks meet in one group, so a group is bounded however large the band is. A row with a null b says
-    that its node has more partners than were passed on.
+    A pair counts in the first band it shares. members: (band, node, component). A band of n nodes is cut into blocks of
+    about BLOCK nodes or BLOCK_BYTES, and every two blocks meet in one group, so a group is bounded however large the band is.
     """
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
-                                        F.max("component").alias("hi")).where("lo <> hi")
-    cut = F.ceil(F.col("n") / BLOCK).cast("bigint")
+    sized = members.join(shorts.select("node", "size"), "node")
+    sizes = sized.groupBy("band").agg(F.count("*").alias("n"), F.sum(4 * F.col("size")).alias("bytes"),
+                                      F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    cut = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("bigint")
     mine = F.pmod(F.xxhash64("node"), F.col("cut"))
     spread = (members.join(sizes.select("band", cut.alias("cut")), "band").withColumn("mine", mine)
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cut") - 1)))
               .select("band", "node", "component", "mine", F.least("mine", "other").alias("x"),
                       F.greatest("mine", "other").alias("y"))
-              .join(marks, "node"))
+              .join(shorts, "node"))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -240,13 +247,13 @@ def _open_pairs(members: DataFrame, marks: DataFrame, p: NearDuplicates, partner
             for rows in filter(len, table):
                 new = _changes(rows)
                 # The last group may go on in the next batch.
-                yield from _likely_in_groups(rows.slice(0, int(new[-1])), new[:-1], p, partners)
+                yield from _links_in_groups(rows.slice(0, int(new[-1])), new[:-1], p)
                 rest = rows.slice(int(new[-1]))
         if rest is not None and rest.num_rows:
-            yield from _likely_in_groups(rest, _changes(rest), p, partners)
+            yield from _links_in_groups(rest, _changes(rest), p)
 
     ordered = spread.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return ordered.select("band", "x", "y", "node", "component", "mine", "keys", "signature").mapInArrow(
+    return ordered.select("band", "x", "y", "node", "component", "mine", "keys", "signature", "size", "short").mapInArrow(
         per_task, "a bigint, b bigint")
 
 
@@ -260,42 +267,52 @@ def _changes(rows: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _likely_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicates,
-                      partners: int) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of whole groups: a row meets the rows after it in its group."""
+def _root(parent: dict[int, int], node: int) -> int:
+    while (above := parent.get(node, node)) != node:
+        parent[node] = node = parent.get(above, above)
+    return node
+
+
+def _links_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicates) -> Iterator[pa.RecordBatch]:
+    """Links of whole groups: a row meets the rows after it in its group."""
     n = rows.num_rows
     if not n:
         return
-    band, node, component, mine, x, y = (rows.column(c).to_numpy()
-                                         for c in ("band", "node", "component", "mine", "x", "y"))
+    band, node, component, mine, x, y, size = (rows.column(c).to_numpy()
+                                               for c in ("band", "node", "component", "mine", "x", "y", "size"))
     sign = _matrix(rows.column("signature"))
+    short = [np.frombuffer(s.as_buffer(), np.uint32) for s in rows.column("short")]
+    merged = size - np.array([len(s) for s in short])
     keys = rows.column("keys").flatten().to_numpy().reshape(n, -1)
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     many = ends - np.arange(n) - 1
     total = np.append(0, np.cumsum(many))
     first = 0
+    parent: dict[int, int] = {}
     while first < n:
         last = max(first + 1, int(np.searchsorted(total, total[first] + _PAIRS, "right")) - 1)
         i = np.repeat(np.arange(first, last), many[first:last])
         j = np.arange(total[first], total[last]) - np.repeat(total[first:last], many[first:last]) + i + 1
         first = last
-        meets = (component[i] != component[j]) & ((x[i] == y[i]) | (mine[i] != mine[j]))
+        meets = ((component[i] != component[j]) & ((x[i] == y[i]) | (mine[i] != mine[j]))
+                 & (100 * np.minimum(size[i], size[j]) >= p.percent * np.maximum(size[i], size[j])))
         i, j = i[meets], j[meets]
         shared = (keys[i] == keys[j]).argmax(axis=1)
         here = keys[i, shared] == band[i]
         i, j = i[here], j[here]
         alive, matches = survivors(sign[i], sign[j], p)
-        order = alive[np.lexsort((-matches, i[alive]))]
-        i, j = i[order], j[order]
-        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
-        place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        more = np.unique(node[i[place == partners]])
-        taken = place < partners
-        a, b = node[i[taken]], node[j[taken]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.minimum(a, b), more])),
-             pa.array(np.concatenate([np.maximum(a, b), more]),
-                      mask=np.concatenate([np.zeros(len(a), bool), np.ones(len(more), bool)]))], names=["a", "b"])
+        order = alive[np.argsort(-matches, kind="stable")]
+        found = []
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            ca, cb = _root(parent, int(component[a])), _root(parent, int(component[b]))
+            if ca == cb:
+                continue
+            common = len(np.intersect1d(short[a], short[b], assume_unique=True)) + min(merged[a], merged[b])
+            if 100 * common >= p.percent * (size[a] + size[b] - common):
+                parent[max(ca, cb)] = min(ca, cb)
+                found.append((min(node[a], node[b]), max(node[a], node[b])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_column: str = "doc_id",
@@ -327,25 +344,26 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), id_co
     sets = durable(_sets(docs, wanted, p, id_column, text))
     links = durable(_confirmed(_likely(pairs, marks, p), sets, p))
     release(pairs)
-    found, partners, longer = durable(components(links)), PARTNERS, None
-    while True:
+    found = durable(components(links))
+    for salt in range(ROUNDS):
         labelled = members.join(found, "node", "left").select(
             "band", "node", F.coalesce("component", "node").alias("component"))
-        if longer is None:
-            bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            apart = labelled.join(bands.where("lo <> hi"), "band", "left_semi").select("node").distinct()
-            longer = durable(_longer(sets.join(apart, "node", "left_semi"), marks, p))
-        pairs = durable(_open_pairs(labelled, longer, p, partners).distinct())
-        fresh = durable(_confirmed(pairs.where("b IS NOT NULL"), sets, p))
-        if not fresh.isEmpty():
+        bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        open_ = durable(labelled.join(bands.where("lo <> hi"), "band", "left_semi").select("band", "node", "component"))
+        shorts = durable(_shorts(sets.join(open_.select("node").distinct(), "node", "left_semi"), marks, salt, p.bits))
+        pairs = durable(_open_pairs(open_, shorts, p).distinct())
+        fresh = durable(_confirmed(pairs, sets, p))
+        tried, held = pairs.count(), fresh.count()
+        release(open_, shorts, pairs)
+        if held:
             links = links.unionByName(fresh)
             old = found
             found = durable(components(links))
             release(old)
-        if pairs.where("b IS NULL").isEmpty():
+        if held == tried:
             break
-        release(pairs)
-        partners *= 8
+    else:
+        raise RuntimeError(f"links still fail after {ROUNDS} rounds")
     owner = owner.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     return (sizes.join(owner, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -81,13 +81,18 @@ def test_near_duplicates(spark, width):
                           + [(103, 1, 103, True)], key=str)
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """Bands larger than a block, and more partners than a round passes on."""
-    monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "PARTNERS", 1)
+@pytest.mark.parametrize("block, most, bits", [(4, 1 << 20, 32), (100, 900, 32), (8, 1 << 20, 13)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, block, most, bits):
+    """Bands larger than a block in nodes or bytes, and digests so short that links fail on the whole sets."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", most)
+    tried = []
+    shorts = minhash._shorts
+    monkeypatch.setattr(minhash, "_shorts", lambda *args: tried.append(1) or shorts(*args))
     rows = near_copies(3, groups=2, copies=25)
-    found = minhash.near_duplicates(table(spark, rows), minhash.NearDuplicates(width=2))
+    found = minhash.near_duplicates(table(spark, rows), minhash.NearDuplicates(width=2, bits=bits))
     wanted = components_of(rows, 2)
+    assert len(tried) == 1 if bits == 32 else len(tried) >= 1
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == wanted
 
 
@@ -96,10 +101,20 @@ def test_near_duplicates_of_nothing(spark):
     assert collected(minhash.near_duplicates(table(spark, [(1, None), (2, "")]))) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_digests_never_underrate():
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        whole = draw.integers(0, 1 << 63, 60).astype(np.uint64)
+        a, b = (np.unique(draw.choice(whole, 40)) for _ in range(2))
+        short = [minhash._short(x, 3, 7) for x in (a, b)]
+        spare = min(len(a) - len(short[0]), len(b) - len(short[1]))
+        assert len(np.intersect1d(*short)) + spare >= len(np.intersect1d(a, b))
+
+
 def test_bayesian_bounds():
     """A pair at the threshold fails the whole sequence of tests less often than the stated chance per test."""
     p = minhash.NearDuplicates()
-    for hashes, share in ((p.hashes, 0.6), (p.hashes + p.longer, 0.7)):
+    for hashes, share in ((p.hashes, 0.6), (1000, 0.7)):
         bounds = minhash.least_matches(p, hashes)
         assert [n for n, _ in bounds] == [*range(p.batch, hashes + 1, p.batch)]
         assert all(0 <= m < 0.8 * n for n, m in bounds) and bounds[-1][1] > share * hashes
