@@ -37,13 +37,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def with_row(docs: DataFrame) -> DataFrame:
     """Adds ``__row``, a number of its own for every row: the id, or for rows whose id is null or repeats a number
     above all ids. Only the latter rows are written, so that their numbers stay."""
-    ids = durable(docs.groupBy("doc_id").agg(F.count("*").alias("n")))
-    most = ids.agg(F.greatest(F.max("doc_id"), F.lit(0))).first()[0]
-    again = ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__again"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    again = durable(ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__again")))
+    alone = F.col("doc_id").cast("bigint")
+    if again.isEmpty():
+        return docs.withColumn("__row", alone)
+    most = docs.agg(F.greatest(F.max("doc_id"), F.lit(0))).first()[0]
     above = durable(docs.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi")
                     .withColumn("__row", F.monotonically_increasing_id() + F.lit(most + 1)))
     once = docs.where("doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return once.withColumn("__row", F.col("doc_id").cast("bigint")).unionByName(above)
+    return once.withColumn("__row", alone).unionByName(above)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
