@@ -57,6 +57,15 @@ def durable(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     return written
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that every executor can reach, not there yet, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path, files = _file_system(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def release(*written: DataFrame) -> None:
     """Delete the files of durable tables that nothing will read again."""
     for df in written:

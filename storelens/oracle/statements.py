@@ -298,6 +298,12 @@ _SPLIT = f""", numbered AS (
          count(*) OVER (PARTITION BY churn) AS size FROM dataset),
 split AS (SELECT *, CASE WHEN position * 5 <= size * 4 THEN 'train' ELSE 'test' END AS split FROM numbered)"""
 
+_FOLDS = f""", numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY churn ORDER BY {_digest('customer_id', 43)}) AS position,
+         count(*) OVER (PARTITION BY churn) AS size FROM dataset),
+folds AS (SELECT *, CAST((position > size // 5)::INT + (position > size * 2 // 5)::INT + (position > size * 3 // 5)::INT
+                    + (position > size * 4 // 5)::INT AS INTEGER) AS fold FROM numbered)"""
+
 _SCORES = f""", scores AS (
   SELECT churn AS label, {near(t.probability(r.CARD), 4)} AS score FROM dataset),
 counted AS (
@@ -327,6 +333,7 @@ def _churn() -> dict[str, str]:
         "feature_nulls": _with(t.CHURN, f"SELECT * FROM ({nulls}) WHERE missing > 0"),
         "feature_summary": _with(t.CHURN, summary),
         "churn_split": _with(t.CHURN + _SPLIT, "SELECT customer_id, churn, split FROM split"),
+        "churn_folds": _with(t.CHURN + _FOLDS, "SELECT customer_id, churn, fold FROM folds"),
         "churn_split_summary": _with(t.CHURN + _SPLIT, f"""SELECT split, count(*) AS n,
             {pct('sum(churn)', 'count(*)')} AS churn_rate FROM split GROUP BY split"""),
         "binary_metrics": _with(t.CHURN + _SCORES, f"""
@@ -423,6 +430,8 @@ def _retention() -> dict[str, str]:
                   FROM odds)"""),
         "orders_in_window": _with(t.ORDERS, _WINDOW),
         "orders_in_window_sql": _with(t.ORDERS, _WINDOW),
+        "orders_in_window_kept": _with(t.ORDERS, _WINDOW),
+        "saved_category_revenue": _with(_SALES + ", " + _CATEGORY, "SELECT * FROM category_revenue"),
         "prediction_hindsight": _with(_SCORED_AT, f"""SELECT customer_id, {_OUTCOME}
             FROM scored LEFT JOIN ({_WINDOW}) w USING (customer_id)"""),
         "customer_profile": _with(t.CUSTOMERS, f"SELECT {_PROFILE} FROM people"),
@@ -468,6 +477,10 @@ def _retention() -> dict[str, str]:
         "campaign_log": _with(_targets("Email"), f"""SELECT '{r.SENT_AT[:16]}' AS time, 'Email' AS channel,
             count(*) AS recipients, '{r.DISCOUNT}%' AS discount,
             {big(f'round({money(_RISK_SUM)}, 0)')} AS value_at_risk, 'Queued (demo)' AS status FROM targets"""),
+        "campaign_log_once": _with(_targets("Email"), f"""SELECT '{r.SENT_AT[:16]}' AS time, 'Email' AS channel,
+            count(*) AS recipients, '{r.DISCOUNT}%' AS discount,
+            {big(f'round({money(_RISK_SUM)}, 0)')} AS value_at_risk, 'Queued (demo)' AS status,
+            'spring' AS campaign FROM targets"""),
         "contacts": _with(t.CUSTOMERS, "SELECT customer_id, email, phone FROM people"),
         "data_freshness": _with(t.ORDERS, f"SELECT {iso('max(order_date)')} AS latest FROM sales"),
     }

@@ -8,12 +8,15 @@ from pyspark.sql import types as T
 from storelens.functions.hashing import digest_number
 from storelens.operators import scoring
 from storelens.operators.cleaning import clean_customers, clean_orders, clean_products, clean_reviews
-from storelens.operators.durable import durable
+from storelens.operators.durable import durable, scratch
 from storelens.operators.features import MODEL_FEATURES, customer_features, orders_in_window
+from storelens.operators.learning import stratified_folds
 from storelens.operators.metrics import binary_metrics, class_report, confusion_matrix, roc_points
 from storelens.plans import business, churn, dashboard, quality, retention, sentiment
+from storelens.sources.files import append_log, read_log
+from storelens.sources.results import Results
 from storelens.sources.star_schema import open_raw_store, open_store
-from storelens.sources.store import Store, run_sql
+from storelens.sources.store import Store, read_parquet, run_sql, write_parquet
 
 # Parameters of the registered runs, chosen for the test data's dates and amounts.
 CUTOFF, START, END = "2001-04-30", "2001-05-01", "2001-07-31"
@@ -86,12 +89,40 @@ def _targets(store: Store, channel: str) -> DataFrame:
     return retention.campaign_targets(_scored(store), store.customers, [], MIN_SPEND, RECIPIENTS, channel, DISCOUNT)
 
 
+_IN_WINDOW = """
+    SELECT customer_id, count(*) AS orders FROM storelens_orders
+    WHERE order_date BETWEEN to_date(:start) AND to_date(:end) GROUP BY customer_id"""
+
+
 def _orders_in_window_sql(store: Store) -> DataFrame:
     store.register("storelens_")
-    return run_sql(store.spark, """
-        SELECT customer_id, count(*) AS orders FROM storelens_orders
-        WHERE order_date BETWEEN to_date(:start) AND to_date(:end) GROUP BY customer_id""",
-                   start=START, end=END)
+    return run_sql(store.spark, _IN_WINDOW, start=START, end=END)
+
+
+def _orders_in_window_kept(store: Store) -> DataFrame:
+    """Asked twice: the second answer is what was kept of the first."""
+    store.register("storelens_")
+    results = Results(store.spark, scratch(store.spark))
+    results.sql(_IN_WINDOW, start=START, end=END)
+    return results.sql(_IN_WINDOW, start=START, end=END)
+
+
+def _saved_category_revenue(store: Store) -> DataFrame:
+    """Over a saved store, written twice: the newest version counts."""
+    folder = scratch(store.spark)
+    write_parquet(Store(store.spark, **{name: df.limit(0) for name, df in store.tables().items()}), folder)
+    write_parquet(store, folder)
+    return business.category_revenue(read_parquet(store.spark, folder))
+
+
+def _campaign_log_once(store: Store) -> DataFrame:
+    """A campaign whose entry is appended a second time, as after a failure."""
+    entry = retention.campaign_log_entry(
+        retention.campaign_summary(_targets(store, "Email")), "Email", DISCOUNT, SENT_AT)
+    folder = scratch(store.spark)
+    for _ in range(2):
+        append_log(entry, folder, "spring")
+    return read_log(store.spark, folder)
 
 
 def _on_raw(job: Callable[[Store], DataFrame]) -> Job:
@@ -177,6 +208,8 @@ _CLEAN_JOBS = {
         4, "mean", "std", "min", "max"), 6, "p25", "p50", "p75"),
     "churn_split": lambda s: churn.churn_split(
         churn.churn_rows(s, CUTOFF, START, END)).select("customer_id", "churn", "split"),
+    "churn_folds": lambda s: stratified_folds(durable(
+        churn.churn_rows(s, CUTOFF, START, END)), "customer_id", "churn").select("customer_id", "churn", "fold"),
     "churn_split_summary": lambda s: churn.split_summary(churn.churn_split(
         churn.churn_rows(s, CUTOFF, START, END))),
     "binary_metrics": lambda s: rounded(binary_metrics(_labelled_scores(s)), 6,
@@ -194,6 +227,8 @@ _CLEAN_JOBS = {
         .select("customer_id", "churn_probability", "risk", "prediction", "action")),
     "orders_in_window": lambda s: orders_in_window(s.orders, START, END),
     "orders_in_window_sql": _orders_in_window_sql,
+    "orders_in_window_kept": _orders_in_window_kept,
+    "saved_category_revenue": _saved_category_revenue,
     "prediction_hindsight": lambda s: retention.prediction_hindsight(
         retention.score_with_outcome(s, CARD, CUTOFF, START, END)),
     "customer_profile": lambda s: retention.customer_profile(s.customers),
@@ -216,6 +251,7 @@ _CLEAN_JOBS = {
     "campaign_summary": lambda s: retention.campaign_summary(_targets(s, "Email")),
     "campaign_log": lambda s: retention.campaign_log_entry(
         retention.campaign_summary(_targets(s, "Email")), "Email", DISCOUNT, SENT_AT),
+    "campaign_log_once": _campaign_log_once,
     "contacts": lambda s: retention.contacts(s.customers),
     "data_freshness": retention.data_freshness,
 
