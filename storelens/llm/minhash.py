@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.components import components
-from storelens.llm.textbytes import mixed, shingle_sets, texts_in
+from storelens.llm.textbytes import flat, mixed, shingle_sets, texts_in
 from storelens.operators.durable import durable, release
 
 #: Nodes of a band, and bytes of their digests, that are compared in one block.
@@ -281,8 +281,12 @@ def _links_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicates
     band, node, component, mine, x, y, size = (rows.column(c).to_numpy()
                                                for c in ("band", "node", "component", "mine", "x", "y", "size"))
     sign = _matrix(rows.column("signature"))
-    short = [np.frombuffer(s.as_buffer(), np.uint32) for s in rows.column("short")]
-    merged = size - np.array([len(s) for s in short])
+    digests, starts = flat(rows.column("short"))
+    starts = starts // 4
+    merged = size - np.diff(starts)
+    # Digests by their place among all of these rows, so that a set is marked in an array.
+    values, shingle = np.unique(digests.view(np.uint32), return_inverse=True)
+    marked = np.zeros(len(values), bool)
     keys = rows.column("keys").flatten().to_numpy().reshape(n, -1)
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     many = ends - np.arange(n) - 1
@@ -300,17 +304,22 @@ def _links_in_groups(rows: pa.RecordBatch, begins: np.ndarray, p: NearDuplicates
         shared = (keys[i] == keys[j]).argmax(axis=1)
         here = keys[i, shared] == band[i]
         i, j = i[here], j[here]
-        alive, matches = survivors(sign[i], sign[j], p)
-        order = alive[np.argsort(-matches, kind="stable")]
+        alive, _ = survivors(sign[i], sign[j], p)
+        i, j = i[alive], j[alive]
         found = []
-        for a, b in zip(i[order].tolist(), j[order].tolist()):
-            ca, cb = _root(parent, int(component[a])), _root(parent, int(component[b]))
-            if ca == cb:
-                continue
-            common = len(np.intersect1d(short[a], short[b], assume_unique=True)) + min(merged[a], merged[b])
-            if 100 * common >= p.percent * (size[a] + size[b] - common):
-                parent[max(ca, cb)] = min(ca, cb)
-                found.append((min(node[a], node[b]), max(node[a], node[b])))
+        for a in np.unique(i):
+            # What the row shares with each row up to the last one in question, in one sweep over their sets.
+            mine_of, others = shingle[starts[a]:starts[a + 1]], j[i == a]
+            low, high = others.min(), others.max() + 1
+            marked[mine_of] = True
+            shared = np.add.reduceat(marked[shingle[starts[low]:starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+            marked[mine_of] = False
+            common = shared[others - low] + np.minimum(merged[a], merged[others])
+            for b in others[100 * common >= p.percent * (size[a] + size[others] - common)]:
+                ca, cb = _root(parent, int(component[a])), _root(parent, int(component[b]))
+                if ca != cb:
+                    parent[max(ca, cb)] = min(ca, cb)
+                    found.append((min(node[a], node[b]), max(node[a], node[b])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], names=["a", "b"])
 
