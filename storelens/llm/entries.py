@@ -79,8 +79,14 @@ def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
                           "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Rows and bytes of an Arrow batch where tasks hold much besides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     """The last column says whether a text shares 400 bytes, or a passage of over 50 words, which may be shorter."""
+    for setting, most in BATCH.items():
+        spark.conf.set(setting, most)
     found = suffixes.repeated_spans(_table(spark, folder, "documents"),
                                     suffixes.Repeats(length=400, anchor=100, words=51, cut_words=False))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
