@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-# Set to "true" if a folder of the local file system is mounted on every machine of the cluster.
+# Set to "true" if a folder of the local file system is mounted on every machine of the cluster; it is not tried then.
 SHARED_FILES = "spark.storelens.sharedFileSystem"
 
 
@@ -20,19 +20,47 @@ def _file_system(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+# Applications and local folders of theirs that were seen to be shared.
+_SEEN: set[tuple[str, str]] = set()
+
+
+def _refuse_unshared(spark: SparkSession, folder: str) -> None:
+    """Let every core write a row into a local folder: it is shared if the driver finds all files and tasks read them.
+
+    Where that cannot be shown, the folder is refused.
+    """
+    told = f"{folder} is a local folder; name one that every executor can reach, or set {SHARED_FILES}"
+    try:
+        key = spark.sparkContext.applicationId, folder
+        if key in _SEEN:
+            return
+        path, files = _file_system(spark, f"{folder}/{uuid.uuid4().hex}")
+        n = 2 * spark.sparkContext.defaultParallelism
+        try:
+            spark.range(0, n, 1, n).write.parquet(path.toString())
+            found = spark.read.schema("id bigint").parquet(path.toString()).count()
+        finally:
+            files.delete(path, True)
+    except Exception as error:
+        raise RuntimeError(told) from error
+    if found != n:
+        raise RuntimeError(told)
+    _SEEN.add(key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Executors on other machines do not see a local folder, so one is refused on a cluster
-    unless it is said to be shared. Where the driver runs the tasks itself and nothing is set,
-    a temporary folder serves.
+    Executors on other machines may not see a local folder, so on a cluster one is taken only if the
+    executors are seen to share it with the driver, or if it is said to be shared. Where the driver runs
+    the tasks itself and nothing is set, a temporary folder serves.
     """
     alone = spark.sparkContext.master.startswith("local")
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         if not alone and spark.conf.get(SHARED_FILES, "false") != "true" \
                 and _file_system(spark, folder)[1].getScheme() == "file":
-            raise RuntimeError(f"{folder} is a local folder; name one that every executor can reach, or set {SHARED_FILES}")
+            _refuse_unshared(spark, folder)
         return folder
     if not alone:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")

@@ -161,3 +161,31 @@ def test_a_local_folder_is_refused_on_a_cluster(spark, monkeypatch):
         assert durable.shared_folder(far) == (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/x")
     finally:
         spark.conf.unset(durable.SHARED_FILES)
+
+
+def _cluster(spark, folder, **replaced):
+    """The session as if its tasks ran on a cluster."""
+    from types import SimpleNamespace
+    context = SimpleNamespace(master="spark://somewhere:7077", applicationId=spark.sparkContext.applicationId,
+                              defaultParallelism=4, getCheckpointDir=lambda: folder)
+    return SimpleNamespace(**{"sparkContext": context, "conf": SimpleNamespace(get=lambda key, other=None: other),
+                              "_jvm": spark._jvm, "_jsc": spark._jsc, "range": spark.range, "read": spark.read} | replaced)
+
+
+def test_a_local_folder_that_executors_share_serves_a_cluster(spark, tmp_path):
+    from storelens.operators import durable
+    folder = f"file://{tmp_path}"
+    assert durable.shared_folder(_cluster(spark, folder)) == folder
+    assert not list(tmp_path.iterdir())
+    # Seen once in an application, it is not tried again.
+    assert durable.shared_folder(_cluster(spark, folder, range=None)) == folder
+
+
+def test_a_local_folder_where_rows_of_tasks_are_missing_is_refused(spark, tmp_path):
+    import pytest
+
+    from storelens.operators import durable
+    for fewer in (lambda low, high, step, parts: spark.range(low, high - 1, step, parts), None):
+        with pytest.raises(RuntimeError, match="local folder"):
+            durable.shared_folder(_cluster(spark, f"file://{tmp_path}", range=fewer))
+    assert not list(tmp_path.iterdir())
