@@ -195,7 +195,8 @@ def highest(vectors: DataFrame, is_query: Column, p: SearchParameters = SearchPa
     queries = durable(asked.repartition(blocks).mapInArrow(lambda batches: _packed(batches, 2 * p.block_bytes), packed)
                       .select("size", F.spark_partition_id().cast("bigint").alias("block"),
                               *(F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "asked", "v"))))
-    # Blocks and shards meet by key: a shard goes to each block, a block to each of the tasks that share its shards.
+    # Blocks and shards meet by key: a shard goes to each block, a block to each of the tasks that share its shards. Their
+    # files look small for what they are multiplied to, so Spark would send all of one side through the driver.
     left = (shards.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts)))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
     right = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
@@ -219,7 +220,7 @@ def highest(vectors: DataFrame, is_query: Column, p: SearchParameters = SearchPa
         if best is not None:
             yield best.listed()
 
-    found = (left.join(right, keys).sortWithinPartitions(*keys, "q_rows")
+    found = (left.join(right.hint("merge"), keys).sortWithinPartitions(*keys, "q_rows")
              .mapInArrow(per_task, "query_row bigint, query_id bigint, vec_id bigint, score bigint, beyond binary"))
     by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= p.k)

@@ -273,3 +273,13 @@ def test_terms_without_essential_postings_are_skipped():
     assert at.tolist() == [0, 3] and scores.tolist() == [90, 82]
     at, scores = shard.competing(np.array([10, 1, 1]), 90)
     assert at.tolist() == [0] and scores.tolist() == [90]
+
+
+def test_blocks_do_not_pass_the_driver(spark):
+    """However small the files of the blocks, what they are multiplied to meets the shards by exchange."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=4)], 0) for k in range(60)]
+    found = maxscore.highest(vectors(spark, rows), F.col("vec_id") % 10 == 0)
+    assert len(found.collect()) == 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
