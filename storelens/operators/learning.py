@@ -4,15 +4,16 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.hashing import digest, drawn
-from storelens.operators.durable import durable
+from storelens.operators.durable import durable, release
 from storelens.operators.features import NUMERIC_FEATURES
+from storelens.operators.forest import Forest, ForestModel, Growth
 from storelens.operators.metrics import binary_metrics
 from storelens.operators.network import ReluNetwork
 from storelens.operators.selection import exact_quantiles, thresholds
@@ -124,8 +125,7 @@ def logistic_pipeline() -> Pipeline:
 
 def forest_pipeline(trees: int = 300) -> Pipeline:
     return Pipeline(stages=_preparation(scale=False) + [
-        RandomForestClassifier(labelCol="churn", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=SEED,
-                               maxMemoryInMB=1024)])
+        Forest("churn", Growth(trees=trees, leaf=5, depth=30, seed=SEED))])
 
 
 def network_pipeline() -> Pipeline:
@@ -174,7 +174,11 @@ def fold_areas(name: str, pipeline: Pipeline, train: DataFrame, folds: int, most
         fitted, held_out = fitted_on.count(), own.count()
         if not fitted or not held_out:
             return name, fold, fitted, held_out, None
-        return name, fold, fitted, held_out, evaluate(name, pipeline.fit(fitted_on), own).first()["roc_auc"]
+        model = pipeline.fit(fitted_on)
+        area = evaluate(name, model, own).first()["roc_auc"]
+        if isinstance(model.stages[-1], ForestModel):
+            release(model.stages[-1].trees)
+        return name, fold, fitted, held_out, area
 
     with ThreadPool(parallel) as pool:
         rows = pool.map(inheritable_thread_target(train.sparkSession)(one), range(folds))

@@ -59,16 +59,15 @@ def split_summary(split: DataFrame) -> DataFrame:
 class ChurnStudy:
     """Train and test rows of one dataset, and the models fitted on them.
 
-    The trees of a forest grow with the rows they are fitted on and live on the driver, so a forest
-    learns from about ``forest_rows`` training customers at most, drawn by digest, in every fold of a
-    cross-validation as well. Every other model is fitted on all rows. Test rows and held-out folds are evaluated
-    whole; the training area is that of the rows a model was fitted on.
+    Every model is fitted on all training rows, in every fold of a cross-validation as well. Who wants a forest of fewer
+    names ``forest_rows``: it then learns from about so many, drawn by digest. Test rows and held-out folds are
+    evaluated whole; the training area is that of the rows a model was fitted on.
     """
 
     pipelines = {LOGISTIC: learning.logistic_pipeline, FOREST: learning.forest_pipeline,
                  NETWORK: learning.network_pipeline}
 
-    def __init__(self, dataset: DataFrame, forest_rows: int = 200_000):
+    def __init__(self, dataset: DataFrame, forest_rows: int | None = None):
         self.rows = durable(churn_split(dataset))
         self.train = self.rows.where(F.col("split") == "train")
         self.test = self.rows.where(F.col("split") == "test")
@@ -78,7 +77,9 @@ class ChurnStudy:
         self._folds: dict[int, DataFrame] = {}
 
     def _fitted_on(self, name: str) -> DataFrame:
-        return drawn(self.train, "customer_id", self.forest_rows) if name == FOREST else self.train
+        if name == FOREST and self.forest_rows is not None:
+            return drawn(self.train, "customer_id", self.forest_rows)
+        return self.train
 
     def model(self, name: str) -> PipelineModel:
         if name not in self._models:
@@ -93,8 +94,10 @@ class ChurnStudy:
         if folds not in self._folds:
             self._folds[folds] = durable(learning.stratified_folds(self.train, "customer_id", "churn", folds))
         if (name, folds) not in self._areas:
+            # A forest's tasks fill a cluster by themselves.
+            most, parallel = (self.forest_rows, 2) if name == FOREST else (None, folds)
             self._areas[name, folds] = learning.fold_areas(
-                name, self.pipelines[name](), self._folds[folds], folds, self.forest_rows if name == FOREST else None)
+                name, self.pipelines[name](), self._folds[folds], folds, most, parallel)
         return self._areas[name, folds]
 
     def cross_validation(self, name: str, folds: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_key, rows
 from fixtures import customer, order, product, store
-from storelens.operators import learning, network
+from storelens.operators import forest, learning, network
 from storelens.operators.features import AGGREGATES, churn_dataset, customer_features, orders_in_window
 from storelens.operators.metrics import binary_metrics, class_report, confusion_matrix, roc_points
 from storelens.plans import churn
@@ -353,3 +353,109 @@ def test_newest_order_as_cutoff(shop):
     found = by_key(latest_features(shop.orders, shop.customers), "customer_id")
     same = by_key(customer_features(shop.orders, shop.customers, "2026-09-01"), "customer_id")
     assert found == same and found[4]["days_since_last_order"] == 0 and found[6]["days_since_last_order"] == 78
+
+
+# -- forest ----------------------------------------------------------------------------------------------------
+
+def bins_by_hand(values, bins):
+    """Bounds halfway between neighbours, nearest to equal numbers of rows."""
+    v = np.sort(values)
+    distinct = np.unique(v)
+    if len(distinct) <= bins:
+        return [float((a + b) / 2) for a, b in zip(distinct, distinct[1:])]
+    ends = np.searchsorted(v, distinct, "right")[:-1]
+    found = set()
+    for k in range(1, bins):
+        away = np.abs(ends - k * len(v) / bins)
+        # Of two that are equally near, the upper one.
+        at = len(away) - 1 - int(np.argmin(away[::-1]))
+        found.add(float((distinct[at] + distinct[at + 1]) / 2))
+    return sorted(found)
+
+
+def test_bins_come_from_all_values(spark):
+    rng = np.random.default_rng(5)
+    columns = [rng.normal(size=700), rng.integers(0, 9, 700) * 1.0, np.where(rng.random(700) < 0.6, 0.0, rng.random(700)), np.ones(700)]
+    df = spark.createDataFrame([(list(map(float, r)),) for r in zip(*columns)], "x array<double>") \
+        .repartition(5).select(array_to_vector("x").alias("features"))
+    assert forest.cuts(df, 32) == [pytest.approx(bins_by_hand(c, 32)) for c in columns]
+
+
+def split_by_hand(x, y, weight, leaf):
+    """The bin after which a split leaves the smallest sum of impurities, and its gain."""
+    def impurity(own):
+        n, pos = weight[own].sum(), (weight * y)[own].sum()
+        return 2 * pos * (n - pos) / n if n else 0.0
+    best = (1e-6, None)
+    for b in range(31):
+        low = x <= b
+        if min(weight[low].sum(), weight[~low].sum()) >= leaf:
+            best = max(best, (impurity(x >= 0) - impurity(low) - impurity(~low), -b))
+    return best[1]
+
+
+@pytest.mark.parametrize("leaf", [1, 5, 40])
+def test_a_tree_takes_the_best_splits(leaf, monkeypatch):
+    monkeypatch.setattr(forest, "AT_ONCE", 3)
+    rng = np.random.default_rng(leaf)
+    x = rng.integers(0, 32, (500, 1)).astype(np.uint8)
+    y = (rng.random(500) < np.where((x[:, 0] // 5) % 2 == 0, 0.9, 0.2)).astype(np.uint8)
+    plan = forest.Growth(leaf=leaf, depth=6, seed=3)
+    weight = np.random.default_rng([3, 8]).poisson(1.0, 500)
+
+    def predicted(own, depth):
+        """Chances by row of the tree by hand, siblings of one prediction joined: (chances, is a leaf, positive)."""
+        n, pos = weight[own].sum(), (weight * y)[own].sum()
+        b = split_by_hand(x[own, 0].astype(int), y[own], weight[own], leaf) if depth < 6 else None
+        leaf_of = {int(k): pos / n for k in own}
+        if b is None:
+            return leaf_of, True, pos / n > 0.5
+        parts = [predicted(own[side], depth + 1) for side in (x[own, 0] <= -b, x[own, 0] > -b)]
+        if all(p[1] for p in parts) and parts[0][2] == parts[1][2]:
+            return leaf_of, True, pos / n > 0.5
+        return parts[0][0] | parts[1][0], False, None
+
+    wanted = predicted(np.arange(500), 0)[0]
+    found = forest.chances(forest.grow(x, y, 8, plan), x)
+    assert found == pytest.approx([wanted[k] for k in range(500)])
+
+
+def test_forest_does_as_sparks(spark, tmp_path):
+    """Its size, its area and what it has learned by heart are those of Spark's, and it does not depend on partitions."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    data = synthetic(spark, 1500)
+    train, test = data.where("customer_id % 4 > 0"), data.where("customer_id % 4 = 0")
+    stages = learning.forest_pipeline(40).getStages()
+    own = Pipeline(stages=stages).fit(train)
+    theirs = Pipeline(stages=stages[:-1] + [RandomForestClassifier(
+        labelCol="churn", numTrees=40, minInstancesPerNode=5, maxDepth=30, seed=1)]).fit(train)
+    assert learning.model_size(own) == pytest.approx(learning.model_size(theirs), rel=0.1)
+    for part in (train, test):
+        a, b = (learning.evaluate("x", m, part).first().roc_auc for m in (own, theirs))
+        assert a == pytest.approx(b, abs=0.03)
+    before = dict(rows(learning.with_probability(own, test).select("customer_id", "score")))
+    again = Pipeline(stages=stages).fit(train.repartition(7))
+    assert dict(rows(learning.with_probability(again, test.repartition(3)).select("customer_id", "score"))) == before
+    models.save_pipeline(own, str(tmp_path / "forest"))
+    read = models.load_pipeline(str(tmp_path / "forest"))
+    assert dict(rows(learning.with_probability(read, test).select("customer_id", "score"))) == before
+    assert learning.model_size(read) == learning.model_size(own)
+
+
+def test_trees_stay_in_a_table(spark):
+    """The driver has bounds and a table, one row per tree."""
+    model = learning.forest_pipeline(7).fit(synthetic(spark, 200)).stages[-1]
+    assert model.trees.count() == 7 and not hasattr(model, "_java_obj") and "Scan" in model.trees._jdf.queryExecution().toString()
+
+
+def test_nothing_is_drawn_unless_asked_for(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows were drawn")
+    monkeypatch.setattr(churn, "drawn", refuse)
+    monkeypatch.setattr(learning, "drawn", refuse)
+    study = churn.ChurnStudy(synthetic(spark))
+    study.pipelines = dict(study.pipelines, **{churn.FOREST: lambda: learning.forest_pipeline(3)})
+    assert study.comparison([churn.FOREST]).first().mean_auc > 0.5
+    n = study.train.count()
+    assert all(r.fitted_rows == n - r.held_out_rows for r in study.fold_areas(churn.FOREST).collect())
