@@ -2,12 +2,8 @@
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storelens.functions.hashing import digest_number, drawn
 from storelens.functions.labels import SENTIMENTS, sentiment_of
@@ -16,7 +12,7 @@ from storelens.functions.text import mentions, strip, words
 from storelens.operators.durable import durable
 from storelens.operators.metrics import class_report
 from storelens.operators.ranking import numbered
-from storelens.operators import tfidf
+from storelens.operators import softmax, tfidf
 from storelens.sources.store import Store
 
 # Roman Urdu words that mark a mixed-language review.
@@ -197,66 +193,37 @@ class SentimentModel:
                 .select(key, label.alias("predicted"), *[f"p_{c.lower()}" for c in SENTIMENTS], "confidence"))
 
 
-_ROW = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("copies", T.DoubleType()),
-                     T.StructField("features", VectorUDT())])
-
-
-#: Training rows of a partition. A step sends one gradient per partition, as long as the vocabulary, so these should be few.
-FIT_ROWS = 8192
-
-
-def _few_parts(rows: DataFrame) -> DataFrame:
-    return rows.coalesce(max(1, -(-rows.count() // FIT_ROWS)))
-
-
 def sentiment_model(train: DataFrame, min_df: int = 2, iterations: int = 2000,
-                    fit_reviews: int = 500_000) -> SentimentModel:
+                    fit_reviews: int | None = None) -> SentimentModel:
     """Fit on reviews with a sentiment. Classes weigh the same in total.
 
-    Reviews that share text and label are one training row weighted by their number. Term
-    weights become sparse vectors by writing them in the vector type's own layout; no
-    row passes through Python. Like any linear model, the fitted weights (three per term)
-    have to fit on the driver: about ``fit_reviews`` reviews at most, drawn by the digest of
-    their id, are learned from, which bounds the vocabulary. Scoring has no bound.
+    Reviews that share a text are one training row weighted by their number. The weights of the terms stay with the
+    executors (``operators/softmax.py``); the driver holds some numbers per distinct text. All reviews are learned
+    from, or about ``fit_reviews`` if given, drawn by the digest of their id.
     """
-    spark = train.sparkSession
-    train = drawn(rated(train), "review_id", fit_reviews)
-    grouped = durable(train.groupBy(tfidf.text_key(F.col("review_text")).alias("text_id"), "review_text", "sentiment")
-                      .agg(F.count("*").alias("copies")))
-    texts = grouped.groupBy("text_id", "review_text").agg(F.sum("copies").alias("train_copies"))
-    counts = durable(tfidf.term_counts(texts))
-    vocabulary = tfidf.document_frequencies(counts, grouped.select(F.col("copies").alias("train_copies")), min_df)
-    indexed = durable(numbered(vocabulary.withColumn("_digest", F.md5("term")), "_digest")
-                      .select("term", "idf", (F.col("position") - 1).cast("int").alias("index")))
-    size = indexed.count()
-    totals = {r.sentiment: r.n for r in grouped.groupBy("sentiment").agg(F.sum("copies").alias("n")).collect()}
-    reviews = sum(totals.values())
-    present = [c for c in SENTIMENTS if c in totals]
-
-    weights = tfidf.unit_weights(tfidf.raw_weights(counts, indexed.select("term", "idf"))).join(
-        indexed.select("term", "index"), "term")
-    entries = weights.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_e"))
-    label, balance = F, F
-    for i, c in enumerate(present):
-        label = label.when(F.col("sentiment") == c, float(i))
-        balance = balance.when(F.col("sentiment") == c, reviews / (len(present) * totals[c]))
-    empty = F.array().cast("array<struct<index:int,weight:double>>")
-    vectors = (grouped.join(entries, "text_id", "left")
-               .withColumn("_e", F.coalesce("_e", empty))
-               .select(label.alias("label"), (F.col("copies") * balance).alias("copies"),
-                       F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-                                F.col("_e.index").alias("indices"),
-                                F.col("_e.weight").alias("values")).alias("features")))
-    fitted = LogisticRegression(
-        labelCol="label", weightCol="copies", family="multinomial", maxIter=iterations,
-        regParam=1.0 / reviews, elasticNetParam=0.0, standardization=False).fit(_few_parts(durable(vectors, _ROW)))
-
-    matrix = fitted.coefficientMatrix.toArray()
-    weight_of = {c: matrix[present.index(c)] if c in present else np.zeros(size) for c in SENTIMENTS}
-    coefficients = spark.createDataFrame(pa.table({"index": np.arange(size, dtype=np.int32), **weight_of}))
-    intercepts = {c: float(fitted.interceptVector[present.index(c)]) if c in present else float("-inf")
-                  for c in SENTIMENTS}
-    return SentimentModel(durable(indexed.join(coefficients, "index").drop("index")), intercepts)
+    train = rated(train) if fit_reviews is None else drawn(rated(train), "review_id", fit_reviews)
+    texts = durable(train.groupBy(tfidf.text_key(F.col("review_text")).alias("_key"), "review_text")
+                    .agg(F.count("*").alias("train_copies"), *_counts(train, SENTIMENTS)))
+    rows = durable(numbered(texts.withColumn("_digest", F.coalesce(F.hex("_key"), F.lit(""))), "_digest")
+                   .select((F.col("position") - 1).cast("int").alias("text_id"), "review_text", "train_copies", *SENTIMENTS))
+    totals = rows.agg(F.count("*"), F.sum("train_copies"), F.sum(F.length("review_text"))).first()
+    size, reviews, characters = totals[0], totals[1], totals[2] or 0
+    packed = softmax.blocks(tfidf.term_counts(rows), characters, reviews, min_df)
+
+    known = rows.select("text_id", *SENTIMENTS).toArrow()
+    copies = np.zeros((size, len(SENTIMENTS)))
+    for k, c in enumerate(SENTIMENTS):
+        copies[known["text_id"].to_numpy(), k] = known[c].to_numpy()
+    present = np.flatnonzero(copies.sum(axis=0))
+    wanted = copies[:, present] * (reviews / (len(present) * copies.sum(axis=0)[present]))
+    products = softmax.Products(packed, size)
+    numbers, fitted = softmax.solve(products, wanted, iterations)
+    products.release()
+
+    every = np.zeros((size, len(SENTIMENTS)))
+    every[:, present] = numbers * products.scale
+    intercepts = dict.fromkeys(SENTIMENTS, float("-inf")) | {SENTIMENTS[k]: float(b) for k, b in zip(present, fitted)}
+    return SentimentModel(durable(softmax.term_weights(packed, every, SENTIMENTS)), intercepts)
 
 
 def sentiment_report(predicted: DataFrame, label: str = "sentiment", pred: str = "predicted") -> DataFrame:

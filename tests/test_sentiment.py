@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_key, rows
 from fixtures import store
+from storelens.operators import softmax, tfidf
 from storelens.plans import sentiment
 from storelens.sources import models
 
@@ -198,3 +199,50 @@ def test_two_classes_only(spark, labelled):
     model = sentiment.sentiment_model(labelled.where("sentiment <> 'Neutral'"))
     out = model.score(labelled.where("review_id < 3")).first()
     assert out.p_neutral == 0.0 and out.predicted == "Positive"
+
+
+def test_model_is_the_minimum(spark, labelled):
+    """Not only near it: weights are those of a direct fit to five digits, in few passes over the texts."""
+    passes = []
+    make = softmax.Products.__call__
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(softmax.Products, "__call__", lambda self, x: passes.append(1) or make(self, x))
+        model = sentiment.sentiment_model(labelled)
+    data = labelled.orderBy("review_id").collect()
+    texts, y = [r.review_text for r in data], np.array([sentiment.SENTIMENTS.index(r.sentiment) for r in data])
+    vectors, idf = reference_weights(texts, texts)
+    terms = sorted(idf)
+    x = np.array([[v.get(t, 0.0) for t in terms] for v in vectors])
+    w = softmax_fit(x, y, 3, np.array([len(y) / (3 * (y == c).sum()) for c in y]))
+    found = by_key(model.terms, "term")
+    assert sorted(found) == terms
+    for i, t in enumerate(terms):
+        assert [found[t][c] for c in sentiment.SENTIMENTS] == pytest.approx(list(w[:, i]), abs=2e-5)
+        assert found[t]["idf"] == pytest.approx(idf[t])
+    assert list(model.intercepts.values()) == pytest.approx(list(w[:, -1] - w[:, -1].mean()), abs=2e-4)
+    assert len(passes) < 60
+
+
+def test_products_of_blocks(spark):
+    """Blocks together multiply by the inner products of all terms; a text without a known term has none."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"], 7)) for _ in range(40)] + ["unheard", ""]
+    counts = tfidf.term_counts(spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "text_id int, review_text string, train_copies bigint"))
+    vectors, idf = reference_weights(texts, texts)
+    terms = sorted(idf)
+    x = np.array([[v.get(t, 0.0) for t in terms] for v in vectors])
+    for characters in (1, 9 * softmax.BLOCK_CHARACTERS):
+        packed = softmax.blocks(counts, characters, len(texts), 2)
+        products = softmax.Products(packed, len(texts))
+        numbers = rng.normal(size=(len(texts), 3))
+        assert np.allclose(products(numbers), x @ x.T @ numbers)
+        found = by_key(softmax.term_weights(packed, numbers * products.scale, ["a", "b", "c"]), "term")
+        assert np.allclose([[found[t][c] for c in "abc"] for t in terms], x.T @ numbers)
+        products.release()
+
+
+def test_every_review_is_learned_from(spark, labelled, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("reviews were drawn")
+    monkeypatch.setattr(sentiment, "drawn", refuse)
+    assert sentiment.sentiment_model(labelled).terms.count() > 0
