@@ -138,14 +138,9 @@ def split_label_mix(split: DataFrame) -> DataFrame:
 def review_tfidf(labelled: DataFrame, min_df: int = 2) -> DataFrame:
     """Weights per review and term. Vocabulary and frequencies come from training reviews only.
 
-    Texts are weighed once each and then handed to their reviews. The weights are written first:
-    the join then starts from two plain shuffles, and adaptive execution splits the reviews of a
-    text that very many share.
+    Texts are weighed once each, however many reviews share them.
     """
-    texts = durable(tfidf.distinct_texts(labelled, in_train(F.col("review_text"))))
-    weights = durable(tfidf.term_weights(texts, min_df))
-    keyed = labelled.select("review_id", tfidf.text_key(F.col("review_text")).alias("text_id"))
-    return keyed.join(weights, "text_id").select("review_id", F.inline("weights"))
+    return tfidf.review_weights(labelled, in_train(F.col("review_text")), min_df)
 
 
 def vocabulary_size(labelled: DataFrame, min_df: int = 2) -> DataFrame:

@@ -246,3 +246,21 @@ def test_every_review_is_learned_from(spark, labelled, monkeypatch):
         raise AssertionError("reviews were drawn")
     monkeypatch.setattr(sentiment, "drawn", refuse)
     assert sentiment.sentiment_model(labelled).terms.count() > 0
+
+
+def test_weights_exchange_distinct_terms_of_blocks(spark, monkeypatch):
+    """Terms of one text don't travel on their own, whatever blocks are cut; null, blank and repeated texts keep their place."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"], 12)) for _ in range(50)]
+    data = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts[:9])] + [(200, None), (201, ""), (202, "x"), (None, texts[0]), (None, "gg aa")]
+    labelled = spark.createDataFrame(data, "review_id bigint, review_text string").repartition(3)
+    monkeypatch.setattr(tfidf, "find_package", lambda _: None)
+    train = [t for _, t in data if t is not None and rows(spark.createDataFrame([(t,)], "t string").select(sentiment.in_train(F.col("t"))))[0][0]]
+    expected, idf = reference_weights([t or "" for _, t in data], train)
+    wanted = sorted(((k, term, round(w, 9)) for (k, _), own in zip(data, expected) for term, w in own.items()), key=str)
+    for size in (1, 40, 1 << 21):
+        monkeypatch.setattr(tfidf, "BLOCK_TERMS", size)
+        weights = sentiment.review_tfidf(labelled)
+        assert sorted(((k, t, round(w, 9)) for k, t, w in rows(weights)), key=str) == wanted
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and plan.count("Generate inline") == 2
