@@ -161,12 +161,12 @@ def evaluate(name: str, model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def fold_areas(name: str, pipeline: Pipeline, train: DataFrame, folds: int, most: int | None = None,
-               parallel: int = 5) -> DataFrame:
+               parallel: int = 2) -> DataFrame:
     """One row per fold: rows fitted on, rows held out, and the area under the curve over all of the latter.
 
     ``train`` carries a ``fold`` column and is read often; give a written table. Preparation and model are fitted
     anew inside every fold, on about ``most`` rows of the other folds at most, drawn by digest (all, if
-    None). What is held out is evaluated whole.
+    None). What is held out is evaluated whole. ``parallel`` folds at a time: each takes memory of the driver.
     """
     def one(fold: int) -> tuple:
         others, own = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
